@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from capstrata.llm.quality import op6_quality
 from capstrata.llm.simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_quality": op6_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
