@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_decontaminate": OP3_SQL,
+}
