@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
+from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.simhash import op2_simhash
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL = {
