@@ -5,6 +5,7 @@ from __future__ import annotations
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
 from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
+from capstrata.llm.secrets import op10_secrets
 from capstrata.llm.simhash import op2_simhash
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
