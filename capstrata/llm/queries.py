@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from capstrata.llm.chat import OP4_SQL, op4_chat
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
 from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.secrets import op10_secrets
 from capstrata.llm.simhash import op2_simhash
+from capstrata.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op4_chat": op4_chat,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
     "op3_decontaminate": OP3_SQL,
+    "op4_chat": OP4_SQL,
+    "op8_warc": OP8_SQL,
 }
