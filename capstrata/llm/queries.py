@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from capstrata.llm.chat import OP4_SQL, op4_chat
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
+from capstrata.llm.langid import op9_langid
 from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.secrets import op10_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
 }
 
