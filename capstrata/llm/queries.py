@@ -9,9 +9,11 @@ from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.secrets import op10_secrets
 from capstrata.llm.simhash import op2_simhash
+from capstrata.llm.urls import op1_urls
 from capstrata.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_urls": op1_urls,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
