@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from capstrata.llm.chat import OP4_SQL, op4_chat
+from capstrata.llm.ctw import op5_ctw
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
 from capstrata.llm.langid import op9_langid
 from capstrata.llm.packing import op7_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
+    "op5_ctw": op5_ctw,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
