@@ -164,7 +164,7 @@ def comma_joined(*parts: Column) -> Column:
 
 def comma_list(c: Column) -> Column:
     """The non-empty trimmed items of a comma-separated cell."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def filing_url(cik: Column, accession: Column) -> Column:

@@ -50,12 +50,9 @@ def web_address(c: Column) -> Column:
     return c.rlike(r"^https?://[^\s/?#]+\.[^\s/?#]+")
 
 
-ROUND_RULES = {
-    "name": filled("name"),
-    "date": F.try_to_date("date").isNotNull(),
-    "amount": F.col("amount_usd") >= 0,
-    "investors": F.size("investors") > 0,
-}
+def round_rules() -> dict[str, Column]:
+    """Rules of a submitted round: a name, a date, no negative amount, and at least one investor."""
+    return {"name": filled("name"), "date": F.try_to_date("date").isNotNull(), "amount": F.col("amount_usd") >= 0, "investors": F.size("investors") > 0}
 
 
 def company_form_rules(year: int) -> dict[str, Column]:

@@ -44,7 +44,7 @@ def parse_index(lines: DataFrame) -> DataFrame:
 
     Only rows of form D and D/A have a known type in their first column, so preamble and header fall away with the rest.
     """
-    cols = F.transform(F.split("value", r"\s{2,}"), F.trim)
+    cols = F.transform(F.split("value", r"\s{2,}"), lambda x: F.trim(x))
     base = F.regexp_extract("file_name", "[^/]*$", 0)
     rows = lines.select(cols.alias("c")).where((F.size("c") >= 5) & F.get("c", F.lit(0)).isin("D", "D/A"))
     named = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("form_type", "company_name", "cik", "date_filed", "file_name"))])
@@ -77,7 +77,7 @@ def _plain(c: str) -> Column:
 def _person(p: Column) -> Column:
     n = p["relatedPersonName"]
     name = F.concat_ws(" ", *(text.blank_to_null(n[c]) for c in ("firstName", "middleName", "lastName")))
-    roles = F.filter(F.transform(p["relatedPersonRelationshipList"]["relationship"], F.trim), lambda r: r != "")
+    roles = F.filter(F.transform(p["relatedPersonRelationshipList"]["relationship"], lambda x: F.trim(x)), lambda r: r != "")
     return F.struct(name.alias("name"), F.try_element_at(roles, F.lit(1)).alias("role"), text.blank_to_null(p["relationshipClarification"]).alias("title"))
 
 
