@@ -90,10 +90,9 @@ def hostname(url: Column) -> Column:
 
 
 def _at_host(host: Column, hosts: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for h in hosts:
-        found = found | (host == h) | host.endswith("." + h)
-    return found
+    """Whether a host is one of the list or below one: a single pattern, so that the host is worked out once."""
+    names = "|".join(h.replace(".", r"\.") for h in hosts)
+    return host.rlike(rf"(?:^|\.)(?:{names})$")
 
 
 def is_linkedin(host: Column) -> Column:
@@ -108,22 +107,30 @@ def is_platform(host: Column) -> Column:
     return _at_host(host, v.PLATFORM_HOSTS)
 
 
+def _own_host(host: Column) -> Column:
+    return F.when((host != "") & ~_at_host(host, ("linkedin.com", *v.SOCIAL_HOSTS, *v.PLATFORM_HOSTS)), host)
+
+
 def identifying_domain(url: Column) -> Column:
     """The host, unless it belongs to a network or platform rather than to the firm; null then."""
-    host = host_of(url)
-    return F.when((host != "") & ~is_linkedin(host) & ~is_social(host) & ~is_platform(host), host)
+    return _with(host_of(url), _own_host)
+
+
+def _with(value: Column, then) -> Column:
+    """then(value), with the value bound as a lambda's variable so that it is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def classify_website(cell: Column) -> Column:
     """(website_url, linkedin_url, domain) of the one cell that filers put any link into."""
-    host = host_of(cell)
+
+    def links(both: Column) -> Column:
+        host, url = both["host"], both["url"]
+        there, linkedin = host != "", is_linkedin(host)
+        return F.struct(F.when(there & ~linkedin & ~is_social(host), url).alias("website_url"), F.when(there & linkedin, url).alias("linkedin_url"), _own_host(host).alias("domain"))
+
     url = F.regexp_replace(F.regexp_replace(_schemed(cell), "(?i)^https://", "https://"), "(?i)^http://", "http://")
-    there, linkedin = host != "", is_linkedin(host)
-    return F.struct(
-        F.when(there & ~linkedin & ~is_social(host), url).alias("website_url"),
-        F.when(there & linkedin, url).alias("linkedin_url"),
-        identifying_domain(cell).alias("domain"),
-    )
+    return _with(F.struct(host_of(cell).alias("host"), url.alias("url")), links)
 
 
 def sector_of_text(text: Column) -> Column:

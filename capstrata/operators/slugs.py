@@ -22,28 +22,38 @@ def clashes(rows: DataFrame) -> DataFrame:
 
 
 def mint(rows: DataFrame, used: DataFrame, name: Column, seq: Column, suffix: Column | None = None, fallback: str = "company") -> DataFrame:
-    """rows with a `slug` that neither `used` (slug) nor another row has, in order of seq.
+    """rows with a `slug` that neither `used` (slug) nor another row has.
 
-    The base is tried first, then base-suffix (where a suffix is given), then these with 2, 3, … Each round offers
-    every open row its next candidate; the first by seq takes it if it is free. All rows of a base move together, so
-    the rounds are as many as the longest run of one base.
+    Without a suffix the rows of a base take the base, base-2, base-3, … in order of seq, leaving out what is used.
+    With one, the first row of a base takes the base if it is free, and each other row base-suffix, numbered likewise.
+    Numbers of one base that are the name of another go to the first by seq; who loses takes the next number that is
+    free after that round, so there are as many rounds as such clashes chain.
     """
     base = kebab(name, fallback)
-    stem = base if suffix is None else F.concat(base, F.lit("-"), kebab(suffix, fallback))
-    open_ = materialised(rows.withColumns({"__base": base, "__stem": stem, "__seq": seq, "__try": F.lit(1)}))
-    taken, done = used.select("slug").distinct(), None
-    while True:
-        t = F.col("__try")
-        if suffix is None:
-            candidate = F.when(t == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), t.cast("string")))
-        else:
-            candidate = F.when(t == 1, F.col("__base")).when(t == 2, F.col("__stem")).otherwise(F.concat("__stem", F.lit("-"), (t - 1).cast("string")))
-        offered = open_.withColumn("slug", candidate)
-        winners = offered.groupBy("slug").agg(F.min("__seq").alias("__first")).join(taken, "slug", "left_anti")
-        placed = materialised(offered.join(winners, "slug", "left").withColumn("__won", F.coalesce(F.col("__seq") == F.col("__first"), F.lit(False))).drop("__first"))
-        won = placed.where("__won").drop("__won")
-        done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won.select("slug"))
-        open_ = placed.where("not __won").drop("__won", "slug").withColumn("__try", F.col("__try") + 1)
-        if open_.isEmpty():
-            return done.drop("__base", "__stem", "__seq", "__try")
+    open_ = materialised(rows.withColumns({"__base": base, "__seq": seq} | ({} if suffix is None else {"__stem": F.concat(base, F.lit("-"), kebab(suffix, fallback))})))
+    taken, done = used.select("slug").distinct(), []
+    if suffix is not None:
+        firsts = open_.groupBy("__base").agg(F.min("__seq").alias("__first")).join(taken.withColumnRenamed("slug", "__base"), "__base", "left_anti")
+        placed = materialised(open_.join(firsts, "__base", "left").withColumn("__won", F.coalesce(F.col("__seq") == F.col("__first"), F.lit(False))).drop("__first"))
+        done.append(placed.where("__won").withColumn("slug", F.col("__base")).drop("__won", "__stem", "__base", "__seq"))
+        taken = taken.unionByName(done[-1].select("slug"))
+        open_ = placed.where("not __won").drop("__won", "__base").withColumnRenamed("__stem", "__base")
+    while not open_.isEmpty():
+        numbers = taken.select(F.col("slug").alias("__base"), F.lit(1).cast("long").alias("n")).unionByName(
+            taken.select(F.regexp_extract("slug", r"^(.+)-[0-9]{1,9}$", 1).alias("__base"), F.regexp_extract("slug", r"-([0-9]{1,9})$", 1).try_cast("long").alias("n")).where("n > 1")
+        )
+        lists = numbers.join(open_.select("__base").distinct(), "__base", "left_semi").groupBy("__base").agg(F.array_sort(F.collect_set("n")).alias("__used"))
+        ranked = open_.withColumn("__rank", F.row_number().over(Window.partitionBy("__base").orderBy("__seq")).cast("long")).join(lists, "__base", "left")
+        # the rank-th number that is not used: each used one at or below it moves it up
+        n = F.aggregate(F.coalesce("__used", F.array().cast("array<bigint>")), F.col("__rank"), lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
+        offered = ranked.withColumn("__n", n).withColumn("slug", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__n").cast("string")))).drop("__rank", "__used", "__n")
+        offered = materialised(offered)
+        winners = offered.groupBy("slug").agg(F.min("__seq").alias("__first"))
+        placed = materialised(offered.join(winners, "slug").withColumn("__won", F.col("__seq") == F.col("__first")).drop("__first"))
+        done.append(placed.where("__won").drop("__won", "__base", "__seq"))
+        taken = materialised(taken.unionByName(done[-1].select("slug")))
+        open_ = placed.where("not __won").drop("__won", "slug")
+    out = done[0] if done else rows.withColumn("slug", F.lit(None).cast("string"))
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
