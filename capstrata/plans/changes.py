@@ -48,10 +48,10 @@ def name_link(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _named_holdings(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = read_table(s, sf, "lineitem").where("l_linenumber <= 2").join(read_table(s, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = read_table(s, sf, "lineitem").join(read_table(s, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     kinds = F.when(F.col("l_returnflag") == "A", "Angel").when(F.col("l_returnflag") == "N", "Growth").otherwise("Venture")
     rows = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("holding_id"), F.col("s_name").alias("name"), kinds.alias("type"), F.lit(None).cast("string").alias("investor_slug"))
-    parts = read_table(s, sf, "part").where("p_size = 7").select(F.col("p_name").alias("name"))
+    parts = read_table(s, sf, "part").select(F.col("p_name").alias("name"))
     return rows, parts
 
 
@@ -59,11 +59,11 @@ def _incoming(s: SparkSession, sf: str) -> DataFrame:
     """Records that match companies by key, by domain or by name, or not at all."""
     c = e.companies(s, sf)
     i = F.col("company_id")
-    return c.where("company_id <= 400").select(
+    return c.select(
         i.alias("seq"),
-        F.when(i % 4 == 0, F.concat_ws(":", "external_source", "external_id")).otherwise(F.concat(F.lit("NEW:"), (i % 90).cast("string"))).alias("key"),
-        F.when(i % 5 == 0, F.concat(F.lit("c"), (i + 7).cast("string"), F.lit(".example.com"))).when(i % 5 == 1, F.concat(F.lit("new"), (i % 30).cast("string"), F.lit(".example"))).alias("domain"),
-        text.company_name_key(F.when(i % 6 == 0, F.concat("name", F.lit(" Inc."))).otherwise(F.concat(F.lit("Fresh "), (i % 120).cast("string")))).alias("name_key"),
+        F.when(i % 4 == 0, F.concat_ws(":", "external_source", "external_id")).otherwise(F.concat(F.lit("NEW:"), F.floor(i / 3).cast("string"))).alias("key"),
+        F.when(i % 5 == 0, F.concat(F.lit("c"), (i + 7).cast("string"), F.lit(".example.com"))).when(i % 5 == 1, F.concat(F.lit("new"), F.floor(i / 4).cast("string"), F.lit(".example"))).alias("domain"),
+        text.company_name_key(F.when(i % 6 == 0, F.concat("name", F.lit(" Inc."))).otherwise(F.concat(F.lit("Fresh "), F.floor(i / 5).cast("string")))).alias("name_key"),
     )
 
 
@@ -82,17 +82,17 @@ def resolve_in_order(s: SparkSession, sf: str) -> DataFrame:
 
 def contributed_investors(s: SparkSession, sf: str) -> DataFrame:
     firms = e.investors(s, sf).withColumn("created_at", F.col("investor_id") % 3)
-    asked = read_table(s, sf, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, F.upper(F.concat(F.lit(" supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0")))).otherwise(F.concat(F.lit("New Firm "), (F.col("c_custkey") % 40).cast("string"))).alias("name"))
+    asked = read_table(s, sf, "customer").select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, F.upper(F.concat(F.lit(" supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0")))).otherwise(F.concat(F.lit("New Firm "), (F.col("c_custkey") % 40).cast("string"))).alias("name"))
     return resolve.contributed_investors(asked, firms)
 
 
 def _stored_rounds(s: SparkSession, sf: str) -> DataFrame:
-    return e.rounds(s, sf).where("round_id % 3 <> 0").select("company_id", "name", "date", "amount_usd", "moderation_status", "external_source", "external_id")
+    return e.rounds(s, sf).where("name <> '1-URGENT'").select("company_id", "name", "date", "amount_usd", "moderation_status", "external_source", "external_id")
 
 
 def _new_rounds(s: SparkSession, sf: str) -> DataFrame:
-    """Every order of every second kind, twice: a first filing and its amendment."""
-    rows = e.rounds(s, sf).where("round_id % 2 = 0").drop("moderation_status", "round_id")
+    """Orders of the two most urgent kinds, twice: a first filing and its amendment."""
+    rows = e.rounds(s, sf).where("name in ('1-URGENT', '2-HIGH')").drop("moderation_status", "round_id")
     later = rows.withColumns({"amount_usd": F.col("amount_usd") + 1000, "date": F.col("date") + F.expr("interval 10 days"), "name": F.lit("amended")})
     return rows.withColumn("filed", F.lit(1)).unionByName(later.withColumn("filed", F.lit(2)))
 
@@ -123,7 +123,7 @@ def _enrich_target(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _facts(s: SparkSession, sf: str) -> DataFrame:
-    o = read_table(s, sf, "orders").where("o_custkey <= 1000")
+    o = read_table(s, sf, "orders")
     k = F.col("o_orderkey")
     return o.select(
         F.col("o_custkey").alias("company_id"), k.alias("seq"),
@@ -215,7 +215,7 @@ def _decisions(s: SparkSession, sf: str) -> DataFrame:
 
 
 def publish_linked_firms(s: SparkSession, sf: str) -> DataFrame:
-    decided = _events(s, sf).where("event_id <= 400").select(F.lit("investor").alias("type"), (F.col("event_id") * 1_000_000_000 + F.col("user_id")).alias("entity_id"), F.when(F.col("event_id") % 4 == 0, v.REJECTED).otherwise(v.APPROVED).alias("decision"))
+    decided = _events(s, sf).select(F.lit("investor").alias("type"), (F.col("event_id") * 1_000_000_000 + F.col("user_id")).alias("entity_id"), F.when(F.col("event_id") % 4 == 0, v.REJECTED).otherwise(v.APPROVED).alias("decision"))
     rows = decided.select("entity_id").distinct().withColumn("investor_id", F.floor(F.col("entity_id") / 1_000_000_000) % 150)
     return moderation.publish_linked_firms(e.investors(s, sf), rows, decided).select("investor_id", "moderation_status")
 
@@ -231,9 +231,9 @@ def citation_sources(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _attached(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    pages = read_table(s, sf, "pages").where("page_id % 2 = 0").select("url", F.lit("Press").alias("source_type"), F.lit(None).cast("timestamp_ntz").alias("retrieved_at"))
-    have = read_table(s, sf, "pages").where("page_id % 4 = 0").select("url", F.lit("company").alias("entity_type"), (F.col("page_id") % 50).cast("string").alias("entity_id"), F.lit("").alias("field"), F.lit(0).cast("long").alias("submitted_by"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
-    ev = _events(s, sf).where("event_id <= 5000").select((F.col("event_id") % 250).alias("page_id"), "user_id", "ts")
+    pages = read_table(s, sf, "pages").where("url like 'https:%'").select("url", F.lit("Press").alias("source_type"), F.lit(None).cast("timestamp_ntz").alias("retrieved_at"))
+    have = read_table(s, sf, "pages").where("url like 'https:%/de/%'").select("url", F.lit("company").alias("entity_type"), (F.col("page_id") % 50).cast("string").alias("entity_id"), F.lit("").alias("field"), F.lit(0).cast("long").alias("submitted_by"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    ev = _events(s, sf).select((F.col("event_id") % 250).alias("page_id"), "user_id", "ts")
     asked = ev.join(read_table(s, sf, "pages"), "page_id").select("url", F.lit("company").alias("entity_type"), (F.col("page_id") % 50).cast("string").alias("entity_id"), F.lit("").alias("field"), F.col("user_id").alias("submitted_by"), F.col("ts").alias("at"))
     return moderation.attach_citations(pages, have, asked)
 
@@ -286,17 +286,17 @@ QUERIES = {
     )
 }
 
-_BACKFILL = """with h as (select l_orderkey * 10 + l_linenumber as holding_id, s_name as name, case l_returnflag when 'A' then 'Angel' when 'N' then 'Growth' else 'Venture' end as type from lineitem join supplier on l_suppkey = s_suppkey where l_linenumber <= 2 and s_name <> 'Supplier#000000004'),
-  t as (select name, type, count(*) as n from (select name, type from h union all select p_name, 'Venture' from part where p_size = 7) group by all),
+_BACKFILL = """with h as (select l_orderkey * 10 + l_linenumber as holding_id, s_name as name, case l_returnflag when 'A' then 'Angel' when 'N' then 'Growth' else 'Venture' end as type from lineitem join supplier on l_suppkey = s_suppkey where s_name <> 'Supplier#000000004'),
+  t as (select name, type, count(*) as n from (select name, type from h union all select p_name, 'Venture' from part) group by all),
   m as (select name, type from (select *, row_number() over (partition by name order by n desc, type) as k from t) where k = 1),
   b as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as base from m),
   i as (select name, type, case when n = 1 then base else base || '-' || n end as slug from (select *, row_number() over (partition by base order by name) as n from b where base <> ''))
 """
 _MATCH = (
     MODEL_SQL
-    + """, inc as (select company_id as seq, case when company_id % 4 = 0 then concat_ws(':', external_source, external_id) else 'NEW:' || (company_id % 90) end as key,
-  case when company_id % 5 = 0 then 'c' || (company_id + 7) || '.example.com' when company_id % 5 = 1 then 'new' || (company_id % 30) || '.example' end as domain,
-  regexp_replace(lower(case when company_id % 6 = 0 then name || ' Inc.' else 'Fresh ' || (company_id % 120) end), '[^a-z0-9 ]+', '', 'g') as nk0 from companies where company_id <= 400),
+    + """, inc as (select company_id as seq, case when company_id % 4 = 0 then concat_ws(':', external_source, external_id) else 'NEW:' || (company_id // 3) end as key,
+  case when company_id % 5 = 0 then 'c' || (company_id + 7) || '.example.com' when company_id % 5 = 1 then 'new' || (company_id // 4) || '.example' end as domain,
+  regexp_replace(lower(case when company_id % 6 = 0 then name || ' Inc.' else 'Fresh ' || (company_id // 5) end), '[^a-z0-9 ]+', '', 'g') as nk0 from companies),
   incoming as (select seq, key, domain, regexp_replace(nk0, '( (inc))+$', '') as name_key from inc),
   ik as (select external_source || ':' || external_id as key, min(company_id) as id from companies where external_id is not null group by 1), idm as (select domain, min(company_id) as id from companies group by 1),
   inm as (select regexp_replace(lower(name), '[^a-z0-9 ]+', '', 'g') as name_key, min(company_id) as id from companies group by 1),
@@ -306,8 +306,8 @@ _MATCH = (
 )
 _UPSERT = (
     MODEL_SQL
-    + """, stored as (select company_id, name, date, amount_usd, moderation_status, external_source, external_id from rounds where round_id % 3 <> 0),
-  fresh as (select company_id, name, date + interval 10 day as date, amount_usd + 1000 as amount_usd, external_source, external_id from rounds where round_id % 2 = 0)
+    + """, stored as (select company_id, name, date, amount_usd, moderation_status, external_source, external_id from rounds where name <> '1-URGENT'),
+  fresh as (select company_id, name, date + interval 10 day as date, amount_usd + 1000 as amount_usd, external_source, external_id from rounds where name in ('1-URGENT', '2-HIGH'))
   select coalesce(s.company_id, f.company_id) as company_id, case when s.external_id is null then 'amended' else s.name end as name, coalesce(f.date, s.date) as date, coalesce(f.amount_usd, s.amount_usd) as amount_usd,
     case when s.external_id is null then 'APPROVED' else s.moderation_status end as moderation_status, external_source, external_id from stored s full join fresh f using (external_source, external_id)"""
 )
@@ -315,7 +315,7 @@ _ENRICH = (
     MODEL_SQL
     + f""", target as (select company_id, name, case when company_id % 2 = 0 then domain else '' end as domain, case when company_id % 3 = 0 then 'https://own.example' end as website_url, case when company_id % 5 <> 0 then sector end as primary_sector,
     case when company_id % 4 = 0 then 0 else 1990 end as founded, case when company_id % 3 = 1 then '{v.ONE_LINER_PREFIX} via SEC Form D.' else one_liner end as one_liner, case when company_id % 3 = 2 then name || ' {v.DESCRIPTION_MARKER} notice.' else 'own words' end as description, total_raised_usd from companies),
-  k as (select o_custkey as company_id, o_orderkey as k from orders where o_custkey <= 1000),
+  k as (select o_custkey as company_id, o_orderkey as k from orders),
   f as (select company_id, 'd' || min(k) filter (k % 2 = 0) || '.example' as domain, 'https://w' || min(k) filter (k % 3 = 0) || '.example' as website_url, max(case when k % 4 = 0 then 'Energy' end) as primary_sector,
     cast(min(k) filter (k % 5 <> 0) % 100 + 1900 as integer) as founded, 'Line ' || min(k) as one_liner, 'Text ' || min(k) filter (k % 2 = 1) as description from k group by 1),
   enriched as (select t.company_id, t.name, case when t.domain = '' and f.domain is not null then f.domain else t.domain end as domain, coalesce(t.website_url, f.website_url) as website_url, coalesce(t.primary_sector, f.primary_sector) as primary_sector,
@@ -335,8 +335,8 @@ _PROPOSED = (
 """
 )
 _DECIDED = ", d as (select event_id % 4000 as entity_id, case when event_id % 3 = 0 then 'REJECTED' else 'APPROVED' end as decision, user_id as admin_id from events where event_id % 10 <> 0 qualify row_number() over (partition by event_id % 4000 order by event_id desc) = 1)"
-_ASKED = """with asked as (select url, cast(page_id % 50 as varchar) as entity_id, user_id, ts from (select event_id % 250 as page_id, user_id, ts from events where event_id <= 5000) join pages using (page_id)),
-  have as (select url, cast(page_id % 50 as varchar) as entity_id from pages where page_id % 4 = 0)"""
+_ASKED = """with asked as (select url, cast(page_id % 50 as varchar) as entity_id, user_id, ts from (select event_id % 250 as page_id, user_id, ts from events) join pages using (page_id)),
+  have as (select url, cast(page_id % 50 as varchar) as entity_id from pages where url like 'https:%/de/%')"""
 
 SQL = {
     "first_wins": "select user_id, event_type, event_id, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1",
@@ -347,7 +347,7 @@ SQL = {
     "name_link": _BACKFILL + "select holding_id, name, slug as investor_slug from h left join i using (name)",
     "multi_key_match": _MATCH + "select seq, matched_id, matched_by from matched",
     "contributed_investors": MODEL_SQL
-    + """, asked as (select c_custkey as seq, case when c_custkey % 2 = 0 then upper(' supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')) else 'New Firm ' || (c_custkey % 40) end as name from customer where c_custkey <= 300),
+    + """, asked as (select c_custkey as seq, case when c_custkey % 2 = 0 then upper(' supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')) else 'New Firm ' || (c_custkey % 40) end as name from customer),
       f as (select lower(name) as k, investor_id from investors qualify row_number() over (partition by lower(name) order by investor_id % 3, investor_id) = 1)
       select seq, name, investor_id, case when investor_id is null then min(seq) over (partition by lower(trim(name))) end as minted_by from asked left join f on f.k = lower(trim(asked.name))""",
     "upsert_merge": _UPSERT,
@@ -372,11 +372,11 @@ SQL = {
     "proposal_revisions": _PROPOSED + "select proposal_id, cast(company_id as varchar) as entity_id, field, cast(before as varchar) as before, cast(after as varchar) as after from each",
     "moderation_flip": MODEL_SQL + _DECIDED + " select round_id as entity_id, coalesce(decision, moderation_status) as moderation_status from rounds left join d on entity_id = round_id",
     "moderation_revisions": MODEL_SQL + _DECIDED + " select cast(company_id as varchar) as company_id, cast(round_id as varchar) as entity_id, 'CREATE' as action, admin_id as actor_user_id, decision as status from rounds join d on entity_id = round_id where decision = 'APPROVED'",
-    "publish_linked_firms": MODEL_SQL + "select investor_id, case when moderation_status = 'PENDING' and investor_id in (select event_id % 150 from events where event_id <= 400 and event_id % 4 <> 0) then 'APPROVED' else moderation_status end as moderation_status from investors",
+    "publish_linked_firms": MODEL_SQL + "select investor_id, case when moderation_status = 'PENDING' and investor_id in (select event_id % 150 from events where event_id % 4 <> 0) then 'APPROVED' else moderation_status end as moderation_status from investors",
     "citation_attach": _ASKED
     + """select url, 'company' as entity_type, entity_id, '' as field, 0 as submitted_by from have union all
       select url, 'company', entity_id, '', arg_min(user_id, ts) from asked anti join have using (url, entity_id) group by url, entity_id""",
-    "citation_sources": _ASKED + "select url, 'Press' as source_type from pages where page_id % 2 = 0 union all select distinct url, 'Other' from asked where url not in (select url from pages where page_id % 2 = 0)",
+    "citation_sources": _ASKED + "select url, 'Press' as source_type from pages where url like 'https:%' union all select distinct url, 'Other' from asked where url not in (select url from pages where url like 'https:%')",
     "citation_targets": MODEL_SQL
     + """, l as (select company_id, 'acc-' || round_id as a from rounds qualify row_number() over (partition by company_id order by date desc, 'acc-' || round_id desc) = 1), w as (select *, 'https://www.wikidata.org/wiki/' || external_id as url, 'Wikidata entity ' || external_id as title from companies where external_source = 'WIKIDATA'),
       s as (select *, 'https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK=' || external_id || '&type=D' as url, 'SEC EDGAR Form D filings (CIK ' || external_id || ')' as title from companies where external_source = 'SEC_EDGAR')

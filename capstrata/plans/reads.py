@@ -149,8 +149,8 @@ def history_timeline(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _contributions(s: SparkSession, sf: str) -> DataFrame:
-    """Clicks stand for contributions."""
-    ev = read_table(s, sf, "events").where("event_type = 'click' and user_id % 3 <> 0")
+    """Large purchases stand for contributions."""
+    ev = read_table(s, sf, "events").where("event_type = 'purchase' and value > 150")
     return ev.select(F.col("event_id").alias("entity_id"), F.col("user_id").alias("submitted_by"), F.col("ts").alias("created_at"), F.col("user_id").alias("company_id"))
 
 
@@ -201,7 +201,7 @@ def watchlist_save(s: SparkSession, sf: str) -> DataFrame:
     return profile.save(_saved(s, sf), asked, e.companies(s, sf))
 
 
-_CONTRIB_SQL = "contributions as (select event_id, user_id, ts from events where event_type = 'click' and user_id % 3 <> 0)"
+_CONTRIB_SQL = "contributions as (select event_id, user_id, ts from events where event_type = 'purchase' and value > 150)"
 _ACCESS_SQL = """select user_id, role = 'ADMIN' or coalesce(a.d < last_at + interval 30 day, false) as unlocked, last_at + interval 30 day as unlocked_until, coalesce(last_at >= a.d - interval 30 day, false) as recent
   from users left join last using (user_id), (select max(ts) as d from events) a"""
 _QUEUE_SQL = """, q as (

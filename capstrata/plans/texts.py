@@ -24,13 +24,13 @@ def slug_mint(s: SparkSession, sf: str) -> DataFrame:
 
 
 def slug_mint_by_key(s: SparkSession, sf: str) -> DataFrame:
-    rows = _parts(s, sf).where("p_partkey <= 400").select("p_partkey", "p_name")
-    used = _parts(s, sf).where("p_partkey > 400 and p_partkey % 50 = 0").select(text.kebab(F.col("p_name")).alias("slug"))
+    rows = _parts(s, sf).select("p_partkey", "p_name")
+    used = _parts(s, sf).where("p_size = 1").select(text.kebab(F.col("p_name")).alias("slug"))
     return slugs.mint(rows, used, F.col("p_name"), F.col("p_partkey"), F.concat(F.lit("K "), F.col("p_partkey").cast("string"))).select("p_partkey", "slug")
 
 
 def slug_mint_by_number(s: SparkSession, sf: str) -> DataFrame:
-    rows = _parts(s, sf).where("p_partkey <= 300").select("p_partkey", "p_name")
+    rows = _parts(s, sf).select("p_partkey", "p_name")
     used = s.createDataFrame([("none",)], "slug string")
     return slugs.mint(rows, used, F.col("p_name"), F.col("p_partkey")).select("p_partkey", "slug")
 
@@ -40,15 +40,15 @@ def slug_collisions(s: SparkSession, sf: str) -> DataFrame:
 
 
 def name_keys(s: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.substring("text", 1, 60), F.lit(" Co., Inc.")).alias("name"))
+    docs = read_table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" Co., Inc.")).alias("name"))
     parts = _parts(s, sf).select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(", L.L.C."), F.lit(" Ltd")).alias("name"))
-    return docs.unionByName(parts).select("id", "name", text.company_name_key(F.col("name")).alias("name_key"))
+    return docs.unionByName(parts).select("id", text.company_name_key(F.col("name")).alias("name_key"))
 
 
 def investor_name_keys(s: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.substring("text", 1, 60), F.lit(" S.A.R.L.")).alias("name"))
+    docs = read_table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" S.A.R.L.")).alias("name"))
     firms = read_table(s, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("A.B "), "s_name", F.lit(" Capital, L. P.")).alias("name"))
-    return docs.unionByName(firms).select("id", "name", text.investor_name_key(F.col("name")).alias("name_key"))
+    return docs.unionByName(firms).select("id", text.investor_name_key(F.col("name")).alias("name_key"))
 
 
 def host_extract(s: SparkSession, sf: str) -> DataFrame:
@@ -77,14 +77,14 @@ def snapshot_pairs(s: SparkSession, sf: str) -> DataFrame:
     label = F.concat(F.lit("IA"), F.lpad(i, 6, "0"))
     exempt = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<a href="https://x.gov/f/'), label, F.lit('-exemptzip.zip">'))).otherwise("")
     html = F.concat(exempt, F.lit('<A HREF="/files/'), label, F.lit('_0.zip"> <a href="/files/other.zip">'))
-    pages = read_table(s, sf, "pages").where("page_id < 500").select(html.alias("html"))
+    pages = read_table(s, sf, "pages").select(html.alias("html"))
     return roster.snapshots(pages).select("label", "registered", "exempt")
 
 
 def sector_rules(s: SparkSession, sf: str) -> DataFrame:
     words = F.array(*[F.lit(x) for x in ("Payments bank", "Hospital chain", "wind power", "Oil rig", "cloud hosting", "HOUSING", "railway", "food", "media", "school", "mining", "internet", "nothing")])
     phrase = F.get(words, (F.col("doc_id") % 13).cast("int"))
-    return read_table(s, sf, "documents").select("doc_id", text.sector_of_text(F.concat(F.substring("text", 1, 200), F.lit(" "), phrase)).alias("sector"))
+    return read_table(s, sf, "documents").select("doc_id", text.sector_of_text(F.concat("text", F.lit(" "), phrase)).alias("sector"))
 
 
 _INDUSTRIES = ("Agriculture", "Biotechnology", "Other", "Oil and Gas", "REITS and Finance", "Business Services", "Restaurants", "no such industry")
@@ -110,11 +110,11 @@ def money_format(s: SparkSession, sf: str) -> DataFrame:
 
 def summary_truncate(s: SparkSession, sf: str) -> DataFrame:
     docs = read_table(s, sf, "documents")
-    return docs.select("doc_id", text.summary([F.substring("text", 1, 70), text.blank_to_null(F.col("source")), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))], 72).alias("summary"))
+    return docs.select("doc_id", text.summary([F.col("text"), text.blank_to_null(F.col("source")), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))], 72).alias("summary"))
 
 
 def comma_lists(s: SparkSession, sf: str) -> DataFrame:
-    return read_table(s, sf, "documents").select("doc_id", F.array_join(text.comma_list(F.substring("text", 1, 300)), "|").alias("items"))
+    return read_table(s, sf, "documents").select("doc_id", F.array_join(text.comma_list(F.col("text")), "|").alias("items"))
 
 
 def json_ld(s: SparkSession, sf: str) -> DataFrame:
@@ -194,13 +194,13 @@ QUERIES = {
 
 SQL = {
     "slug_mint": "select p_partkey, case when n = 1 then base else base || '-' || n end as slug from (select *, row_number() over (partition by base order by p_partkey) as n from (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base from part))",
-    "slug_mint_by_key": """with b as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base from part),
-      u as (select distinct base from b where p_partkey > 400 and p_partkey % 50 = 0), r as (select *, row_number() over (partition by base order by p_partkey) as n from b where p_partkey <= 400)
+    "slug_mint_by_key": """with b as (select p_partkey, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base from part),
+      u as (select distinct base from b where p_size = 1), r as (select *, row_number() over (partition by base order by p_partkey) as n from b)
       select p_partkey, case when n = 1 and u.base is null then r.base else r.base || '-k-' || p_partkey end as slug from r left join u on u.base = r.base""",
-    "slug_mint_by_number": "select p_partkey, case when n = 1 then base else base || '-' || n end as slug from (select *, row_number() over (partition by base order by p_partkey) as n from (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base from part where p_partkey <= 300))",
+    "slug_mint_by_number": "select p_partkey, case when n = 1 then base else base || '-' || n end as slug from (select *, row_number() over (partition by base order by p_partkey) as n from (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as base from part))",
     "slug_collisions": "select trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug, count(*) as n from part group by 1 having count(*) > 1",
-    "name_keys": "select id, name, " + _KEY_SQL.format(gap="", forms="|".join(v.COMPANY_LEGAL)) + " as name_key from (select doc_id as id, substr(text, 1, 60) || ' Co., Inc.' as name from documents union all select p_partkey, p_name || ', L.L.C. Ltd' from part)",
-    "investor_name_keys": f"select id, name, {_INVESTOR_KEY_SQL} as name_key from (select doc_id as id, substr(text, 1, 60) || ' S.A.R.L.' as name from documents union all select s_suppkey, 'A.B ' || s_name || ' Capital, L. P.' from supplier)",
+    "name_keys": "select id, " + _KEY_SQL.format(gap="", forms="|".join(v.COMPANY_LEGAL)) + " as name_key from (select doc_id as id, text || ' Co., Inc.' as name from documents union all select p_partkey, p_name || ', L.L.C. Ltd' from part)",
+    "investor_name_keys": f"select id, {_INVESTOR_KEY_SQL} as name_key from (select doc_id as id, text || ' S.A.R.L.' as name from documents union all select s_suppkey, 'A.B ' || s_name || ' Capital, L. P.' from supplier)",
     "host_extract": "select page_id, " + _HOST_SQL.format(x="case page_id % 3 when 0 then regexp_replace(url, '^https?://', '') when 1 then upper(url) else url end") + " as host, " + _HOST_SQL.format(x="url") + " as hostname from pages",
     "identifying_domain": "with p as (select page_id, "
     + _HOST_SQL.format(x="url")
@@ -208,8 +208,8 @@ SQL = {
     + _HOST_SQL.format(x="cell")
     + f" as x from p)) select page_id, ph as page_domain, case when h <> '' and not {_LINKEDIN} and not {_SOCIAL} then url end as website_url, case when h <> '' and {_LINKEDIN} then url end as linkedin_url, case when h <> '' and not {_OTHERS.format(h='h')} then h end as domain from q",
     "href_extract": "select page_id, i - 1 as pos, l[i] as href from (select page_id, regexp_extract_all(html, '(?i)href=\"([^\"]+)\"', 1) as l from pages), unnest(range(1, len(l) + 1)) t(i)",
-    "snapshot_pairs": "select 'ia' || lpad(cast(page_id as varchar), 6, '0') as label, 'https://www.sec.gov/files/IA' || lpad(cast(page_id as varchar), 6, '0') || '_0.zip' as registered, 'https://x.gov/f/IA' || lpad(cast(page_id as varchar), 6, '0') || '-exemptzip.zip' as exempt from pages where page_id < 500 and page_id % 4 <> 0",
-    "sector_rules": "select doc_id, " + _case("regexp_matches(t, '(?i){x}')", v.SECTOR_WORDS) + " as sector from (select doc_id, substr(text, 1, 200) || ' ' || list_extract(['Payments bank', 'Hospital chain', 'wind power', 'Oil rig', 'cloud hosting', 'HOUSING', 'railway', 'food', 'media', 'school', 'mining', 'internet', 'nothing'], 1 + doc_id % 13) as t from documents)",
+    "snapshot_pairs": "select 'ia' || lpad(cast(page_id as varchar), 6, '0') as label, 'https://www.sec.gov/files/IA' || lpad(cast(page_id as varchar), 6, '0') || '_0.zip' as registered, 'https://x.gov/f/IA' || lpad(cast(page_id as varchar), 6, '0') || '-exemptzip.zip' as exempt from pages where page_id % 4 <> 0",
+    "sector_rules": "select doc_id, " + _case("regexp_matches(t, '(?i){x}')", v.SECTOR_WORDS) + " as sector from (select doc_id, text || ' ' || list_extract(['Payments bank', 'Hospital chain', 'wind power', 'Oil rig', 'cloud hosting', 'HOUSING', 'railway', 'food', 'media', 'school', 'mining', 'internet', 'nothing'], 1 + doc_id % 13) as t from documents)",
     "sector_map": "select p_partkey, " + _case("i = '{x}'", [(x, y) for x, y in v.INDUSTRY_SECTORS.items() if y]) + f" as sector from (select p_partkey, list_extract({list(_INDUSTRIES)!r}, 1 + p_partkey % 8) as i from part)",
     "title_case": f"""with w as (select p_partkey, i, l[i] as w from (select p_partkey, string_split_regex(trim(upper(p_name) || list_extract([' PARTNERS IV, LLC', ' HPS L.P.', ' O''NEIL-WORK''S CO.', ' A.CAPITAL (USA)', ' xii. TPG 3rd'], 1 + p_partkey % 5)), '\\s+') as l from part), unnest(range(1, len(l) + 1)) t(i)),
       b as (select *, regexp_replace(w, '[^A-Za-z.]', '', 'g') as bare from w)
@@ -219,8 +219,8 @@ SQL = {
       b as (select *, case when x >= 1000000000 then 'B' when x >= 1000000 then 'M' else 'K' end as unit, case when x >= 1000000000 then x / 1000000000 when x >= 1000000 then x / 1000000 else x / 1000 end as y from a), c as (select *, cast(floor(y * 10 + 0.5) as bigint) as tenths from b)
       select o_orderkey, case when x is null then 'Undisclosed' when x < 1000 then '$' || x else '$' || (tenths // 10) || case when tenths % 10 = 0 then '' else '.' || (tenths % 10) end || unit end as usd, format('{:,}', n) as counted,
         case when p > 0 then '+' else '' end || case when p = floor(p) then cast(cast(p as bigint) as varchar) else cast(p as varchar) end || '%' as pct from c""",
-    "summary_truncate": "select doc_id, case when length(t) > 72 then rtrim(substr(t, 1, 71)) || '…' else t end as summary from (select doc_id, concat_ws(' · ', substr(text, 1, 70), nullif(trim(source), ''), case when doc_id % 2 = 0 then lang end) as t from documents)",
-    "comma_lists": "select doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 300), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as items from documents",
+    "summary_truncate": "select doc_id, case when length(t) > 72 then rtrim(substr(t, 1, 71)) || '…' else t end as summary from (select doc_id, concat_ws(' · ', text, nullif(trim(source), ''), case when doc_id % 2 = 0 then lang end) as t from documents)",
+    "comma_lists": "select doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as items from documents",
     "json_ld": MODEL_SQL + "select company_id, name, 'https://' || domain as url, case when company_id % 2 = 0 then '1990' end as founded, case when company_id % 5 = 0 then 'https://a.example' end as same_as from companies",
     "stage_band": "select o_orderkey, case when a < 5000000 then 'Seed' when a < 20000000 then 'Series A' when a < 60000000 then 'Series B' when a < 150000000 then 'Series C' when a < 400000000 then 'Series D' else 'Late stage' end as stage from (select o_orderkey, floor(o_totalprice + 0.5) * 1000 as a from orders)",
     "dates_and_numbers": """select o_orderkey, case when o_orderkey % 3 = 2 then date '2020-01-01' else cast(o_orderdate as date) end as day, case when o_orderkey % 3 <> 2 then year(o_orderdate) end as year,
