@@ -7,7 +7,6 @@ temperature is fitted on rows of the sample that the weights were not fitted on.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,6 @@ SAMPLE_PER_LANGUAGE = 700
 GRAMS = Grams(chars=(1, 2, 3), words=(), bits=14)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def normalised(text: str | None) -> str:
@@ -169,7 +167,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     break
                 best, p = model.predict(texts[start:stop])
                 for i in range(start, stop):
-                    if raw[i] is not None and _LETTER.search(raw[i]):
+                    if any(map(str.isalpha, raw[i] or "")):
                         names[i], scores[i] = model.languages[best[i - start]], p[i - start]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
