@@ -16,8 +16,8 @@ from capstrata.llm.common import read_table
 
 #: Words of a shingle, and the share of an item's distinct shingles that makes a document contaminated.
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Sketches are broadcast only up to so many items; larger benchmarks are joined by shuffling.
-BROADCAST_ITEMS = 20_000
+#: A benchmark is broadcast only up to so many shingles over all items (16 MB); a larger one is joined by shuffling.
+BROADCAST_SHINGLES = 1_000_000
 _BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -52,26 +52,44 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return sized.withColumn("sketch", F.slice(F.transform(mixed, lambda x: x["hash"]), F.lit(1), k))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): documents that hold at least the given share of an item.
 
     Documents and items may come in any order and length, with nulls (a null text holds nothing), repeats (one row
-    for each pair) and further columns (ignored). A document is read once and its text is never shuffled.
+    for each pair) and further columns (ignored). With a benchmark of bounded size a document is read once and neither
+    its text nor its shingles are shuffled; with a larger one only hashes are.
     """
     sketched = sketches(items, containment)
-    entries = sketched.select("item_id", "n_shingles", "shingles", F.explode("sketch").alias("hash"))
-    if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
-        entries = F.broadcast(entries)
+    size = sketched.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     held = docs.select("doc_id", shingle_hashes(F.col("text")).alias("held"))
-    # explode would have Catalyst filter empty arrays below the projection and hash each text twice; the join drops nulls
-    hits = held.select("doc_id", "held", F.explode_outer("held").alias("hash")).join(entries, "hash")
-    # a document with fewer shingles than the share needs cannot hold the item
-    able = hits.where(F.size("held") >= F.col("n_shingles") * containment)
-    found = able.withColumn("n_found", F.size(F.array_intersect("shingles", "held"))).where(F.col("n_found") >= F.col("n_shingles") * containment)
+    found = _found_by_broadcast(held, sketched, containment) if size <= broadcast_shingles else _found_by_shuffle(held, sketched, containment)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_found", "n_shingles")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_shingles").cast("long").alias("n_shingles"), F.col("m.n_found").cast("long").alias("n_found"), "m.containment")
 
 
+def _found_by_broadcast(held: DataFrame, sketched: DataFrame, containment: float) -> DataFrame:
+    """Sketch hits in each document, verified in place. An item's shingles go out once, its sketch entries point to them."""
+    entries = sketched.select(F.xxhash64("item_id", "shingles").alias("item"), "n_shingles", F.explode_outer("sketch").alias("hash"))
+    whole = sketched.select(F.xxhash64("item_id", "shingles").alias("item"), "item_id", "shingles")
+    # explode would have Catalyst filter empty arrays below the projection and hash each text twice; the join drops nulls
+    hits = held.select("doc_id", "held", F.explode_outer("held").alias("hash")).join(F.broadcast(entries), "hash")
+    # a document with fewer shingles than the share needs cannot hold the item
+    able = hits.where(F.size("held") >= F.col("n_shingles") * containment).join(F.broadcast(whole), "item")
+    return able.withColumn("n_found", F.size(F.array_intersect("shingles", "held"))).where(F.col("n_found") >= F.col("n_shingles") * containment).select("doc_id", "item_id", "n_shingles", "n_found")
+
+
+def _found_by_shuffle(held: DataFrame, sketched: DataFrame, containment: float) -> DataFrame:
+    """The same by joins on hashes: sketch hits give candidates, and candidates' shingles are counted."""
+    items = sketched.select(F.xxhash64("item_id", "shingles").alias("item"), "item_id", "n_shingles", "shingles", "sketch")
+    each = held.select("doc_id", F.xxhash64("doc_id", "held").alias("doc"), F.size("held").alias("n_held"), F.explode_outer("held").alias("hash"))
+    entries = items.select("item", "item_id", "n_shingles", F.explode_outer("sketch").alias("hash"))
+    candidates = each.join(entries, "hash").where(F.col("n_held") >= F.col("n_shingles") * containment).select("doc", "doc_id", "item", "item_id", "n_shingles").distinct()
+    asked = candidates.join(items.select("item", F.explode_outer("shingles").alias("hash")), "item")
+    matched = asked.join(each.select("doc", "hash").distinct(), ["doc", "hash"])
+    counted = matched.groupBy("doc", "doc_id", "item", "item_id", "n_shingles").agg(F.count("*").alias("n_found"))
+    return counted.where(F.col("n_found") >= F.col("n_shingles") * containment).select("doc_id", "item_id", "n_shingles", "n_found")
+
+
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item. Rows without doc_id stay."""
     dirty = contaminated(docs, items).select("doc_id").distinct()

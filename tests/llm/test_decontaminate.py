@@ -35,8 +35,10 @@ def test_partial_copies_around_the_threshold(spark):
     docs += [(10, "W0, w1; " + " ".join(words[2:]).upper()), (11, " ".join(words[::2]))]
     items = [(0, " ".join(words)), (1, "only four words here"), (2, None), (3, ""), (4, "one two three four five")]
     docs += [(12, "zero one two three four five six"), (13, "one two three four")]
-    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == plain(docs, items) == {(0, 0), (1, 0), (2, 0), (10, 0), (12, 4)}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (1_000_000, 0):
+        found = d.contaminated(*frames, broadcast_shingles=broadcast)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == plain(docs, items) == {(0, 0), (1, 0), (2, 0), (10, 0), (12, 4)}
 
 
 def test_no_python_in_the_plan(spark):
@@ -48,8 +50,9 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta"
     docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, None, 5), (None, text, 5), (3, "", 5)], "doc_id long, text string, item_id int").withColumn("hash", F.lit(1))
     items = spark.createDataFrame([(7, text, "b"), (7, text, "c")], "item_id long, text string, doc_id string")
-    found = [(r.doc_id, r.item_id, r.containment) for r in d.contaminated(docs, items).collect()]
-    assert sorted(found, key=str) == [(1, 7, 1.0), (None, 7, 1.0)]
+    for broadcast in (1_000_000, 0):
+        found = [(r.doc_id, r.item_id, r.containment) for r in d.contaminated(docs, items, broadcast_shingles=broadcast).collect()]
+        assert sorted(found, key=str) == [(1, 7, 1.0), (None, 7, 1.0)]
     clean = d.remove_contaminated(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 2, 3]
     assert d.contaminated(docs.limit(0), items).count() == 0 and d.contaminated(docs, items.limit(0)).count() == 0
