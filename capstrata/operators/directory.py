@@ -64,6 +64,12 @@ def company_order(sort: str | None = None) -> list[Column]:
     return [F.asc("name"), F.asc("slug")]
 
 
+def fallback_order(sort: str | None = None) -> list[Column]:
+    """The order of the fixture list that stands in for the directory: as the directory's, but an unknown valuation counts as 0."""
+    checked(sort, v.COMPANY_SORTS, "sort")
+    return [F.coalesce("last_valuation_usd", F.lit(0)).desc(), F.asc("slug")] if sort == "valuation" else company_order(sort)
+
+
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """One page in a total order; Spark keeps no more than the rows up to the page's end in each task."""
     page, size = checked_page(page, size)

@@ -182,3 +182,19 @@ def investor_backfill(holdings: DataFrame, round_investors: DataFrame, excluded:
     investors = numbered(named).withColumn("moderation_status", F.lit(APPROVED))
     linked = kept.drop("investor_slug").join(investors.select("name", F.col("slug").alias("investor_slug")), "name", "left")
     return investors, linked
+
+
+def link_by_name(rows: DataFrame, investors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with investor_id filled where it was null, investors to mint): by trimmed exact name.
+
+    rows: seq, name, type, investor_id. The first investor of a name by id counts; a name without one is minted once,
+    with the type of its first row by seq (Venture where that is null), as `named:<name>`. Blank names stay unlinked.
+    """
+    known = investors.groupBy(F.trim("name").alias("__name")).agg(F.min("investor_id").cast("string").alias("__known"))
+    open_ = rows.withColumn("__name", F.trim("name")).join(known, "__name", "left")
+    wanted = F.col("investor_id").isNull() & (F.coalesce("__name", F.lit("")) != "")
+    minted = F.concat(F.lit("named:"), "__name")
+    linked = open_.withColumn("investor_id", F.when(wanted, F.coalesce("__known", minted)).otherwise(F.col("investor_id").cast("string")))
+    fresh = open_.where(wanted & F.col("__known").isNull()).groupBy("__name").agg(F.min_by("type", "seq").alias("type"))
+    fresh = fresh.select(minted.alias("investor_id"), F.col("__name").alias("name"), F.coalesce("type", F.lit("Venture")).alias("type"), F.lit(APPROVED).alias("moderation_status"))
+    return linked.drop("__name", "__known"), fresh

@@ -55,6 +55,16 @@ def _named_holdings(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows, parts
 
 
+def link_by_name(s: SparkSession, sf: str) -> DataFrame:
+    """Line items whose flag is R have lost their supplier, and know it by name only; every fifth name is nobody's."""
+    lines = read_table(s, sf, "lineitem").join(read_table(s, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    name = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit(" Nobody "), (F.col("l_suppkey") % 20).cast("string"))).otherwise(F.concat("s_name", F.lit(" ")))
+    rows = lines.select(seq.alias("seq"), name.alias("name"), F.col("l_returnflag").alias("type"), F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("investor_id"))
+    linked, fresh = merge.link_by_name(rows, e.investors(s, sf))
+    return linked.groupBy("investor_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).join(fresh.select("investor_id", F.lit(True).alias("minted")), "investor_id", "left")
+
+
 def _incoming(s: SparkSession, sf: str) -> DataFrame:
     """Records that match companies by key, by domain or by name, or not at all."""
     c = e.companies(s, sf)
@@ -280,7 +290,7 @@ def _sql_case(pairs: list[tuple[str, str | None]]) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins, latest_filing, earliest_event, exclusion_anti_join, modal_type_backfill, name_link, multi_key_match, resolve_in_order, contributed_investors, upsert_merge,
+        first_wins, latest_filing, earliest_event, exclusion_anti_join, modal_type_backfill, name_link, link_by_name, multi_key_match, resolve_in_order, contributed_investors, upsert_merge,
         upsert_merge_twice, enrich_fill_blanks, revision_diff, update_own_rows, sector_backfill, proposal_diff, proposal_apply, proposal_revisions, moderation_flip, moderation_revisions,
         publish_linked_firms, citation_attach, citation_sources, citation_targets, citation_resolve, citation_list, json_diff_explode,
     )
@@ -345,6 +355,8 @@ SQL = {
     "exclusion_anti_join": "select s_suppkey as investor_id, s_name as name from supplier where s_suppkey not in (3, 5) and not exists (select 1 from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R' and l_quantity >= 50)",
     "modal_type_backfill": _BACKFILL + "select name, type, slug from i",
     "name_link": _BACKFILL + "select holding_id, name, slug as investor_slug from h left join i using (name)",
+    "link_by_name": """with r as (select l_orderkey * 10 + l_linenumber as seq, case when l_returnflag <> 'R' then cast(l_suppkey as varchar) when l_suppkey % 5 = 0 then 'named:Nobody ' || (l_suppkey % 20) else cast(l_suppkey as varchar) end as investor_id from lineitem)
+      select investor_id, count(*) as n, min(seq) as first_seq, case when starts_with(investor_id, 'named:') then true end as minted from r group by investor_id""",
     "multi_key_match": _MATCH + "select seq, matched_id, matched_by from matched",
     "contributed_investors": MODEL_SQL
     + """, asked as (select c_custkey as seq, case when c_custkey % 2 = 0 then upper(' supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')) else 'New Firm ' || (c_custkey % 40) end as name from customer),

@@ -74,6 +74,11 @@ def directory_sort_valuation_nulls_last(s: SparkSession, sf: str) -> DataFrame:
     return directory.page_of(found, directory.company_order("valuation"), 12, 100).select("slug", "last_valuation_usd")
 
 
+def directory_fallback_order(s: SparkSession, sf: str) -> DataFrame:
+    found = directory.find_companies(e.companies(s, sf))
+    return directory.page_of(found, directory.fallback_order("valuation"), 12, 100).select("slug", "last_valuation_usd")
+
+
 def directory_in_list(s: SparkSession, sf: str) -> DataFrame:
     return directory.find_companies(e.companies(s, sf), slugs="customer-000000001,,customer-000000005,customer-000000010,nobody").select(*_LIST)
 
@@ -216,7 +221,7 @@ _LIST_SQL = ", ".join(_LIST)
 QUERIES = {
     f.__name__: f
     for f in (
-        market_stats, market_totals, market_sort, top_raised, sector_page, directory_page, directory_search, directory_facets, directory_sort_valuation_nulls_last,
+        market_stats, market_totals, market_sort, top_raised, sector_page, directory_page, directory_search, directory_facets, directory_sort_valuation_nulls_last, directory_fallback_order,
         directory_in_list, compare_selection, typeahead, listed_slugs, sitemap, investor_directory, investor_search, investor_portfolio_sample, investor_detail,
         profile_sections, profile_preview_gate, funding_ladder, history_timeline, last_contribution, recent_contribution, my_contributions, moderation_queue,
         queue_counts_by_type, watchlist, watchlist_save,
@@ -237,6 +242,7 @@ SQL = {
     "directory_search": MODEL_SQL + f"select {_LIST_SQL}, count(*) over () as total from shown where contains(lower(name), 'build') or contains(lower(one_liner), 'build') order by name, slug limit 25",
     "directory_facets": MODEL_SQL + f"select {_LIST_SQL} from shown where sector = 'MACHINERY' and stage = 'Series B' and status = 'Private'",
     "directory_sort_valuation_nulls_last": MODEL_SQL + "select slug, last_valuation_usd from shown order by last_valuation_usd desc nulls last, slug limit 100 offset 1100",
+    "directory_fallback_order": MODEL_SQL + "select slug, last_valuation_usd from shown order by coalesce(last_valuation_usd, 0) desc, slug limit 100 offset 1100",
     "directory_in_list": MODEL_SQL + f"select {_LIST_SQL} from shown where slug in ('customer-000000001', 'customer-000000005', 'customer-000000010', 'nobody')",
     "compare_selection": MODEL_SQL + "select w.pos, slug, name from shown join (values (0, 'customer-000000009'), (1, 'customer-000000003'), (2, 'nobody'), (3, 'customer-000000001')) w(pos, slug) using (slug)",
     "typeahead": MODEL_SQL + "select slug, name, domain from shown where contains(lower(name), '00007') or contains(lower(one_liner), '00007') order by name, slug limit 10",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from capstrata.functions import vocabulary as v
 from capstrata.functions.text import company_name_key
 from capstrata.operators import checks, citations, directory, ingest, market, merge, moderation, profile, resolve, slugs
+from capstrata.sources import demo
 from capstrata.streaming import landing
 
 
@@ -234,10 +235,41 @@ def test_citation_backfill_is_idempotent(spark):
     assert {r.url: r.source_type for r in s1.collect()} == {"u1": "SEC filing", "u2": "Press"}
 
 
-def test_validation(spark):
-    rows = spark.createDataFrame([("A", "2024-01-01", 1, ["x"]), ("", "soon", -1, []), (None, None, None, None)], "name string, date string, amount_usd long, investors array<string>")
-    good, bad = checks.split_valid(rows, checks.round_rules())
-    assert good.count() == 1 and [r.reasons for r in bad.collect()] == [["name", "date", "amount", "investors"]] * 2
+def test_validation_of_contributions(spark):
+    cases = {
+        "round": ("name string, date string, amount_usd long, post_money_usd long, investors array<struct<name:string,lead:boolean>>, source_url string", ("A", "2024-01-01", 1, None, [("x", True)], None), ("", "soon", -1, -1, [], "ftp://x"), ["name", "date", "amount_usd", "post_money_usd", "investors", "source_url"]),
+        "person": ("name string, role string, since int, linkedin_url string, source_url string", ("A", "CEO", 2020, None, "https://a.b/c"), (" ", None, None, "x", None), ["name", "role", "since", "linkedin_url"]),
+        "investor": ("name string, type string, first_round string, rounds int, website_url string, source_url string", ("A", "Angel", "Seed", 0, None, None), ("A", "Bank", "", -1, "a", None), ["type", "first_round", "rounds", "website_url"]),
+        "acquisition": ("target string, date string, amount_usd long, rationale string, source_url string", ("A", "2024-01-01T00:00:00Z", None, "r", None), (None, "2024-13-01", -1, "", None), ["target", "date", "amount_usd", "rationale"]),
+        "exit": ("type string, date string, value_usd long, detail string, source_url string", ("IPO", "2024-01-01", 5, "d", None), ("Sale", None, -5, None, None), ["type", "date", "value_usd", "detail"]),
+        "diversity": ("label string, value string, note string, source_url string", ("a", "b", "c", None), (None, "", " ", ""), ["label", "value", "note", "source_url"]),
+    }
+    for kind, (schema, good, bad, reasons) in cases.items():
+        kept, rejected = checks.split_valid(spark.createDataFrame([good, bad], schema), checks.contribution_rules(kind))
+        assert kept.count() == 1, kind
+        assert [sorted(r.reasons) for r in rejected.collect()] == [sorted(reasons)], kind
+
+
+def test_validation_of_proposals(spark):
+    good = [{"name": '"A"'}, {"last_valuation_usd": "null", "industry": '["a"]'}, {"primary_sector": '"Fintech"', "website_url": "null"}]
+    bad = [({}, ["fields"]), ({"slug": '"x"'}, ["fields"]), ({"name": '" "', "founded": '"x"'}, ["name", "founded"]), ({"industry": "[]", "status": '"Gone"', "stage": "null"}, ["industry", "status", "stage"]), ({"linkedin_url": '"no"', "headcount": "-1"}, ["linkedin_url", "headcount"])]
+    rows = spark.createDataFrame([(c,) for c in [*good, *(c for c, _ in bad)]], "changes map<string,string>")
+    kept, rejected = checks.split_valid(rows, checks.proposal_rules())
+    assert kept.count() == len(good)
+    assert sorted(sorted(r.reasons) for r in rejected.collect()) == sorted(sorted(r) for _, r in bad)
+
+
+def test_demo_tables_link_by_name(spark):
+    t = demo.tables(spark)
+    rows = t["holdings"].withColumn("seq", F.monotonically_increasing_id()).withColumn("investor_id", F.lit(None).cast("long"))
+    stored = spark.createDataFrame([(7, "Long Bridge Capital"), (9, "Long Bridge Capital")], "investor_id long, name string")
+    linked, fresh = merge.link_by_name(rows, stored)
+    assert sorted(r.investor_id for r in linked.collect()) == ["7", "named:Fjord Ventures", "named:Fjord Ventures"]
+    assert [(r.name, r.type) for r in fresh.collect()] == [("Fjord Ventures", "Venture")]
+    p = profile.profiles(t["companies"], [profile.section(t["rounds"], "rounds", ["date", "name"], ["date"])])
+    assert {r.slug: r.rounds_total for r in p.collect()} == {"northwind-grid": 2, "tidepool-labs": 1, "copperline": 1}
+    order = [r.slug for r in t["companies"].orderBy(*directory.fallback_order("valuation")).collect()]
+    assert order == ["copperline", "northwind-grid", "tidepool-labs"]
 
 
 def test_landed_files_merge_once(spark, tmp_path):
