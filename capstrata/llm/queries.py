@@ -10,7 +10,7 @@ from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.secrets import op10_secrets
 from capstrata.llm.simhash import op2_simhash
-from capstrata.llm.urls import op1_urls
+from capstrata.llm.urls import OP1_SQL, op1_urls
 from capstrata.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_urls": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op8_warc": OP8_SQL,

@@ -59,7 +59,7 @@ def generalised(segment: Column) -> Column:
     """A segment, or a wildcard where its form is variable; a short extension of letters stays."""
     extension = F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1)
     stem = F.regexp_replace(segment, r"\.[A-Za-z]{1,5}$", "")
-    variable = stem.rlike(r"^[0-9]+$") | (stem.rlike(r"^[0-9A-Fa-f-]{8,}$") & stem.rlike("[0-9]")) | (F.length(stem) > 32) | stem.contains(ANY)
+    variable = stem.rlike(r"^[0-9]+$") | (stem.rlike(r"^[0-9A-Fa-f-]{8,}$") & stem.rlike("[0-9]")) | (F.length(stem) > 32) | segment.contains(ANY)
     return F.when(variable, F.concat(F.lit(ANY), extension)).otherwise(segment)
 
 
@@ -136,3 +136,45 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return judge(pages, page_labels(pages, read_table(spark, sf_dir, "labels")))
+
+
+def _levels_sql() -> str:
+    """The tree level by level: child counts, parent counts, the token of each child, and the prefixes that follow."""
+    out = []
+    for i in range(MAX_DEPTH + 1):
+        out.append(f"""
+c{i} as materialized (select host, prefix, segments[{i + 1}] as child, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from t{i} where segments[{i + 1}] is not null group by all),
+q{i} as materialized (select host, prefix, sum(n) as all_n, sum(labelled) as all_labelled, sum(bad) as all_bad, count(*) as children from c{i} group by all),
+x{i} as materialized (select *, all_labelled - labelled as rest, all_bad / greatest(all_labelled, 1)::double as share,
+  abs(bad / greatest(labelled, 1)::double - (all_bad - bad) / greatest(all_labelled - labelled, 1)::double) as apart from c{i} join q{i} using (host, prefix)),
+k{i} as materialized (select host, prefix, child, case when children > 1 and ((children >= {MANY_CHILDREN} and all_n < {FEW_PAGES} * children) or labelled = 0 or rest = 0
+  or apart <= {ALIKE} * sqrt(share * (1 - share) * (1 / greatest(labelled, 1)::double + 1 / greatest(rest, 1)::double))) then '*' else child end as token from x{i}),
+t{i + 1} as materialized (select t.host, t.shape, t.segments, t.n, t.labelled, t.bad, case when k.token is null then t.prefix else t.prefix || '/' || k.token end as prefix
+  from t{i} t left join k{i} k on k.host = t.host and k.prefix = t.prefix and k.child = t.segments[{i + 1}])""")
+    return ",".join(out)
+
+
+def _rules_sql(of: int) -> str:
+    cases = [f"when (host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}') then '{(r, then)[of]}'" for r, then in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))]
+    return "case " + " ".join(cases) + " end"
+
+
+OP1_SQL = rf"""
+with u as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+g as materialized (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case
+  when regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '^[0-9]+$') or length(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', '')) > 32 or contains(s, '*')
+    or (regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '^[0-9A-Fa-f-]{{8,}}$') and regexp_matches(regexp_replace(s, '\.[A-Za-z]{{1,5}}$', ''), '[0-9]'))
+  then '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1) else s end) as every from p),
+s as materialized (select page_id, host, path, case when len(every) > {MAX_DEPTH} then list_append(every[1:{MAX_DEPTH}], '**') else every end as segments from g),
+l as (select page_id, max(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1) as bad from (select page_id, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') as bigint) as doc_id from p) join labels using (doc_id) where page_id is not null group by page_id),
+t0 as materialized (select host, array_to_string(segments, '/') as shape, any_value(segments) as segments, count(*) as n, count(bad) as labelled, count(*) filter (bad) as bad, '' as prefix from s left join l using (page_id) group by 1, 2),
+{_levels_sql()},
+m as materialized (select host, prefix, sum(labelled) as labelled, sum(bad) as bad from t{MAX_DEPTH + 1} group by all),
+h as (select host, sum(labelled) as host_labelled, sum(bad) as host_bad from m group by all),
+o as (select coalesce(sum(host_bad), 0) / greatest(1, coalesce(sum(host_labelled), 0))::double as overall from h),
+j as (select m.host, m.prefix, m.labelled, (bad + {SMOOTHING} * ((host_bad + {SMOOTHING} * overall) / (host_labelled + {SMOOTHING}))) / (labelled + {SMOOTHING}) as share from m join h using (host), o),
+v as (select t.host, t.shape, t.prefix as template, 1 - share as purity, case when j.labelled >= {LEAST_LABELS} and share >= {REJECT_FROM} then 'block' else 'allow' end as verdict from t{MAX_DEPTH + 1} t join j on j.host = t.host and j.prefix = t.prefix)
+select page_id, s.host, path, {_rules_sql(0).replace("host", "s.host")} as rule, coalesce({_rules_sql(1).replace("host", "s.host")}, verdict) as verdict, template, purity
+from (select *, array_to_string(segments, '/') as shape from s) s join v using (host, shape)
+"""
