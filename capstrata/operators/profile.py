@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from capstrata.functions import values
 from capstrata.functions.vocabulary import APPROVED
@@ -12,14 +13,22 @@ from capstrata.operators.market import visible
 PREVIEW = 2
 
 
-def section(children: DataFrame, name: str, fields: list[str], order: list[str]) -> DataFrame:
+def section(children: DataFrame, name: str, fields: list[str], order: list[str], most: int | None = None) -> DataFrame:
     """(company_id, name, name_total): a company's approved children as one list, in order.
 
-    Each section is gathered by itself before profiles join it, so sections do not multiply each other's rows.
+    Each section is gathered by itself before profiles join it, so sections do not multiply each other's rows. With
+    `most` only the first so many are gathered (a preview needs no more), however many a company has; the total is
+    always that of the whole.
     """
+    shown = visible(children)
     entry = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in fields if c not in order])
-    listed = visible(children).groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
-    return listed.withColumn(f"{name}_total", F.size(name))
+    if most is None:
+        listed = shown.groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+        return listed.withColumn(f"{name}_total", F.size(name))
+    totals = shown.groupBy("company_id").agg(F.count("*").cast("int").alias(f"{name}_total"))
+    rank = F.row_number().over(Window.partitionBy("company_id").orderBy(*order))
+    first = shown.withColumn("__rank", rank).where(F.col("__rank") <= most).groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+    return first.join(totals, "company_id")
 
 
 def profiles(companies: DataFrame, sections: list[DataFrame]) -> DataFrame:
@@ -73,8 +82,6 @@ def field_citations(citations: DataFrame, field: str, most: int = 3) -> DataFram
     rows = citations.where(F.col("field").isin(field, ""))
     exact = rows.groupBy("entity_id").agg(F.max(F.col("field") == field).alias("has"))
     kept = rows.join(exact, "entity_id").where(F.col("has") == (F.col("field") == field) if field else F.lit(True))
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("created_at", "citation_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= most).drop("has")
 

@@ -206,6 +206,8 @@ def test_profile_previews_hide_citations(spark):
     cut = profile.gated(p, ["rounds"], F.lit(False))
     rows = {r.company_id: r for r in cut.collect()}
     assert [x.entity_id for x in rows[1].rounds] == [1, 2] and rows[1].rounds_total == 4 and rows[2].rounds == [] and rows[2].rounds_total == 0
+    few = profile.profiles(companies, [profile.section(kids, "rounds", ["date", "entity_id"], ["date", "entity_id"], profile.PREVIEW)])
+    assert [tuple(r) for r in few.orderBy("company_id").collect()] == [tuple(r) for r in cut.orderBy("company_id").collect()]
     cites = spark.createDataFrame([(i, str(i), 1, i) for i in range(1, 5)], "citation_id int, entity_id string, source_id int, created_at int")
     sources = spark.createDataFrame([(1, "u", "Press", None, None)], "source_id int, url string, source_type string, publisher string, title string")
     shown = cut.select(F.explode("rounds").alias("r")).select(F.col("r.entity_id").cast("string").alias("entity_id"))
