@@ -62,10 +62,10 @@ def sorted_stats(stats: DataFrame, key: str, descending: bool = False, limit: in
 def totals(companies: DataFrame, rounds: DataFrame, as_of: Column, unicorn_usd: int = UNICORN_USD) -> DataFrame:
     """One row: total raised, deals, companies at or above the threshold, and the quarter. Companies without sector count."""
     shown = visible(companies)
-    own = shown.agg(F.coalesce(F.sum("total_raised_usd"), F.lit(0)).cast("double").alias("total_raised_usd"), F.count_if(F.col("last_valuation_usd") >= unicorn_usd).alias("new_unicorns"), F.first(values.quarter_label(as_of)).alias("quarter"))
+    own = shown.agg(F.coalesce(F.sum("total_raised_usd"), F.lit(0)).cast("double").alias("total_raised_usd"), F.count_if(F.col("last_valuation_usd") >= unicorn_usd).alias("new_unicorns"))
     deals = approved_rounds(companies, rounds).agg(F.count("*").alias("deal_count"))
     # both sides are one row
-    return own.withColumn("one", F.lit(1)).join(deals.withColumn("one", F.lit(1)), "one").select("total_raised_usd", "deal_count", "new_unicorns", "quarter")
+    return own.withColumn("one", F.lit(1)).join(deals.withColumn("one", F.lit(1)), "one").select("total_raised_usd", "deal_count", "new_unicorns", values.quarter_label(as_of).alias("quarter"))
 
 
 def funding_ladder(rounds: DataFrame) -> DataFrame:
