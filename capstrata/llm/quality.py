@@ -23,7 +23,7 @@ from capstrata.llm.ngrams import Grams, Layout
 #: At most so many labelled rows are fitted on; the first by a hash of their id.
 SAMPLE_ROWS = 2400
 #: A text is kept if its probability of good quality is at least this.
-KEEP_FROM = 0.15
+KEEP_FROM = 0.3
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 0.2, 5
 SYMBOLS = "#*$%&|<>"
 GRAMS = Grams(chars=(1, 2, 3), words=(1, 2), bits=15)
