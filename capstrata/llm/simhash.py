@@ -13,7 +13,7 @@ grouped by the 65 values within one bit of it. Such a group has at most 65 membe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capstrata.llm import similar
 from capstrata.llm.common import connected_components, cut, read_table
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
@@ -87,23 +88,33 @@ def links(fps: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links.
-
-    Repeated rows keep their rows. A null doc_id is never a component_id, unless its component has no other.
-    Copies are collapsed to their fingerprint before candidates are searched.
-    """
-    prints = cut(fingerprints(docs))
+def _components(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) for prints (doc_id, fp) and the links of its distinct fp."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(classes.select("fp"), block_limit))
+    roots = connected_components(links_of(classes.select("fp")))
     rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     groups = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_print = cut(rooted.join(groups, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
-    """docs with one row for each component: that of the smallest doc_id. Rows without doc_id stay as they are."""
+def simhash_components(docs: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links.
+
+    Repeated rows keep their rows. A null doc_id is never a component_id, unless its component has no other.
+    Copies are collapsed to their fingerprint before candidates are searched.
+    """
+    return _components(cut(fingerprints(docs)), lambda fps: links(fps, block_limit))
+
+
+def near_duplicates(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
+    """The same for texts of which five-word shingles have a Jaccard similarity of 0.8 or more; fp is the set's hash."""
+    prints, pairs = similar.similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_limit)
+    return _components(prints, lambda _: pairs)
+
+
+def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
+    """docs with one row for each component of near_duplicates: that of the smallest doc_id. Rows without doc_id stay as they are."""
     found = near_duplicates(docs.select("doc_id", "text"), block_limit)
     kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -111,5 +122,5 @@ def deduplicate(docs: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
