@@ -15,6 +15,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
-#: A candidate for the network: so long a run of such characters, with a digit and a letter.
+#: A candidate for the network: so long a run of such characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Documents whose candidates are fitted on, the most candidates of each, and how much of the true findings a threshold must keep.
 SAMPLE_DOCS, SAMPLE_PER_DOC, RECALL = 4000, 100, 0.95
 BEFORE, INSIDE, AFTER = 20, 36, 8
+#: Characters from one window of a long candidate to the next.
+STRIDE = 12
 _WIDTH, _FILTERS, _EMBED = 5, 16, 8
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LEAST = min(HEX_LEAST, ACCESS_LEAST, 16)
@@ -66,19 +69,31 @@ def _long_words(text: str) -> Iterator[tuple[int, str]]:
 
 
 def candidates(text: str, known: list[Span]) -> list[tuple[int, int, bool]]:
-    """(start, end, whether a known span overlaps it) of each candidate."""
+    """(start, end, whether known spans cover it) of each candidate; one that they cover in part is given by its parts."""
     found = []
     for start, word in _long_words(text):
         for m in CANDIDATE.finditer(word):
-            value = m.group()
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-                s, e = start + m.start(), start + m.end()
-                found.append((s, e, any(a < e and s < b for a, _, b in known)))
+            at, end = start + m.start(), start + m.end()
+            for s, _, e in known:
+                if s >= end or e <= at:
+                    continue
+                if s > at:
+                    found.append((at, s, False))
+                found.append((max(s, at), min(e, end), True))
+                at = e
+            if at < end:
+                found.append((at, end, False))
     return found
 
 
+def windows_of(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows, by start and end, over the whole of a candidate."""
+    last = max(start, end - INSIDE)
+    return [(a, min(end, a + INSIDE)) for a in [*range(start, last, STRIDE), last]]
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters around and in a candidate: 0 for none, 1 for any beyond ASCII, else the character's."""
+    """Codes of the characters around and in one window of a candidate: 0 for none, 1 for any beyond ASCII, else the character's."""
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
     value = text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
     after = text[end : end + AFTER].ljust(AFTER, "\0")
@@ -166,10 +181,13 @@ def made_findings(count: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, low, high: "".join(rng.choice(chars) for _ in range(rng.randint(low, high)))
     word = lambda: some(lower, 2, 9)
+    syllable = lambda: rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s"))
     secrets = (
         lambda: some(lower + upper + digits, 20, 44),
         lambda: some(lower + upper + digits + "+/", 24, 64) + rng.choice(("", "=", "==")),
         lambda: rng.choice(("sk_live_", "pk_test_", "key-", "tok_", "gh_", "pat-")) + some(lower + upper + digits, 20, 36),
+        lambda: some(lower + upper, 16, 40),
+        lambda: some(lower + upper + digits, 16, 20),
         lambda: some(upper + digits, 20, 32),
         lambda: some(lower + digits, 24, 40),
         lambda: some(lower + upper + digits + "_-", 28, 48),
@@ -182,6 +200,10 @@ def made_findings(count: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
         lambda: f"{some(digits, 4, 4)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}T{some(digits, 6, 6)}Z",
         lambda: word().title() + word().title() + word().title() + some(digits, 1, 3),
         lambda: some(digits, 14, 20) + rng.choice(("px", "ms", "kb")),
+        lambda: "".join(syllable() for _ in range(rng.randint(8, 12))),
+        lambda: "".join(syllable() for _ in range(rng.randint(8, 12))).title(),
+        lambda: "/".join("".join(syllable() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 14))),
+        lambda: rng.choice("=-_") * rng.randint(16, 60),
         lambda: "=" * rng.randint(12, 20) + some(digits, 1, 3) + word(),
         lambda: "/" + word() + "/" + some(digits, 4, 4) + "/" + some(digits, 2, 2) + "/" + word() + "-" + word(),
     )
@@ -192,7 +214,12 @@ def made_findings(count: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
         value, lead = rng.choice(secrets if true else others)(), rng.choice(leads)()
         if len(value) < 16:
             value += some(lower, 16, 20) if not true else some(lower + digits, 16, 20)
-        codes.append(window(lead + value + rng.choice((" ", '" ', ".", "\n", "")) + word(), len(lead), len(lead) + len(value)))
+        text = lead + value + rng.choice((" ", '" ', ".", "\n", "")) + word()
+        ends = windows_of(len(lead), len(lead) + len(value))
+        if true and rng.random() < 0.3:  # a key at the end of a longer run: only its last window is sure to hold it
+            run = "/".join(word() for _ in range(rng.randint(1, 8))) + rng.choice("/=_-")
+            text, ends = lead + run + text[len(lead) :], windows_of(len(lead), len(lead) + len(run) + len(value))[-1:]
+        codes.append(window(text, *(ends[0] if true else rng.choice(ends))))
         y.append(true)
     return np.array(codes), np.array(y, np.float64)
 
@@ -223,15 +250,17 @@ _LABELLED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("codes",
 
 
 def spans_of(texts: list[str], net: Network) -> list[list[Span]]:
-    """All spans of each text: the known kinds, and candidates apart from them that the network accepts."""
+    """All spans of each text: the known kinds, and candidates apart from them of which the network accepts any window."""
     found = [base_spans(t) for t in texts]
     open_ = [(i, s, e) for i, t in enumerate(texts) for s, e, known in candidates(t, found[i]) if not known]
-    for at in range(0, len(open_), 4096):
-        part = open_[at : at + 4096]
-        p = net.probabilities(np.array([window(texts[i], s, e) for i, s, e in part]))
-        for (i, s, e), accepted in zip(part, p >= net.threshold, strict=True):
-            if accepted:
-                found[i].append((s, 3, e))
+    parts = ((k, a, b) for k, (_, s, e) in enumerate(open_) for a, b in windows_of(s, e))
+    accepted: set[int] = set()
+    while part := list(islice(parts, 4096)):
+        p = net.probabilities(np.array([window(texts[open_[k][0]], a, b) for k, a, b in part]))
+        accepted.update(k for (k, _, _), yes in zip(part, p >= net.threshold, strict=True) if yes)
+    for k in accepted:
+        i, s, e = open_[k]
+        found[i].append((s, 3, e))
     return [sorted(f) for f in found]
 
 

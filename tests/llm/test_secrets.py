@@ -66,3 +66,16 @@ def test_redact_overlaps():
     text = "token=0123456789abcdef0123 x"
     assert s.redact(text, s.base_spans(text)) == "token=[SECRET] x"
     assert np.all(s.window("ab", 0, 2) < 128)
+
+
+def test_keys_at_the_end_of_long_runs_and_parts_of_candidates():
+    net = s.fit(*s.made_findings())
+    key = "kX7pQ2vLm9ZtRw4sYb8NcG3h"
+    run = "alpha/beta/gamma/delta/epsilon/sigma/omega/" + key
+    texts = ["see " + run + " here", "sk_live_0123456789abcdef" + key, "qXvTbLmZtRwKsYbPNcGhJdFw"]
+    found = s.spans_of(texts, net)
+    assert any(a <= 4 + len(run) - len(key) and b >= 4 + len(run) for a, _, b in found[0])
+    assert "[SECRET]" in s.redact(texts[1], found[1]) and key not in s.redact(texts[1], found[1])
+    assert found[2]
+    # every character lies in a window
+    assert all(set(range(3, 3 + n)) == {i for a, b in s.windows_of(3, 3 + n) for i in range(a, b)} for n in range(1, 200))
