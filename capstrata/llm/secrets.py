@@ -2,10 +2,10 @@
 
 The network is numpy: an embedding of characters, one convolution, the maximum over positions, one dense layer. It
 sees a candidate with the characters around it. It is fitted on labelled findings: candidates of a bounded sample of
-documents, labelled by whether a known kind covers them, and a fixed number of findings made by rule (keys of many
+documents, true where a known kind covers them and false where a rule shows them harmless, and a fixed number of findings made by rule (keys of many
 shapes in many surroundings against identifiers, numbers, paths and words). Its scores are calibrated by Platt's
 method on findings that it was not fitted on, and the threshold is the highest that still finds the required share of
-the true ones there, but never below even odds.
+the true ones there that no known kind covers. `Network.precision` tells what that costs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: A candidate for the network: so long a run of such characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PLAIN = re.compile(r"[A-Z]?[a-z]{1,12}|[A-Z]{1,6}|[0-9]{1,8}")
 #: Documents whose candidates are fitted on, the most candidates of each, and how much of the true findings a threshold must keep.
 SAMPLE_DOCS, SAMPLE_PER_DOC, RECALL = 4000, 100, 0.95
 BEFORE, INSIDE, AFTER = 20, 36, 8
@@ -86,6 +87,11 @@ def candidates(text: str, known: list[Span]) -> list[tuple[int, int, bool]]:
     return found
 
 
+def harmless(value: str) -> bool:
+    """Whether a candidate of no known kind is shown harmless: it consists of short words and numbers between its marks."""
+    return all(_PLAIN.fullmatch(part) for part in re.split(r"[+/_=-]+", value) if part)
+
+
 def windows_of(start: int, end: int) -> list[tuple[int, int]]:
     """Overlapping windows, by start and end, over the whole of a candidate."""
     last = max(start, end - INSIDE)
@@ -113,6 +119,8 @@ class Network:
     slope: float = 1.0
     offset: float = 0.0
     threshold: float = 0.5
+    #: Share of true ones among the held-out findings of no known kind that reach the threshold.
+    precision: float = float("nan")
 
     @classmethod
     def new(cls, seed: int) -> Network:
@@ -139,8 +147,11 @@ class Network:
         return sigmoid(self.slope * z + self.offset)
 
 
-def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 10, seed: int = 7) -> Network:
-    """Adam on four fifths of the findings; calibration and threshold on the rest."""
+def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 10, seed: int = 7, known: np.ndarray | None = None) -> Network:
+    """Adam on four fifths of the findings; calibration and threshold on the rest.
+
+    known: findings that a known kind covers (none by default), of which the threshold takes no account.
+    """
     net, rng = Network.new(seed), np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
@@ -169,9 +180,11 @@ def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int =
                 setattr(net, name, getattr(net, name) - 0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8))
     z = net.forward(codes[held])[0]
     net.slope, net.offset = platt(z, y[held])
-    p = np.sort(sigmoid(net.slope * z + net.offset)[y[held] == 1])
-    if len(p):
-        net.threshold = max(0.5, float(p[int((1 - recall) * len(p))]))
+    p, alone = sigmoid(net.slope * z + net.offset), np.ones(int(held.sum()), bool) if known is None else ~known[held]
+    true = np.sort(p[alone & (y[held] == 1)])
+    if len(true):
+        net.threshold = float(true[int((1 - recall) * len(true))])
+        net.precision = float(y[held][alone & (p >= net.threshold)].mean())
     return net
 
 
@@ -234,7 +247,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 known = base_spans(text or "")
-                rows += [{"doc_id": doc, "start": s, "codes": window(text, s, e).tobytes(), "secret": int(k)} for s, e, k in candidates(text or "", known)[:SAMPLE_PER_DOC]]
+                rows += [{"doc_id": doc, "start": s, "codes": window(text, s, e).tobytes(), "secret": int(k)} for s, e, k in candidates(text or "", known)[:SAMPLE_PER_DOC] if k or harmless(text[s:e])]
             yield pa.RecordBatch.from_pylist(rows, schema=_LABELLED)
 
     found = texts.mapInArrow(batches, "doc_id long, start long, codes binary, secret int").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "codes").limit(sample_docs).collect()
@@ -242,8 +255,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
     if found:
         codes = np.concatenate([codes, np.array([np.frombuffer(r.codes, np.uint8) for r in found])])
         y = np.concatenate([y, np.array([r.secret for r in found], np.float64)])
+    known = np.arange(len(y)) >= len(y) - len(found)
+    known &= y == 1
     mixed = np.random.default_rng(3).permutation(len(y))
-    return fit(codes[mixed], y[mixed])
+    return fit(codes[mixed], y[mixed], known=known[mixed])
 
 
 _LABELLED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("codes", pa.binary()), ("secret", pa.int32())])

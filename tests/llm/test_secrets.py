@@ -79,3 +79,20 @@ def test_keys_at_the_end_of_long_runs_and_parts_of_candidates():
     assert found[2]
     # every character lies in a window
     assert all(set(range(3, 3 + n)) == {i for a, b in s.windows_of(3, 3 + n) for i in range(a, b)} for n in range(1, 200))
+
+
+def test_threshold_keeps_the_recall_of_findings_that_no_known_kind_covers():
+    rng = np.random.default_rng(2)
+    codes, y = s.made_findings(1500)
+    # true findings that look like harmless ones, among many easy ones of a known kind
+    y = np.where((y == 0) & (rng.random(len(y)) < 0.2), 1.0, y)
+    easy = np.tile(s.window("id 0123456789abcdef0123 x", 3, 23), (3000, 1))
+    known = np.r_[np.zeros(len(y), bool), np.ones(len(easy), bool)]
+    codes, y = np.concatenate([codes, easy]), np.r_[y, np.ones(len(easy))]
+    mixed = rng.permutation(len(y))
+    codes, y, known = codes[mixed], y[mixed], known[mixed]
+    net = s.fit(codes, y, epochs=3, known=known)
+    held = (np.arange(len(y)) % 5 == 4) & (y == 1) & ~known
+    assert (net.probabilities(codes[held]) >= net.threshold).mean() >= 0.95
+    assert 0 < net.precision <= 1
+    assert s.harmless("alpha/beta-2024_Gamma") and not s.harmless("kX7pQ2vLm9ZtRw4sYb8N") and not s.harmless("abcdefghijklmnopqrst")
