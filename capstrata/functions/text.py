@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,10 +137,16 @@ def classify_website(cell: Column) -> Column:
 
 def sector_of_text(text: Column) -> Column:
     """The sector of the first rule that the text holds a word of; null if none."""
-    out = F.when(F.lit(False), "")
-    for words, sector in v.SECTOR_WORDS:
-        out = out.when(text.rlike(f"(?i){words}"), sector)
-    return out
+
+
+    def of(lowered: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for words, sector in v.SECTOR_WORDS:
+            out = out.when(reduce(Column.__or__, (F.contains(lowered, F.lit(w)) for w in words.split("|"))), sector)
+        return out
+
+    # A-Z alone are lowered, once for all words
+    return _with(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), of)
 
 
 def sector_of_industry(industry: Column) -> Column:

@@ -102,3 +102,15 @@ def shown_value(value: Column, field: Column, money_fields: tuple[str, ...], mos
         .otherwise(plain)
     )
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def json_value(value: Column, kind: str) -> Column:
+    """A value as JSON text, by its type's name: texts in quotes, null as the JSON null."""
+    listed = F.to_json(F.array(value))  # a list of one, whose brackets are cut off
+    shown = F.to_json(value) if kind in ("array", "struct", "map") else F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(value.isNull(), F.lit("null")).otherwise(shown)
+
+
+def date_only(at: Column) -> Column:
+    """The day of a date or time, as yyyy-MM-dd."""
+    return F.date_format(at, "yyyy-MM-dd")

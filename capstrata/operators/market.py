@@ -51,11 +51,11 @@ def by_total_raised(stats: DataFrame) -> DataFrame:
 
 
 def sorted_stats(stats: DataFrame, key: str, descending: bool = False, limit: int | None = None) -> DataFrame:
-    """Stats by one of their columns; ties by sector, text in binary order."""
+    """Stats by one of their columns; ties by sector. Text goes by the rules of a language (Unicode's root order), not by code point."""
     if key not in stats.columns:
         raise ValueError(f"no such column: {key}")
-    c = F.col(key)
-    ordered = stats.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "sector")
+    c = F.collate(F.col(key), "UNICODE") if stats.schema[key].dataType.typeName() == "string" else F.col(key)
+    ordered = stats.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.collate("sector", "UNICODE"))
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capstrata.functions.values import json_value
 from capstrata.functions.vocabulary import APPROVED, DESCRIPTION_MARKER, ONE_LINER_PREFIX, UNDISCLOSED
 
 KEY = ["external_source", "external_id"]
@@ -138,8 +139,7 @@ def revisions(before: DataFrame, after: DataFrame, key: str, fields: tuple[str,
     """
 
     def shown(prefix: str, f: str) -> Column:
-        c = F.col(f"{prefix}_{f}")
-        return F.coalesce(F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$.v"), F.lit("null"))
+        return json_value(F.col(f"{prefix}_{f}"), after.schema[f].dataType.typeName())
 
     old = before.select(key, *[F.col(f).alias(f"b_{f}") for f in fields])
     new = after.select(key, *[F.col(f).alias(f"a_{f}") for f in fields])

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from capstrata.functions.values import json_value
 from capstrata.functions.vocabulary import APPROVED, EDIT_FIELDS, PENDING, REJECTED, REVIEWABLE_TYPES
 from capstrata.operators.profile import row_label
 
@@ -34,16 +36,26 @@ def proposal_part(proposals: DataFrame, status: str = PENDING, mark: str = "Edit
 def queue(parts: list[DataFrame], citations: DataFrame | None = None) -> DataFrame:
     """All parts together, newest first, kinds in their fixed order on ties; each row with the source it cites as a whole.
 
-    citations: entity_id, field, url, created_at. The newest whole-row citation counts.
+    citations: entity_type (where ids of several kinds may be the same), entity_id, field, url, created_at. The newest
+    whole-row citation counts.
     """
     rows = reduce(DataFrame.unionByName, parts)
     if citations is not None:
-        whole = citations.where("field = ''").groupBy("entity_id").agg(F.max_by("url", "created_at").alias("cited"))
-        rows = rows.join(whole, "entity_id", "left").withColumn("source_url", F.when(F.col("type") == "proposal", F.col("source_url")).otherwise(F.coalesce("source_url", "cited"))).drop("cited")
+        named = citations.withColumnRenamed("entity_type", "type")
+        key = [c for c in ("type", "entity_id") if c in named.columns]
+        whole = named.where("field = ''").groupBy(*key).agg(F.max_by("url", F.struct("created_at", "url")).alias("cited"))
+        rows = rows.join(whole, key, "left").withColumn("source_url", F.when(F.col("type") == "proposal", F.col("source_url")).otherwise(F.coalesce("source_url", "cited"))).drop("cited")
     rank = F.array_position(F.array(*[F.lit(t) for t in REVIEWABLE_TYPES]), F.col("type"))
     return rows.select(*QUEUE).orderBy(F.desc("created_at"), rank, "entity_id")
 
 
+def with_context(rows: DataFrame, users: DataFrame, companies: DataFrame) -> DataFrame:
+    """Queue rows with who submitted them (user_id, name) and the company that they are of (slug, name); null where there is none."""
+    who = users.select(F.col("user_id").alias("submitted_by"), F.struct("user_id", "name").alias("submitter"))
+    of = companies.select(F.col("company_id").cast("string").alias("company_id"), F.struct("slug", "name").alias("company"))
+    return rows.join(who, "submitted_by", "left").join(of, "company_id", "left")
+
+
 def counts_by_type(rows: DataFrame) -> DataFrame:
     """(type, n) for every kind, 0 where nothing waits."""
     kinds = rows.sparkSession.createDataFrame([(t,) for t in REVIEWABLE_TYPES], "type string")
@@ -55,10 +67,10 @@ def decide(rows: DataFrame, decisions: DataFrame, kind: str) -> tuple[DataFrame,
     """(rows in their new state, CREATE revisions of what became public).
 
     decisions: type, entity_id, decision (APPROVED or REJECTED), admin_id, decided_at. The latest decision of a row
-    counts. A rejected row leaves no revision.
+    counts, at one time that of the largest admin_id. A rejected row leaves no revision.
     """
     own = decisions.where((F.col("type") == kind) & F.col("decision").isin(APPROVED, REJECTED))
-    own = own.groupBy("entity_id").agg(F.max_by(F.struct("decision", "admin_id", "decided_at"), "decided_at").alias("d"))
+    own = own.groupBy("entity_id").agg(F.max_by(F.struct("decision", "admin_id", "decided_at"), F.struct("decided_at", "admin_id", "decision")).alias("d"))
     joined = rows.join(own, "entity_id", "left")
     new = joined.withColumn("moderation_status", F.coalesce("d.decision", "moderation_status"))
     after = new.where(F.col("d.decision") == APPROVED)
@@ -93,10 +105,7 @@ def current_values(companies: DataFrame) -> Column:
     entries = []
     for f in EDIT_FIELDS:
         if f in companies.columns:
-            kind = companies.schema[f].dataType.typeName()
-            listed = F.to_json(F.array(f))  # a list of one, whose brackets are cut off
-            shown = F.to_json(f) if kind == "array" else F.substr(listed, F.lit(2), F.length(listed) - 2)
-            entries += [F.lit(f), F.when(F.col(f).isNull(), F.lit("null")).otherwise(shown)]
+            entries += [F.lit(f), json_value(F.col(f), companies.schema[f].dataType.typeName())]
     return F.create_map(*entries)
 
 
@@ -122,12 +131,13 @@ def apply_proposals(companies: DataFrame, proposals: DataFrame, admin: Column, a
     """(companies after approved proposals, UPDATE revisions by field, citations by field).
 
     Several proposals on a company apply in order of (created_at, proposal_id), the last one of a field wins; each
-    leaves its revisions, whose `before` is what the company held before all of them.
+    leaves its revisions, whose `before` is what the one before it left.
     """
+    order = Window.partitionBy("company_id", "field").orderBy("proposed_at", "proposal_id")
     each = picked(companies, proposals).select("proposal_id", "company_id", "submitted_by", "source_url", F.col("created_at").alias("proposed_at"), "current", F.explode("changes").alias("field", "after"))
     revisions = each.select(
         F.col("company_id").cast("string").alias("company_id"), F.lit("company").alias("entity_type"), F.col("company_id").cast("string").alias("entity_id"), "field",
-        F.coalesce(F.try_element_at("current", F.col("field")), F.lit("null")).alias("before"), "after",
+        F.coalesce(F.lag("after").over(order), F.try_element_at("current", F.col("field")), F.lit("null")).alias("before"), "after",
         F.lit("UPDATE").alias("action"), F.lit("ADMIN").alias("actor"), admin.alias("actor_user_id"), F.lit(None).cast("string").alias("actor_source"), at.alias("created_at"), "proposal_id",
     )
     cited = each.where("source_url is not null").select("source_url", F.lit("company").alias("entity_type"), F.col("company_id").cast("string").alias("entity_id"), "field", "submitted_by").distinct()
@@ -159,5 +169,5 @@ def attach_citations(sources: DataFrame, citations: DataFrame, asked: DataFrame)
     fresh = wanted.groupBy("url").agg(F.min("at").alias("retrieved_at")).join(sources.select("url"), "url", "left_anti")
     sources = sources.unionByName(fresh.withColumn("source_type", F.lit("Other")), allowMissingColumns=True)
     key = ["url", "entity_type", "entity_id", "field"]
-    new = wanted.groupBy(*key).agg(F.min_by("submitted_by", "at").alias("submitted_by"), F.min("at").alias("created_at")).join(citations.select(*key), key, "left_anti")
+    new = wanted.groupBy(*key).agg(F.min_by("submitted_by", F.struct("at", "submitted_by")).alias("submitted_by"), F.min("at").alias("created_at")).join(citations.select(*key), key, "left_anti")
     return sources, citations.unionByName(new, allowMissingColumns=True)

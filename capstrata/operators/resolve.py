@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +31,29 @@ def match(records: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("matched_id", F.coalesce("by_key", "by_domain", "by_name_key")).withColumn("matched_by", by).drop("by_key", "by_domain", "by_name_key")
 
 
-def _components(records: DataFrame) -> DataFrame:
-    """(seq, component): records that share a key, a domain or a name, directly or through others."""
-    tokens = records.select("seq", F.explode(F.array_compact(F.array(F.concat(F.lit("k:"), "key"), F.concat(F.lit("d:"), "domain"), F.concat(F.lit("n:"), "name_key")))).alias("token"))
-    tokens = materialised(tokens)
-    labels = materialised(records.select("seq", F.col("seq").alias("component")))
-    while True:
-        low = tokens.join(labels, "seq").groupBy("token").agg(F.min("component").alias("low"))
-        new = tokens.join(low, "token").groupBy("seq").agg(F.min("low").alias("low"))
-        moved = materialised(labels.join(new, "seq", "left").select("seq", F.least("component", F.coalesce("low", "component")).alias("new"), "component"))
-        labels = moved.select("seq", F.col("new").alias("component"))
-        if moved.where("new < component").isEmpty():
-            return labels
+def _first_open(open_: DataFrame, token: str) -> DataFrame:
+    """(token, first_<token>): the first open record of each token."""
+    return open_.where(F.col(token).isNotNull()).groupBy(token).agg(F.min("seq").alias(f"first_{token}"))
+
+
+def _decided(open_: DataFrame, register_matches: bool) -> DataFrame:
+    """open_ with entity_id and how, where no open record before a row can change them; else null.
+
+    open_: seq, key, domain, name_key, and for each of the three the entity that it stands for by now (by_…), which
+    is final. A record that has one of the latter two by now will not be new, so it registers no domain or name, and
+    no key unless matched ones do.
+    """
+    maybe_new = open_.where("by_domain is null and by_name_key is null")
+    out = open_
+    for token, rows in (("key", open_ if register_matches else maybe_new), ("domain", maybe_new), ("name_key", maybe_new)):
+        out = out.join(_first_open(rows, token), token, "left")
+    waits = {t: F.coalesce(F.col(f"first_{t}") < F.col("seq"), F.lit(False)) for t in ("key", "domain", "name_key")}
+    none = F.lit(None).cast("string")
+    cases = [(F.col("by_key").isNotNull(), "key", F.col("by_key")), (waits["key"], None, none), (F.col("by_domain").isNotNull(), "domain", F.col("by_domain")), (waits["domain"], None, none), (F.col("by_name_key").isNotNull(), "name", F.col("by_name_key")), (waits["name_key"], None, none)]
+    entity, how = F.when(F.lit(False), none), F.when(F.lit(False), none)
+    for condition, name, value in cases:
+        entity, how = entity.when(condition, value), how.when(condition, F.lit(name).cast("string"))
+    return out.withColumns({"entity_id": entity.otherwise(F.concat(F.lit("new:"), F.col("seq").cast("string"))), "how": how.otherwise("new")}).drop("first_key", "first_domain", "first_name_key")
 
 
 def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: bool) -> DataFrame:
@@ -51,42 +61,34 @@ def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: b
 
     records: seq (unique), key, domain, name_key, and further columns. A record that matches nothing is a new entity,
     named `new:<seq>`, under which its key, domain and name are registered for those after it. A matched record
-    registers its key only if `register_matches` (so for investors, not for companies). Records whose key is stored
-    are settled by joins; the others are grouped by what they share, and each such group is walked in order.
+    registers its key only if `register_matches` (so for investors, not for companies).
+
+    Records are settled in rounds: in each, those of which no earlier open record can change the outcome, all at once;
+    what they register is final and settles others in the next. Groups of any size that share a key, domain or name
+    take two rounds or three; there are as many as records wait for each other in a chain.
     """
-    matched = materialised(match(records, index))
-    by_key = matched.where("matched_by = 'key'").select(*records.columns, F.col("matched_id").cast("string").alias("entity_id"), F.lit("key").alias("how"))
-    rest = matched.where("matched_by is null or matched_by <> 'key'")
-    grouped = rest.select("seq", "key", "domain", "name_key").join(_components(rest), "seq")
-    held = grouped.join(index["domain"], "domain", "left").join(index["name_key"], "name_key", "left").select("seq", "key", "domain", "name_key", "component", F.col("by_domain").cast("string"), F.col("by_name_key").cast("string"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        keys: dict = {}
-        domains: dict = {}
-        names: dict = {}
-        out = []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            there = lambda x: isinstance(x, str) and x != ""
-            found = (keys.get(r.key), "key") if there(r.key) and r.key in keys else None
-            if found is None and there(r.domain):
-                hit = r.by_domain if there(r.by_domain) else domains.get(r.domain)
-                found = (hit, "domain") if hit else None
-            if found is None and there(r.name_key):
-                hit = r.by_name_key if there(r.by_name_key) else names.get(r.name_key)
-                found = (hit, "name") if hit else None
-            if found is None:
-                found = (f"new:{r.seq}", "new")
-                if there(r.domain):
-                    domains.setdefault(r.domain, found[0])
-                if there(r.name_key):
-                    names.setdefault(r.name_key, found[0])
-            if there(r.key) and (found[1] == "new" or register_matches):
-                keys.setdefault(r.key, found[0])
-            out.append((r.seq, *found))
-        return pd.DataFrame(out, columns=["seq", "entity_id", "how"])
-
-    walked = held.groupBy("component").applyInPandas(walk, "seq long, entity_id string, how string")
-    return by_key.unionByName(rest.select(*records.columns).join(walked, "seq").select(*records.columns, "entity_id", "how"))
+    seen = match(records.select("seq", "key", "domain", "name_key"), index)
+    first = seen.select("seq", "key", "domain", "name_key", F.when(F.col("matched_by") == "key", F.col("matched_id").cast("string")).alias("by_key"))
+    for token in ("domain", "name_key"):
+        first = first.join(index[token].withColumn(f"by_{token}", F.col(f"by_{token}").cast("string")), token, "left")
+    open_, done = materialised(first), []
+    while not open_.isEmpty():
+        decided = materialised(_decided(open_, register_matches))
+        settled = decided.where("how is not null")
+        done.append(settled.select("seq", "entity_id", "how"))
+        open_ = decided.where("how is null").drop("entity_id", "how")
+        fresh = settled.where("how = 'new'")
+        for token, rows in (("key", settled.where("how <> 'key'") if register_matches else fresh), ("domain", fresh), ("name_key", fresh)):
+            # no two of a round register the same: the later one would have waited
+            made = rows.where(F.col(token).isNotNull()).select(token, F.col("entity_id").alias("made"))
+            open_ = open_.join(made, token, "left").withColumn(f"by_{token}", F.coalesce(f"by_{token}", "made")).drop("made")
+        open_ = materialised(open_)
+    if not done:
+        return records.withColumns({"entity_id": F.lit(None).cast("string"), "how": F.lit(None).cast("string")})
+    outcome = done[0]
+    for part in done[1:]:
+        outcome = outcome.unionByName(part)
+    return records.join(outcome, "seq").select(*records.columns, "entity_id", "how")
 
 
 def holding_investors(holdings: DataFrame, index: dict[str, DataFrame], source: str) -> tuple[DataFrame, DataFrame]:

@@ -40,13 +40,17 @@ def mint(rows: DataFrame, used: DataFrame, name: Column, seq: Column, suffix: Co
         open_ = placed.where("not __won").drop("__won", "__base").withColumnRenamed("__stem", "__base")
     while not open_.isEmpty():
         numbers = taken.select(F.col("slug").alias("__base"), F.lit(1).cast("long").alias("n")).unionByName(
-            taken.select(F.regexp_extract("slug", r"^(.+)-[0-9]{1,9}$", 1).alias("__base"), F.regexp_extract("slug", r"-([0-9]{1,9})$", 1).try_cast("long").alias("n")).where("n > 1")
+            taken.select(F.regexp_extract("slug", r"^(.+)-[0-9]{1,18}$", 1).alias("__base"), F.regexp_extract("slug", r"-([0-9]{1,18})$", 1).try_cast("long").alias("n")).where("n > 1")
         )
-        lists = numbers.join(open_.select("__base").distinct(), "__base", "left_semi").groupBy("__base").agg(F.array_sort(F.collect_set("n")).alias("__used"))
-        ranked = open_.withColumn("__rank", F.row_number().over(Window.partitionBy("__base").orderBy("__seq")).cast("long")).join(lists, "__base", "left")
-        # the rank-th number that is not used: each used one at or below it moves it up
-        n = F.aggregate(F.coalesce("__used", F.array().cast("array<bigint>")), F.col("__rank"), lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
-        offered = ranked.withColumn("__n", n).withColumn("slug", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__n").cast("string")))).drop("__rank", "__used", "__n")
+        used_up = numbers.join(open_.select("__base").distinct(), "__base", "left_semi").distinct()
+        ranked = open_.withColumn("__rank", F.row_number().over(Window.partitionBy("__base").orderBy("__seq")).cast("long"))
+        # the rank-th number that is not used: the k-th used number u leaves u - k free ones below it, and each with
+        # fewer than rank free ones below moves the rank up by one
+        free = used_up.select("__base", (F.col("n") - F.row_number().over(Window.partitionBy("__base").orderBy("n"))).alias("at"), F.lit(1).cast("long").alias("step"), F.lit(None).cast(ranked.schema["__seq"].dataType).alias("__seq"))
+        places = ranked.select("__base", F.col("__rank").alias("at"), F.lit(0).cast("long").alias("step"), "__seq")
+        passed = F.sum("step").over(Window.partitionBy("__base").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        moved = places.unionByName(free).withColumn("__moved", passed).where("step = 0").select("__base", "__seq", "__moved")
+        offered = ranked.join(moved, ["__base", "__seq"]).withColumn("__n", F.col("__rank") + F.col("__moved")).withColumn("slug", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__n").cast("string")))).drop("__rank", "__moved", "__n")
         offered = materialised(offered)
         winners = offered.groupBy("slug").agg(F.min("__seq").alias("__first"))
         placed = materialised(offered.join(winners, "slug").withColumn("__won", F.col("__seq") == F.col("__first")).drop("__first"))

@@ -367,7 +367,7 @@ SQL = {
     "enrich_fill_blanks": _ENRICH + "select * from enriched",
     "revision_diff": _ENRICH
     + " union all ".join(
-        f"select company_id as entity_id, '{f}' as field, coalesce(cast(t.{f} as varchar), 'null') as before, coalesce(cast(e.{f} as varchar), 'null') as after, 'SEC_EDGAR' as actor_source from target t join enriched e using (company_id) where t.{f} is distinct from e.{f}" for f in _FIELDS
+        f"select company_id as entity_id, '{f}' as field, coalesce(cast(to_json(t.{f}) as varchar), 'null') as before, coalesce(cast(to_json(e.{f}) as varchar), 'null') as after, 'SEC_EDGAR' as actor_source from target t join enriched e using (company_id) where t.{f} is distinct from e.{f}" for f in _FIELDS
     ),
     "update_own_rows": MODEL_SQL
     + """, f as (select company_id, name || ' filer' as name, case when amount_usd < 50000 then 'Seed' when amount_usd < 200000 then 'Series A' when amount_usd < 600000 then 'Series B' when amount_usd < 1500000 then 'Series C' when amount_usd < 4000000 then 'Series D' else 'Late stage' end as stage, amount_usd from rounds qualify row_number() over (partition by company_id order by round_id desc) = 1)
@@ -381,7 +381,20 @@ SQL = {
     + """, last as (select company_id, field, after from each qualify row_number() over (partition by company_id, field order by created_at desc, proposal_id desc) = 1)
       select company_id, coalesce((select replace(after, '"', '') from last l where l.company_id = c.company_id and field = 'name'), name) as name, coalesce((select replace(after, '"', '') from last l where l.company_id = c.company_id and field = 'status'), status) as status,
         case when exists (select 1 from last l where l.company_id = c.company_id and field = 'last_valuation_usd') then (select try_cast(nullif(after, 'null') as bigint) from last l where l.company_id = c.company_id and field = 'last_valuation_usd') else last_valuation_usd end as last_valuation_usd from companies c""",
-    "proposal_revisions": _PROPOSED + "select proposal_id, cast(company_id as varchar) as entity_id, field, cast(before as varchar) as before, cast(after as varchar) as after from each",
+    "proposal_revisions": _PROPOSED + "select proposal_id, cast(company_id as varchar) as entity_id, field, cast(coalesce(lag(after) over (partition by company_id, field order by created_at, proposal_id), before) as varchar) as before, cast(after as varchar) as after from each",
+    "resolve_in_order": _MATCH
+    + """, r as (select *, row_number() over (order by seq) as n from incoming), walk(n, k, d, m, seq, entity_id, how) as materialized (
+      with recursive walk(n, k, d, m, seq, entity_id, how) as (
+        select 0::bigint, map([]::varchar[], []::varchar[]), map([]::varchar[], []::varchar[]), map([]::varchar[], []::varchar[]), null::bigint, null::varchar, null::varchar
+        union all
+        select n, case when how = 'new' and key is not null then map_concat(k, map([key], [entity_id])) else k end,
+          case when how = 'new' and domain is not null and d[domain] is null then map_concat(d, map([domain], [entity_id])) else d end,
+          case when how = 'new' and nullif(name_key, '') is not null and m[name_key] is null then map_concat(m, map([name_key], [entity_id])) else m end, seq, entity_id, how
+        from (select *, case when hk is not null then 'key' when hd is not null then 'domain' when hn is not null then 'name' else 'new' end as how, coalesce(hk, hd, hn, 'new:' || seq) as entity_id
+          from (select r.n, w.k, w.d, w.m, r.seq, r.key, r.domain, r.name_key, coalesce(cast(ik.id as varchar), w.k[r.key]) as hk, coalesce(cast(idm.id as varchar), w.d[r.domain]) as hd, coalesce(cast(inm.id as varchar), w.m[r.name_key]) as hn
+            from walk w join r on r.n = w.n + 1 left join ik using (key) left join idm using (domain) left join inm using (name_key))))
+      select * from walk)
+      select seq, entity_id, how from walk where n > 0""",
     "moderation_flip": MODEL_SQL + _DECIDED + " select round_id as entity_id, coalesce(decision, moderation_status) as moderation_status from rounds left join d on entity_id = round_id",
     "moderation_revisions": MODEL_SQL + _DECIDED + " select cast(company_id as varchar) as company_id, cast(round_id as varchar) as entity_id, 'CREATE' as action, admin_id as actor_user_id, decision as status from rounds join d on entity_id = round_id where decision = 'APPROVED'",
     "publish_linked_firms": MODEL_SQL + "select investor_id, case when moderation_status = 'PENDING' and investor_id in (select event_id % 150 from events where event_id % 4 <> 0) then 'APPROVED' else moderation_status end as moderation_status from investors",

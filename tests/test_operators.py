@@ -55,6 +55,19 @@ def test_resolution_is_that_of_one_by_one(spark, seed, register):
     assert {r.seq: r.entity_id for r in got} == walk(records, stored, register)
 
 
+@pytest.mark.parametrize("register", [False, True])
+def test_resolution_of_hot_keys_domains_and_names(spark, register, monkeypatch):
+    """A third of the records share a key, a third a domain, a third a name: a few rounds, whatever the size."""
+    records = [(i, "S:hot" if i % 3 == 0 else f"S:{i}", "hot.example" if i % 3 == 1 else ("stored.example" if i % 5 == 0 else None), "hot" if i % 3 == 2 else f"n{i // 7}") for i in range(600)]
+    rows = spark.createDataFrame([("S", "s1", "stored.example", "stored", 1)], "external_source string, external_id string, domain string, name string, id long").withColumn("created_at", F.lit(0))
+    rounds = []
+    decided = resolve._decided
+    monkeypatch.setattr(resolve, "_decided", lambda *a: rounds.append(1) or decided(*a))
+    got = resolve.resolve(spark.createDataFrame(records, "seq long, key string, domain string, name_key string"), resolve.match_index(rows, "id", F.col("name")), register).collect()
+    assert {r.seq: r.entity_id for r in got} == walk(records, {1: ("S:s1", "stored.example", "stored")}, register)
+    assert len(rounds) <= 6
+
+
 def test_slugs_are_unique_and_in_order(spark):
     names = ["Acme", "Acme", "acme!", "Acme 2", "Beta", "", "日本"]
     rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
@@ -107,9 +120,9 @@ def test_ingest_run_is_idempotent(spark, at):
     assert {k: len(x) for k, x in state(again).items()} == {k: len(x) for k, x in state(store).items()}
     assert again.revisions.count() == 0
     renamed = ingest.run(again, records(spark, [(1, "10", company("Acme Robotics", "acme.com", 9.0), None, [], [], [], [])]), None, v.SEC_EDGAR, at)
-    assert {(r.field, r.before, r.after, r.actor_source) for r in renamed.revisions.collect()} == {("name", "Acme, Inc.", "Acme Robotics", "SEC_EDGAR"), ("total_raised_usd", "8", "9", "SEC_EDGAR")}
+    assert {(r.field, r.before, r.after, r.actor_source) for r in renamed.revisions.collect()} == {("name", '"Acme, Inc."', '"Acme Robotics"', "SEC_EDGAR"), ("total_raised_usd", "8", "9", "SEC_EDGAR")}
     n = ingest.counters(store, again, records(spark, rows), None)
-    assert n["processed"] == 5 and n["companies"] == 0
+    assert n["processed"] == n["upserted"] == 5 and n["new_companies"] == n["skipped"] == 0
 
 
 def test_firms_fill_blanks_only(spark, at):
@@ -140,7 +153,7 @@ def test_revisions_replay(spark, at):
     before = spark.createDataFrame([(1, "a", [1], None), (2, "b", [], 5)], "id int, s string, l array<int>, n long")
     after = spark.createDataFrame([(1, "a", [1, 2], 7), (2, None, [], 5), (3, "new", [], 1)], "id int, s string, l array<int>, n long")
     got = {(r.entity_id, r.field): (r.before, r.after) for r in merge.revisions(before, after, "id", ("s", "l", "n"), "company", F.lit("S"), at).collect()}
-    assert got == {(1, "l"): ("[1]", "[1,2]"), (1, "n"): ("null", "7"), (2, "s"): ("b", "null")}
+    assert got == {(1, "l"): ("[1]", "[1,2]"), (1, "n"): ("null", "7"), (2, "s"): ('"b"', "null")}
 
 
 def test_decisions_and_linked_firms(spark):
@@ -175,7 +188,7 @@ def test_proposals(spark, at):
     after, log, cited = moderation.apply_proposals(firms, kept, F.lit(9), at)
     row = {r.company_id: r for r in after.collect()}
     assert (row[1].name, row[1].industry, row[1].last_valuation_usd) == ("Newer", ["x", "y"], None) and row[2].name == "B"
-    assert {(r.proposal_id, r.field, r.before, r.after) for r in log.collect()} == {(2, "name", '"A \\"q\\""', '"New \\"q\\""'), (2, "last_valuation_usd", "5", "null"), (3, "industry", '["x"]', '["x","y"]'), (3, "name", '"A \\"q\\""', '"Newer"')}
+    assert {(r.proposal_id, r.field, r.before, r.after) for r in log.collect()} == {(2, "name", '"A \\"q\\""', '"New \\"q\\""'), (2, "last_valuation_usd", "5", "null"), (3, "industry", '["x"]', '["x","y"]'), (3, "name", '"New \\"q\\""', '"Newer"')}
     assert {(r.source_url, r.field) for r in cited.collect()} == {("https://s", "name"), ("https://s", "last_valuation_usd")}
 
 
