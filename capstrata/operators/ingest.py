@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capstrata.functions.text import company_name_key, investor_name_key
@@ -12,6 +12,7 @@ from capstrata.functions.values import round_half_up
 from capstrata.functions.vocabulary import APPROVED
 from capstrata.operators import merge, resolve, slugs
 from capstrata.session import materialised
+from capstrata.sources.normalized import Source, chosen
 
 #: The columns of stored tables that an ingest run works on.
 COMPANIES = "company_id string, slug string, name string, domain string, website_url string, linkedin_url string, primary_sector string, one_liner string, description string, hq string, founded int, headcount int, industry array<string>, status string, stage string, total_raised_usd long, external_source string, external_id string, moderation_status string, created_at timestamp_ntz"
@@ -21,6 +22,8 @@ PEOPLE = "company_id string, name string, role string, title string, since int,
 HOLDINGS = "company_id string, investor_id string, name string, type string, first_round string, rounds int, external_source string, external_id string, moderation_status string"
 ACQUISITIONS = "company_id string, target string, date date, amount_usd long, rationale string, external_source string, external_id string, moderation_status string"
 EXITS = "company_id string, type string, date date, value_usd long, detail string, external_source string, external_id string, moderation_status string"
+#: Numbers of the children of one record; their order is that of the records, then of their list.
+MOST_CHILDREN = 1 << 20
 REVISIONS = "entity_type string, entity_id string, field string, before string, after string, action string, actor string, actor_source string, created_at timestamp_ntz"
 
 
@@ -74,20 +77,20 @@ def merge_companies(store: Store, records: DataFrame, source: str, at: Column, l
 
 
 def _children(records: DataFrame, name: str, source: str) -> DataFrame:
-    each = records.select("seq", "company_id", F.explode(name).alias("x")).select("seq", "company_id", "x.*")
+    each = records.select("seq", "company_id", F.posexplode(name).alias("pos", "x")).select("seq", "pos", "company_id", "x.*")
     return each.withColumns({"external_source": F.lit(source), "moderation_status": F.lit(APPROVED)})
 
 
 def merge_holdings(store: Store, records: DataFrame, source: str, at: Column) -> Store:
     """Holdings with their investors resolved or minted."""
-    rows = materialised(_children(records, "investors", source).withColumn("__record", F.col("seq")).withColumn("seq", F.xxhash64("seq", "external_id")))
+    rows = materialised(_children(records, "investors", source).withColumn("__record", F.col("seq")).withColumn("seq", F.col("seq") * MOST_CHILDREN + F.col("pos")))
     index = resolve.match_index(store.investors, "investor_id", investor_name_key(F.col("name")))
     linked, minted = resolve.holding_investors(rows, index, source)
     minted = minted.withColumn("investor_id", _new_id("investor", F.lit(source), F.col("slug_suffix")))
     minted = materialised(slugs.mint(minted, store.investors.select("slug"), F.col("name"), F.col("investor_id"), F.col("slug_suffix")).withColumns({"moderation_status": F.lit(APPROVED), "created_at": at}))
     ids = linked.join(minted.select("investor_ref", "investor_id"), "investor_ref", "left").withColumn("investor_id", F.coalesce("investor_id", "investor_ref"))
     investors = store.investors.unionByName(minted.drop("investor_ref", "slug_suffix"), allowMissingColumns=True)
-    return replace(store, investors=materialised(investors), holdings=materialised(merge.upsert_children("holding", store.holdings, ids.withColumn("seq", F.col("__record")), ["seq"])))
+    return replace(store, investors=materialised(investors), holdings=materialised(merge.upsert_children("holding", store.holdings, ids.withColumn("seq", F.col("__record")), ["seq", "pos"])))
 
 
 def merge_firms(store: Store, firms: DataFrame, source: str, at: Column) -> Store:
@@ -112,26 +115,44 @@ def run(store: Store, records: DataFrame | None, firms: DataFrame | None, source
             placed = named.where("round is not null").select("seq", "company_id", "round.*").withColumns({"external_source": F.lit(source), "moderation_status": F.lit(APPROVED), "amount_usd": round_half_up(F.col("amount_usd"))})
             store = replace(store, rounds=materialised(merge.upsert_children("round", store.rounds, placed, ["seq"])))
         if "people" in records.columns:
-            store = replace(store, people=materialised(merge.upsert_children("person", store.people, _children(named, "people", source), ["seq"])))
+            store = replace(store, people=materialised(merge.upsert_children("person", store.people, _children(named, "people", source), ["seq", "pos"])))
         if "investors" in records.columns:
             store = merge_holdings(store, named, source, at)
         if "acquisitions" in records.columns:
             rows = _children(named, "acquisitions", source).withColumn("amount_usd", round_half_up(F.col("amount_usd")))
-            store = replace(store, acquisitions=materialised(merge.upsert_children("acquisition", store.acquisitions, rows, ["seq"])))
+            store = replace(store, acquisitions=materialised(merge.upsert_children("acquisition", store.acquisitions, rows, ["seq", "pos"])))
         if "exits" in records.columns:
             rows = _children(named, "exits", source).withColumn("value_usd", round_half_up(F.col("value_usd")))
-            store = replace(store, exits=materialised(merge.upsert_children("exit", store.exits, rows, ["seq"])))
+            store = replace(store, exits=materialised(merge.upsert_children("exit", store.exits, rows, ["seq", "pos"])))
     if firms is not None:
         store = merge_firms(store, firms, source, at)
     return store
 
 
+def run_sources(spark: SparkSession, store: Store, sources: list[Source], folder: str, at: Column, names: list[str] | None = None, limit: int | None = None, log: bool = True) -> tuple[Store, list[dict]]:
+    """(store, counters of each source): the chosen sources (all without names) one after the other, each from its own folder in `folder`."""
+    told = []
+    for source in chosen(sources, names):
+        records, firms = source.records(spark, f"{folder}/{source.name}", limit), source.firms(spark, f"{folder}/{source.name}", limit)
+        before = store
+        store = run(store, placeable(records), placeable(firms, "name"), source.name, at, log)
+        told.append({"source": source.name} | counters(before, store, records, firms))
+    return store, told
+
+
+def placeable(rows: DataFrame | None, name: str = "company.name") -> DataFrame | None:
+    """The rows that a run can place: those with a name."""
+    return None if rows is None else rows.where(F.trim(F.coalesce(F.col(name), F.lit(""))) != "")
+
+
 def counters(before: Store, after: Store, records: DataFrame | None, firms: DataFrame | None) -> dict[str, int]:
-    """How many records were processed, companies and firms now stored, and records without a name, which no run can place."""
-    n = records.count() if records is not None else 0
+    """Records processed, upserted and skipped for want of a name, firms upserted, and companies and investors that are new."""
+    n, placed = (0 if df is None else df.count() for df in (records, placeable(records)))
     return {
         "processed": n,
-        "skipped": records.where("company.name is null").count() if records is not None else 0,
-        "companies": after.companies.count() - before.companies.count(),
-        "investors": firms.count() if firms is not None else 0,
+        "upserted": placed,
+        "skipped": n - placed,
+        "investors": 0 if firms is None else placeable(firms, "name").count(),
+        "new_companies": after.companies.count() - before.companies.count(),
+        "new_investors": after.investors.count() - before.investors.count(),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from capstrata.functions import text, values
 from capstrata.functions.vocabulary import ENTITY_WORDS, SEC_EDGAR
+from capstrata.session import materialised
 
 #: The document's parts that are read. A single child is a list of one under this schema.
 DOCUMENT = """
@@ -26,6 +27,7 @@ offeringData struct<
   typeOfFiling: struct<newOrAmendment: struct<isAmendment: string, previousAccessionNumber: string>, dateOfFirstSale: struct<value: string>>,
   offeringSalesAmounts: struct<totalOfferingAmount: string, totalAmountSold: string>>
 """
+# Fixed values.
 POOLED = "Pooled Investment Fund"
 ROUND_NAME = "Private placement (Form D)"
 
@@ -107,14 +109,19 @@ def offerings(documents: DataFrame) -> DataFrame:
     )
 
 
-def records(index: DataFrame, parsed: DataFrame, as_of: Column, skip_pooled: bool = False) -> DataFrame:
+def records(index: DataFrame, parsed: DataFrame, as_of: Column, skip_pooled: bool = False, limit: int | None = None) -> DataFrame:
     """Normalised records of index rows and their parsed offerings, with seq in order of (date filed, accession).
 
     An amendment takes the key of the filing that it amends, and people are keyed by filer, so later filings update.
+    With a limit, the latest so many.
     """
     if skip_pooled:
         parsed = parsed.where("not is_pooled")
     joined = index.join(parsed, "accession")
+    if limit is not None:
+        joined = joined.orderBy(F.desc("date_filed"), F.desc("accession")).limit(limit)
+    # numbers of sorted partitions follow the order without gathering the rows; kept, so that they stay what they are
+    joined = materialised(joined.orderBy("date_filed", "accession").withColumn("seq", F.monotonically_increasing_id()))
     year = F.substring("date_filed", 1, 4).try_cast("int")
     since = F.when(year > 0, year).otherwise(F.year(as_of))
     people = F.transform(
@@ -141,4 +148,4 @@ def records(index: DataFrame, parsed: DataFrame, as_of: Column, skip_pooled: boo
         values.safe_date(as_of, F.col("date_of_first_sale"), F.col("date_filed")).alias("date"),
         F.col("amount_sold_usd").alias("amount_usd"),
     )
-    return joined.select(F.lit(SEC_EDGAR).alias("source"), F.col("cik").alias("company_external_id"), "date_filed", "accession", company.alias("company"), placed.alias("round"), people.alias("people"))
+    return joined.select(F.lit(SEC_EDGAR).alias("source"), F.col("cik").alias("company_external_id"), "seq", "date_filed", "accession", company.alias("company"), placed.alias("round"), people.alias("people"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capstrata.functions import text, values
 from capstrata.functions import vocabulary as v
 
+# Properties of the graph.
 _BINDING = "array<map<string, struct<type: string, value: string>>>"
 INVESTED, INSTANCE, SUBCLASS, FOUNDER, HEAD, OWNER, START = "P1951", "P31", "P279", "P112", "P169", "P127", "P580"
 DETAILS = {"website": "P856", "inception": "P571", "hq": "P159", "country": "P17", "industry": "P452", "employees": "P1128", "linkedinId": "P4264"}
@@ -66,7 +67,7 @@ def investor_edges(companies: DataFrame, triples: DataFrame) -> DataFrame:
     """(company, investor, class): without lenders named one by one, and without those of excluded classes or classes below them."""
     edges = companies.join(_with(triples, INVESTED, "company", "investor"), "company").where(~F.col("investor").isin(*v.EXCLUDED_INVESTORS))
     classes = _with(triples, INSTANCE, "investor", "class")
-    barred = classes.join(F.broadcast(subclasses(triples, list(v.EXCLUDED_CLASSES))), "class", "left_semi").select("investor").distinct()
+    barred = classes.join(subclasses(triples, list(v.EXCLUDED_CLASSES)), "class", "left_semi").select("investor").distinct()
     return edges.join(barred, "investor", "left_anti").join(classes, "investor", "left").select("company", "investor", "class")
 
 
@@ -99,6 +100,31 @@ def exits_of(companies: DataFrame, triples: DataFrame, listed: DataFrame, offere
     return reduce(DataFrame.unionByName, [bought, *parts])
 
 
+def bindings(triples: DataFrame, labels: DataFrame, listed: DataFrame, offered: DataFrame, limit: int | None = None) -> list[DataFrame]:
+    """The five lists of bindings of all companies that someone has invested in: details, investors, people, acquisitions, exits.
+
+    labels: id, label. With a limit, the first so many companies by length and then text of their id. Rows are numbered
+    by their values, so that the first of a key is always the same.
+    """
+    seed = seed_companies(triples)
+    if limit is not None:
+        seed = seed.orderBy(F.length("company"), "company").limit(limit)
+
+    def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        for column, label in names.items():
+            rows = rows.join(labels.select(F.col("id").alias(column), F.col("label").alias(label)), column, "left")
+        return rows.withColumn("seq", F.to_json(F.struct(*sorted(rows.columns))))
+
+    details = named(company_details(seed, triples), {"company": "companyLabel", "hq": "hqLabel", "country": "countryLabel", "industry": "industryLabel"}).withColumn("companyDescription", F.lit(None).cast("string"))
+    return [
+        details,
+        named(investor_edges(seed, triples), {"investor": "investorLabel"}),
+        named(people_of(seed, triples), {"person": "personLabel"}),
+        named(owned_since(seed, triples, "company", "target"), {"target": "targetLabel"}),
+        named(exits_of(seed, triples, listed, offered), {"acquirer": "acquirerLabel"}),
+    ]
+
+
 # --- records of bindings ------------------------------------------------------
 
 
@@ -108,8 +134,8 @@ def _first(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _listed(rows: DataFrame, name: str, fields: list[Column]) -> DataFrame:
-    each = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("x"))
-    return each.select("qid", F.transform("x", lambda r: r.dropFields("seq")).alias(name))
+    each = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").isNull().alias("last"), "seq", *fields))).alias("x"))
+    return each.select("qid", F.transform("x", lambda r: r.dropFields("last", "seq")).alias(name))
 
 
 def typed_investors(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -144,7 +170,7 @@ def company_exits(bindings: DataFrame) -> DataFrame:
     """The first dated purchase by each acquirer, then one public offering at its earliest date; undated rows count for nothing."""
     rows = bindings.select("seq", text.qid_of(F.col("company")).alias("qid"), F.col("kind"), text.qid_of(F.col("acquirer")).alias("a"), text.label_of(F.col("acquirerLabel")).alias("label"), values.iso_date(F.substring("date", 1, 10)).alias("date")).where("qid is not null and date is not null")
     bought = _first(rows.where("kind = 'acq' and a is not null"), ["qid", "a"]).select("qid", "seq", values.external_id(F.col("qid"), "exit", "acq", F.col("a")).alias("external_id"), F.lit("Acquisition").alias("type"), "date", F.coalesce(F.concat(F.lit("Acquired by "), F.col("label"), F.lit(".")), F.lit("Acquired.")).alias("detail"))
-    offered = rows.where("kind = 'ipo'").groupBy("qid").agg(F.min("date").alias("date")).select("qid", F.lit(2**31 - 1).alias("seq"), values.external_id(F.col("qid"), "exit", "ipo").alias("external_id"), F.lit("IPO").alias("type"), "date", F.lit("Initial public offering.").alias("detail"))
+    offered = rows.where("kind = 'ipo'").groupBy("qid").agg(F.min("date").alias("date")).select("qid", F.lit(None).cast(bought.schema["seq"].dataType).alias("seq"), values.external_id(F.col("qid"), "exit", "ipo").alias("external_id"), F.lit("IPO").alias("type"), "date", F.lit("Initial public offering.").alias("detail"))
     return _listed(bought.unionByName(offered), "exits", [F.col("external_id"), F.col("type"), F.try_to_date("date").alias("date"), F.lit(None).cast("double").alias("value_usd"), F.col("detail")])
 
 

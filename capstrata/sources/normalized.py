@@ -29,9 +29,9 @@ class Source(Protocol):
 
     name: str
 
-    def records(self, spark: SparkSession, folder: str) -> DataFrame | None: ...
+    def records(self, spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame | None: ...
 
-    def firms(self, spark: SparkSession, folder: str) -> DataFrame | None: ...
+    def firms(self, spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame | None: ...
 
 
 def chosen(sources: list[Source], names: list[str] | None) -> list[Source]:

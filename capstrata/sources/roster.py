@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +14,18 @@ from pyspark.sql import functions as F
 
 from capstrata.functions import text, values
 
+# Names of columns, and words of a status that ends a registration.
 ORIGIN = "https://www.sec.gov"
 COUNTS = {"Venture": "Total number of VC funds", "Private equity": "Total number of PE funds", "Hedge fund": "Total number of Hedge funds"}
 FLAGS = {"Venture": "Any VC Funds", "Private equity": "Any PE Funds", "Hedge fund": "Any Hedge Funds"}
 OTHER_COUNTS = ("Total number of Real Estate funds", "Total number of Securitized funds", "Total number of Other funds")
 ENDED = "withdraw|terminat|revok|expire|cancel"
+COLUMNS = (
+    "Organization CRD#", "CIK#", "Primary Business Name", "Legal Name", "Main Office City", "Main Office State", "Main Office Country", "SEC Current Status", "Website Address",
+    *FLAGS.values(), *COUNTS.values(), *OTHER_COUNTS, "Total Gross Assets of Private Funds",
+)
+#: Rows of an archive that are handed on at once.
+_ROWS = 5000
 
 
 def snapshots(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -56,6 +65,32 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(texts, "path string, content string")
 
 
+def read_zipped(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The named columns of the first CSV in each archive, in windows-1252, trimmed; missing cells are empty, blank rows left out.
+
+    `row` numbers the rows of an archive. An archive is read as a stream, some rows at a time.
+    """
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for data in files["content"]:
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    entry = next((n for n in archive.namelist() if n.lower().endswith(".csv")), None)
+                    if entry is None:
+                        continue
+                    lines = csv.reader(io.TextIOWrapper(archive.open(entry), encoding="cp1252", errors="replace", newline=""))
+                    header = [h.strip() for h in next(lines, [])]
+                    at = [header.index(c) if c in header else -1 for c in columns]
+                    cells = ([r[i].strip() if 0 <= i < len(r) else "" for i in at] for r in lines if any(x.strip() for x in r))
+                    first = 0
+                    while part := list(islice(cells, _ROWS)):
+                        yield pd.DataFrame(part, columns=list(columns)).assign(row=range(first, first + len(part)))
+                        first += len(part)
+
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", row long"
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows_of, schema)
+
+
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """A roster CSV with trimmed headers and cells, all strings; missing cells are empty, and blank rows are left out."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
@@ -122,7 +157,7 @@ def firms(rows: DataFrame, types: tuple[str, ...] = ("Venture", "Private equity"
 
 
 def roster_firms(exempt: DataFrame, registered: DataFrame, types: tuple[str, ...], limit: int | None = None) -> DataFrame:
-    """Firms of both files; a number that both have is the exempt file's. With a limit, the first by (file, number)."""
+    """Firms of both files; a number that both have is the exempt file's. With a limit, the first so many by number."""
     both = exempt.withColumn("file_rank", F.lit(0)).unionByName(registered.withColumn("file_rank", F.lit(1)), allowMissingColumns=True)
-    found = firms(both, types, ["file_rank"])
+    found = firms(both, types, ["file_rank", "row"] if "row" in both.columns else ["file_rank"])
     return found if limit is None else found.orderBy(F.length("external_id"), "external_id").limit(limit)
