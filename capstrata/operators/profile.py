@@ -117,6 +117,32 @@ def timeline(revisions: DataFrame, users: DataFrame, named: DataFrame) -> DataFr
     return out.withColumn("entity_label", F.coalesce("label", "entity_type")).withColumn("actor_name", actor).drop("label", "user_name").orderBy(F.desc("created_at"), F.desc("revision_id"))
 
 
+def history(revisions: DataFrame, users: DataFrame, named: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of a company's timeline, each row with the number of all its revisions."""
+    return timeline(revisions, users, named).withColumn("total", F.count("*").over(Window.partitionBy("company_id"))).orderBy(F.desc("created_at"), F.desc("revision_id")).offset((page - 1) * size).limit(size)
+
+
+def read(companies: DataFrame, sections: list[DataFrame], citations: DataFrame, sources: DataFrame, unlocked: DataFrame) -> DataFrame:
+    """Approved companies as one read: sections, gated by unlocked (company_id, unlocked), and the citations of what is shown.
+
+    citations: source_id, entity_id, company_id. A company without a row of `unlocked` is a preview, of which only
+    citations of the company itself (entity_id equal to company_id) are shown.
+    """
+    names = [next(c for c in s.columns if c != "company_id" and not c.endswith("_total")) for s in sections]
+    whole = profiles(companies, sections).join(unlocked, "company_id", "left").withColumn("unlocked", F.coalesce("unlocked", F.lit(False)))
+    cited = citations.join(sources.select("source_id", "url"), "source_id").groupBy("company_id").agg(
+        F.array_sort(F.collect_set("url")).alias("__all"), F.array_sort(F.collect_set(F.when(F.col("entity_id") == F.col("company_id").cast("string"), F.col("url")))).alias("__own")
+    )
+    none = F.array().cast("array<string>")
+    shown = gated(whole, names, F.col("unlocked")).join(cited, "company_id", "left")
+    return shown.withColumn("citations", F.when(F.col("unlocked"), F.coalesce("__all", none)).otherwise(F.coalesce("__own", none))).drop("__all", "__own")
+
+
+def contributions_with_access(rows: DataFrame, granted: DataFrame) -> DataFrame:
+    """Contributions with the access window of who made them: unlocked and unlocked_until."""
+    return rows.join(granted.select(F.col("user_id").alias("submitted_by"), "unlocked", "unlocked_until"), "submitted_by", "left")
+
+
 def last_contribution(frames: list[DataFrame]) -> DataFrame:
     """(user_id, last_at) over all kinds of contributions in any state; each kind is reduced before they meet."""
     out = None
