@@ -26,21 +26,28 @@ REVISIT_FROM = 100
 GAP, READ_BYTES = 1 << 16, 1 << 23
 #: Bytes of archives that one reading task takes on.
 SPLIT_BYTES = 1 << 23
+#: Shared payloads are broadcast up to so many (about 100 bytes each); more are joined by shuffling.
+BROADCAST_DIGESTS = 250_000
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, length long"
 _INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload another page with a smaller page_id holds, and is large enough.
+def with_digests(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with the SHA-256 of the payload, in hexadecimal."""
+    return pages.select("page_id", "url", "html", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest"))
 
-    Only digests are shuffled. Digests are counted before the shuffle, so a payload that a third of all pages share
-    is one row of each task, and rows of single payloads end there.
+
+def shared_payloads(digested: DataFrame) -> DataFrame:
+    """(digest, refers_to) of the payloads of several page_ids that are large enough; refers_to is the smallest of those.
+
+    Only digests are shuffled. They are counted before the shuffle, so a payload that a third of all pages share is
+    one row of each task.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digests = pages.select("page_id", F.octet_length(payload).alias("size"), F.sha2(payload, 256).alias("digest")).where(f"page_id is not null and size >= {REVISIT_FROM}").drop("size")
-    shared = cut(digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to"))
-    return digests.join(shared, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    named = digested.where((F.octet_length(F.coalesce(F.col("html"), F.lit("")).cast("binary")) >= REVISIT_FROM) & F.col("page_id").isNotNull())
+    ends = named.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
+    return cut(ends.where("last > refers_to").select("digest", "refers_to"))
 
 
 def _header(value: str | None) -> str:
@@ -49,18 +56,22 @@ def _header(value: str | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, payload_bytes: int, body: bytes) -> bytes:
-    """One record as a gzip member. A revisit has no body; the length of its payload is a header of its own."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_header(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {payload_bytes}"]
+    """One record as a gzip member: HTTP headers and, of a response, the payload.
+
+    A record is named by its page and payload. A revisit has no payload; its length is a header of its own.
+    """
+    name = lambda page: f"<urn:page:{'' if page is None else page}:{digest}>"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_header(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {payload_bytes}"]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        lines += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(_HTTP) + len(body)}"]
+    raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + _HTTP + body + b"\r\n\r\n"
     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
     return squeeze.compress(raw) + squeeze.flush()
 
 
 def parse(member: bytes) -> dict:
-    """The record of a gzip member: what the index says of it, and its body. A damaged one raises."""
+    """The record of a gzip member: what the index says of it, and its payload. A damaged one raises."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
@@ -68,16 +79,18 @@ def parse(member: bytes) -> dict:
     size = int(named["Content-Length"])
     if lines[0] != "WARC/1.1" or rest[size:] != b"\r\n\r\n":
         raise ValueError("not a whole WARC record")
-    page = named["WARC-Record-ID"][10:-1]
-    refers = named.get("WARC-Refers-To", "<urn:page:>")[10:-1]
+    page, _, digest = named["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">").partition(":")
+    refers, _, of = named.get("WARC-Refers-To", f"<urn:page::{digest}>").removeprefix("<urn:page:").rstrip(">").partition(":")
+    if named["WARC-Payload-Digest"] != f"sha256:{digest}" or of != digest:
+        raise ValueError("a record's digest differs from that of its name or of what it refers to")
     return {
         "page_id": int(page) if page else None,
         "url": named["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
         "record_type": named["WARC-Type"],
         "refers_to": int(refers) if refers else None,
-        "payload_digest": named["WARC-Payload-Digest"].removeprefix("sha256:"),
+        "payload_digest": digest,
         "payload_bytes": int(named["X-Payload-Length"]),
-        "body": rest[:size],
+        "body": rest[:size].partition(b"\r\n\r\n")[2],
     }
 
 
@@ -85,10 +98,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html; null html: empty) and returns the index, materialised.
 
     The index has page_id, url, record_type, refers_to, payload_digest, payload_bytes, archive, offset, length.
-    Repeated rows of a page_id are written each; of equal payloads the smallest page_id is the response. A page
-    without page_id is always a response.
+    Rows are told apart by page_id and payload: of equal payloads the smallest page_id is the response (all its rows,
+    where it has several), and a page_id with several payloads has a record of each. A page without page_id is always
+    a response. Payloads are not shuffled, unless more than BROADCAST_DIGESTS of them are shared.
     """
-    placed = pages.select("page_id", "url", "html").join(revisits(pages), "page_id", "left")
+    digested = with_digests(pages)
+    shared = shared_payloads(digested)
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
+    placed = digested.join(shared, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("refers_to"), F.col("refers_to")).alias("refers_to"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -99,10 +117,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         try:
             for batch in it:
                 rows = []
-                for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for page_id, url, html, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     body = (html or "").encode("utf-8", "surrogatepass")
                     kind = "response" if refers_to is None else "revisit"
-                    digest = hashlib.sha256(body).hexdigest()
                     member = record(page_id, url, kind, refers_to, digest, len(body), b"" if refers_to is not None else body)
                     out = out or store.open_output_stream(f"{base}/{name}", compression=None)
                     out.write(member)
@@ -117,6 +134,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return cut(placed.mapInArrow(batches, _INDEX))
 
 
+def payload_places(index: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, archive, offset, length): where the payload of each row of an index lies; of a revisit that is its response's record."""
+    own = index.where("record_type = 'response'").select("page_id", "payload_digest", "archive", "offset", "length")
+    held = own.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min(F.struct("archive", "offset", "length")).alias("at"))
+    others = index.where("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to")
+    return own.unionByName(others.join(held, ["refers_to", "payload_digest"]).select("page_id", "payload_digest", "at.*"))
+
+
 def ranges(places: Iterator[tuple[int, int]], gap: int = GAP, most: int = READ_BYTES) -> list[tuple[int, int, int, int]]:
     """Coalesced reads of (offset, length) sorted by offset: (offset, end, first, last + 1) with places of the records."""
     out: list[tuple[int, int, int, int]] = []
@@ -168,6 +193,9 @@ def read_archives(index: DataFrame, folder: str, with_body: bool = False) -> Dat
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to a new folder and read back by their index. A null html is empty; repeated rows
+    have a record each, also those of one page_id with several payloads; no rows, no records.
+    """
     pages = read_table(spark, sf_dir, "pages")
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     index = write_archives(pages, folder)

@@ -60,3 +60,29 @@ def test_ranges_are_coalesced():
     places = [(0, 10), (10, 5), (100, 10), (90_000, 10), (90_010, 10)]
     assert warc.ranges(iter(places), gap=1000, most=1 << 20) == [(0, 110, 0, 3), (90_000, 90_020, 3, 5)]
     assert warc.ranges(iter([(0, 10), (10, 10), (20, 10)]), gap=0, most=20) == [(0, 20, 0, 2), (20, 30, 2, 3)]
+
+
+def test_repeated_ids_lose_no_payload_and_multiply_no_row(spark, tmp_path):
+    """Page 5 has two payloads, one of them page 1's; page 6 has two rows of page 1's payload; page 7 two of its own."""
+    shared, own = "<p>shared</p>" * 20, "<p>own</p>" * 30
+    rows = [(1, shared), (5, shared), (5, own), (6, shared), (6, shared), (7, "a" * 200), (7, "a" * 200), (8, own), (None, shared)]
+    pages = spark.createDataFrame([(i, f"http://h/{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    for few in (warc.BROADCAST_DIGESTS, 0):
+        folder = f"file://{tmp_path}/warc-{few}"
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(warc, "BROADCAST_DIGESTS", few)
+            index = warc.write_archives(pages, folder)
+        got = warc.read_archives(index, folder).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == plain(rows)
+        places = warc.payload_places(index)
+        digests = sorted(hashlib.sha256(h.encode()).hexdigest() for _, h in rows)
+        assert sorted(r.payload_digest for r in places.collect()) == digests
+        bodies = warc.read_archives(places, folder, with_body=True).collect()
+        assert sorted(hashlib.sha256(bytes(r.body)).hexdigest() for r in bodies) == digests
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 100 + str(i % 3)) for i in range(9)], "page_id long, url string, html string")
+    digested = warc.with_digests(pages)
+    placed = digested.join(F.broadcast(warc.shared_payloads(digested)), "digest", "left")
+    assert "Exchange hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
