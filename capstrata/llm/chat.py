@@ -71,8 +71,35 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(ordered.alias("t")).select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(_TURNS).alias("turns"))
 
 
+def loss_mask(formatted: Column) -> Column:
+    """Which characters of a rendered conversation bear loss: the texts of assistant turns, as they stand there.
+
+    Run lengths in code points: each turn has an entry, with so many characters without loss (off) before so many with
+    loss (on); one more entry ends the mask. The runs add up to the length of the conversation.
+    """
+    records = F.split(formatted, r"<\|im_end\|>\n")
+    last = F.size(records) - 1
+
+    def runs(r: Column, i: Column) -> Column:
+        before = F.when(i > 0, len(END) + 1).otherwise(0)  # what ended the turn before
+        head = F.instr(r, "\n")
+        bears = (i < last) & (unescape_role(F.substr(r, F.lit(len(START) + 1), head - len(START) - 1)) == "assistant")
+        on = F.when(bears, F.char_length(r) - head).otherwise(0)
+        return F.struct((before + F.char_length(r) - on).alias("off"), on.alias("on"))
+
+    return F.transform(records, runs)
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts under a loss mask, unescaped: one for each turn that bears loss, in order."""
+    records = F.split(formatted, r"<\|im_end\|>\n")
+    # a turn's loss ends where its record ends
+    texts = F.zip_with(records, mask, lambda r, m: F.when(m["on"] > 0, unescape(F.substr(r, F.char_length(r) - m["on"] + 1))))
+    return F.filter(texts, lambda t: t.isNotNull())
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, escaped, turns): the rendered conversations, whether they had to be escaped, and their turns read back.
+    """(conv_id, formatted, escaped, turns, mask): the rendered conversations, whether they had to be escaped, their turns read back, and the loss mask.
 
     A conversation that no round makes identical fails the job.
     """
@@ -80,25 +107,26 @@ def format_chats(rows: DataFrame) -> DataFrame:
     for _ in range(1, ROUNDS):
         df = df.withColumn("formatted", F.when(F.col("escaped"), _render(F.col("turns"), True)).otherwise(F.col("formatted"))).withColumn("read", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("read")))
     same = F.when(F.col("read").eqNullSafe(F.col("turns")), F.col("read")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")).cast(_TURNS))
-    return df.select("conv_id", "formatted", "escaped", same.alias("turns"))
-
-
-def loss_text(turns: Column) -> Column:
-    """What bears loss: the text of each assistant turn, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return df.select("conv_id", "formatted", "escaped", same.alias("turns"), loss_mask(F.col("formatted")).alias("mask"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -1, from their turns read back and the text under their mask.
+
+    Null roles and texts are empty, turns of one number go by role and text, repeated rows are turns each, rows without
+    conv_id are one conversation; an empty table leaves conversation -1.
+    """
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ATTACK).alias("text"))
     chats = format_chats(rows.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("mask")), "")
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.char_length(loss_text(F.col("turns"))).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(F.col("turns")), 256).alias("loss_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
