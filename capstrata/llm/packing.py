@@ -10,6 +10,7 @@ is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ END_ID = 1
 POOL = 192
 #: Sequence numbers of one partition.
 PER_PARTITION = 1 << 36
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k"
 
 
 @dataclass(frozen=True)
@@ -39,18 +40,30 @@ class Limits:
     segments: int = 64
     loss_tokens: int = 2048
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss_tokens) < 1:
+            raise ValueError("a sequence holds one token, segment and loss-bearing token at least")
+
+
+#: Of instruction data at most half of a sequence bears loss, so that batches have an even share of it.
+INSTRUCTION = Limits(loss_tokens=1024)
+
 
 def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """Ids of a text by a public byte-level vocabulary; strings of special tokens are ordinary text.
+    """Ids of a text by a public byte-level vocabulary, as its tokenizer file gives them without added ids.
 
-    The rank file gives the same ids as the tokenizer file of the same vocabulary, at a quarter of the CPU time.
+    So the string of an added token in a text is that token. The rank file gives the same ids as the tokenizer file of
+    the same vocabulary, at a quarter of the CPU time.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(public_tokenizers.path(f"{vocabulary}.json")) as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    coder = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: coder.encode(text, allowed_special="all") if any(t in text for t in added) else coder.encode_ordinary(text)
 
 
 @dataclass
@@ -205,7 +218,7 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), ids], names=names)
 
 
-def pack_conversations(conversations: DataFrame, limits: Limits = Limits(), vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_conversations(conversations: DataFrame, limits: Limits = INSTRUCTION, vocabulary: str = VOCABULARY) -> DataFrame:
     """Instruction data: the turns of a conversation are one example, and only assistants' tokens bear loss.
 
     conversations: conv_id, turn, role, text. Returns conv_id, start, length, loss_tokens, sequence_id, offset, ids.
@@ -243,4 +256,7 @@ _TURNS = pa.schema([(c, pa.int64()) for c in ("conv_id", "start", "length", "los
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, without their ids. Every token of a document bears loss, so here the limit on those
+    is the limit on tokens. Null and empty texts are their end id alone; repeated rows are packed each; no rows, no pieces.
+    """
     return pack_texts(read_table(spark, sf_dir, "documents")).drop("ids")

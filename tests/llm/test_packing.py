@@ -1,5 +1,6 @@
 """Packing: every id in one piece, limits kept, little padding."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -11,13 +12,16 @@ from capstrata.llm import packing
 SF = "/root/testdata/sf0.001"
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check(rows, texts, most=2048):
@@ -51,7 +55,7 @@ def test_query(spark):
 
 
 def test_nulls_empty_long_special_and_clashing_columns(spark):
-    texts = {1: None, 2: "", 3: "word " * 9000, 4: "<|endoftext|> x", 5: "a" * 30_000, **{i: "tiny" for i in range(10, 300)}}
+    texts = {1: None, 2: "", 3: "word " * 9000, 4: "a <|endoftext|> x<|endoftext|><|endoftext|>", 6: "<|endoftext|", 5: "a" * 30_000, **{i: "tiny" for i in range(10, 300)}}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("length", F.lit(0)).repartition(2)
     padding, total = check(packing.pack_texts(docs).collect(), texts)
     assert packing.pack_texts(docs.limit(0)).count() == 0
@@ -86,3 +90,17 @@ def test_conversations(spark):
     out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     first = [r for r in out if r.conv_id == 1]
     assert sum(r.length for r in first) > sum(r.loss_tokens for r in first) > 0
+
+
+def test_loss_limit_of_conversations_binds(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"some words of turn {t} " * (40 if t % 2 else 3)) for c in range(60) for t in range(4)]
+    out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    sequences = {}
+    for r in out:
+        n, loss, k = sequences.get(r.sequence_id, (0, 0, 0))
+        sequences[r.sequence_id] = (n + r.length, loss + r.loss_tokens, k + 1)
+    assert all(n <= 2048 and loss <= 1024 and k <= 64 for n, loss, k in sequences.values())
+    assert sum(loss == 1024 and n < 2048 for n, loss, _ in sequences.values()) > len(sequences) / 2
+    for bad in ({"tokens": 0}, {"segments": 0}, {"loss_tokens": 0}):
+        with pytest.raises(ValueError):
+            packing.Limits(**bad)
