@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII letters, for lower-casing A-Z and nothing else.
@@ -37,18 +39,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that Python objects of few texts exist at once; what Arrow has freed goes back."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+#: Rows to drop are broadcast up to so many (16 bytes each); more are joined by shuffling.
+DROP_LIMIT = 1_000_000
+
+
+def text_key(text) -> Column:
+    """A hash of a text (null: empty), by which rows of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def joined_by_key(docs: DataFrame, keys: DataFrame, how: str, limit: int) -> DataFrame:
+    """docs joined with keys (__doc_id, __digest) by their doc_id (null like any other) and text.
+
+    Few keys are broadcast, so that no text is shuffled; their number is counted first.
+    """
+    few = F.broadcast(keys) if keys.count() <= limit else keys
+    return docs.join(few, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (text_key(docs["text"]) == F.col("__digest")), how)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     edges: two long columns (src, dst). Returns (node, root) for each node that has an edge, root being the smallest
     node of its component. Minima are pre-aggregated before each shuffle, and both sides of each join are plain
-    exchanges, so that adaptive execution splits the rows of a hub.
+    exchanges, so that adaptive execution splits the rows of a hub. Rounds grow with the logarithm of the number of
+    nodes; what has not settled after max_rounds fails the job.
     """
     edges = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
