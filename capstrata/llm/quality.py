@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capstrata.llm import ngrams
-from capstrata.llm.common import read_table
+from capstrata.llm.common import in_parts, read_table
 from capstrata.llm.ngrams import Grams, Layout
 
 #: At most so many labelled rows are fitted on; the first by a hash of their id.
@@ -108,13 +108,16 @@ class QualityModel:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, rows: int) -> list:
-    """(good, columns, shares) of a bounded sample of labelled documents; features are made on the executors."""
-    sample = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("good")).dropDuplicates(["doc_id"])
+    """(good, columns, shares) of a bounded sample of labelled documents; features are made on the executors.
+
+    A document with several labels has the least of them. Rows without a label or doc_id teach nothing.
+    """
+    sample = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             made = [GRAMS.sparse(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], names=["doc_id", "good", "columns", "shares"])
 
@@ -181,6 +184,10 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
+    """The model of docs (doc_id, text) and labels (doc_id, quality: 1 good, 0 bad), from at most so many labelled documents.
+
+    A null text is empty, repeated rows of a document count once. Without rows of both classes see fit().
+    """
     return fit(labelled_features(docs, labels, rows))
 
 
@@ -194,7 +201,7 @@ def score(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM, ca
     carried = [f.simpleString().replace(":", " ", 1) for f in docs.select(*carry).schema]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             texts = [t or "" for t in batch.column(len(carry)).to_pylist()]
             for start, stop in ngrams.chunks(texts):
                 part = texts[start:stop]
@@ -211,12 +218,15 @@ def score(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM, ca
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that fail the limits or that the model rejects."""
+    """docs without the rows that fail the limits or that the model rejects.
+
+    A null or empty text fails; repeated rows are judged alike, rows without doc_id like others; the columns stay.
+    """
     model = train(docs, labels)
     columns = docs.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             texts = [t or "" for t in batch.column(columns.index("text")).to_pylist()]
             kept = []
             for start, stop in ngrams.chunks(texts):
@@ -231,6 +241,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null and empty texts have no words and fail; repeated rows are judged alike;
+    without labels the limits alone decide; no rows, no result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).select("doc_id", *_COUNTS, "base_failed", "kept", "good_probability")
