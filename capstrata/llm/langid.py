@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from capstrata.llm import ngrams
-from capstrata.llm.common import read_table
+from capstrata.llm.common import in_parts, read_table
 from capstrata.llm.ngrams import Grams, Layout
 
 #: At most so many rows of each language are fitted on; the first by a hash of their id.
@@ -37,7 +38,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(GRAMS.size, np.int64), 0
         held = np.zeros(GRAMS.size, bool)
-        for batch in it:
+        for batch in in_parts(it):
             values = [normalised(t) for t in batch.column(0).to_pylist()]
             rows += len(values)
             for start, stop in ngrams.chunks(values):
@@ -81,15 +82,17 @@ class LanguageModel:
 
 
 def sample(learnable: DataFrame, languages: list[str], per_language: int = SAMPLE_PER_LANGUAGE) -> list:
-    """(language, columns, shares) of a bounded number of rows of each language, in a fixed order."""
-    chosen = None
-    for lang in languages:
-        part = learnable.where(F.col("lang") == lang).select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = learnable.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "lang", "text")
+    """(language, columns, shares) of a bounded number of rows of each language, in a fixed order.
+
+    One pass over ids and languages: each task keeps the first so many of a language before they meet.
+    """
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    ids = learnable.where("doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    chosen = ids.select("doc_id").distinct().limit(per_language * max(1, len(languages)))  # no more than that are there
+    rows = learnable.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             made = [GRAMS.sparse(normalised(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], names=["doc_id", "lang", "columns", "shares"])
 
@@ -155,10 +158,13 @@ def train(learnable: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Lang
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row; `und` and 0 for a null text, one without a letter, and a model that knows no language."""
+    """(doc_id, lang_pred, score) of each row; `und` and 0 for a null text, one without a letter, and a model that knows no language.
+
+    Repeated rows are judged alike; further columns are left out.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             raw = batch.column(1).to_pylist()
             texts = [normalised(t) for t in raw]
             names, scores = [UNKNOWN] * len(raw), np.zeros(len(raw))
@@ -180,6 +186,9 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Null texts and those without a letter are `und`; rows without lang teach nothing;
+    repeated rows are judged alike; no rows, no result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
     found = predict(docs, model)

@@ -45,3 +45,33 @@ def test_hard_rows(spark):
     nothing = langid.train(docs.where("false").select("doc_id", "text", "lang"))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_weights_match_a_plain_ftrl():
+    """Follow-the-regularised-leader one coordinate and class at a time."""
+    texts = [("a", "aaa bab aab"), ("b", "bbb abb bba"), ("a", "aba aaa"), ("b", "bbb bb"), ("a", "held out, not fitted"), ("a", "caa"), ("b", "cbb")]
+    rows = [(lang, *langid.GRAMS.sparse(t)) for lang, t in texts]
+    frequencies = np.arange(langid.GRAMS.size) % 5
+    model = langid.fit(rows, ["a", "b"], 7, frequencies, epochs=2)
+    idf = np.log((1 + 7) / (1 + frequencies)) + 1
+    z, n = [{}, {}], [{}, {}]
+    weight = lambda k, i, l1: 0.0 if abs(z[k].get(i, 0.0)) <= l1 else -(z[k][i] - np.sign(z[k][i]) * l1) / ((langid.BETA + np.sqrt(n[k][i])) / langid.ALPHA + langid.L2)
+    for _ in range(2):
+        for at, (lang, columns, shares) in enumerate(rows):
+            if at % 5 == 4:
+                continue
+            x = {int(c): float(s) * idf[c] * 30.0 for c, s in zip(columns, shares, strict=True)} | {-1: 1.0}
+            score = [sum(v * weight(k, i, 0.0 if i < 0 else langid.L1) for i, v in x.items()) for k in range(2)]
+            p = np.exp(np.array(score) - max(score))
+            p /= p.sum()
+            p[0 if lang == "a" else 1] -= 1
+            for k in range(2):
+                for i, v in x.items():
+                    w, g = weight(k, i, 0.0 if i < 0 else langid.L1), v * p[k]
+                    before = n[k].get(i, 0.0)
+                    sigma = (np.sqrt(before + g * g) - np.sqrt(before)) / langid.ALPHA
+                    z[k][i], n[k][i] = z[k].get(i, 0.0) + g - sigma * w, before + g * g
+    for k in range(2):
+        for i in {int(c) for _, columns, _ in rows for c in columns}:
+            assert abs(model.weights[i, k] - (weight(k, i, langid.L1) if i in z[k] else 0.0) * idf[i] * 30.0) < 1e-3
+        assert abs(model.bias[k] - weight(k, -1, 0.0)) < 1e-6
