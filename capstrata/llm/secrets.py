@@ -1,4 +1,4 @@
-"""Secret scans: patterns of known kinds, and a character convolutional network over every other candidate.
+"""Secret scans: patterns of known kinds, and a character convolutional network over every candidate.
 
 The network is numpy: an embedding of characters, one convolution, the maximum over positions, one dense layer. It
 sees a candidate with the characters around it. It is fitted on labelled findings: candidates of a bounded sample of
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capstrata.llm.common import read_table
+from capstrata.llm.common import in_parts, read_table
 from capstrata.llm.ngrams import sigmoid
 from capstrata.llm.quality import platt
 
@@ -243,7 +243,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 known = base_spans(text or "")
@@ -264,18 +264,26 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
 _LABELLED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("codes", pa.binary()), ("secret", pa.int32())])
 
 
-def spans_of(texts: list[str], net: Network) -> list[list[Span]]:
-    """All spans of each text: the known kinds, and candidates apart from them of which the network accepts any window."""
-    found = [base_spans(t) for t in texts]
-    open_ = [(i, s, e) for i, t in enumerate(texts) for s, e, known in candidates(t, found[i]) if not known]
-    parts = ((k, a, b) for k, (_, s, e) in enumerate(open_) for a, b in windows_of(s, e))
-    accepted: set[int] = set()
+def scored_candidates(texts: list[str], net: Network, base: list[list[Span]]) -> list[tuple[int, int, int, bool, float]]:
+    """(text, start, end, whether known spans cover it, probability) of every candidate: the highest of its windows."""
+    all_ = [(i, s, e, known) for i, t in enumerate(texts) for s, e, known in candidates(t, base[i])]
+    parts = ((k, a, b) for k, (_, s, e, _) in enumerate(all_) for a, b in windows_of(s, e))
+    best = np.zeros(len(all_))
     while part := list(islice(parts, 4096)):
-        p = net.probabilities(np.array([window(texts[open_[k][0]], a, b) for k, a, b in part]))
-        accepted.update(k for (k, _, _), yes in zip(part, p >= net.threshold, strict=True) if yes)
-    for k in accepted:
-        i, s, e = open_[k]
-        found[i].append((s, 3, e))
+        p = net.probabilities(np.array([window(texts[all_[k][0]], a, b) for k, a, b in part]))
+        np.maximum.at(best, [k for k, _, _ in part], p)
+    return [(*c, float(p)) for c, p in zip(all_, best, strict=True)]
+
+
+def spans_of(texts: list[str], net: Network, scored: list | None = None) -> list[list[Span]]:
+    """All spans of each text: the known kinds, whatever the network says of them, and the other candidates that it accepts.
+
+    `scored` takes what scored_candidates() gives, if it was asked for before.
+    """
+    found = [base_spans(t) for t in texts]
+    for i, s, e, known, p in scored_candidates(texts, net, found) if scored is None else scored:
+        if not known and p >= net.threshold:
+            found[i].append((s, 3, e))
     return [sorted(f) for f in found]
 
 
@@ -298,17 +306,28 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def scan(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row; a null text has none. Whole texts are scanned."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_scored, known_score) for each row.
+
+    Whole texts are scanned; a null text has no spans, repeated rows are scanned alike. n_scored: candidates that the
+    network scored; known_score: the least of what it gave those that known kinds cover, null without any.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = spans_of([t or "" for t in batch.column(1).to_pylist()], net)
+        for batch in in_parts(it):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            scored = scored_candidates(texts, net, [base_spans(t) for t in texts])
+            found = spans_of(texts, net, scored)
+            count, least = np.zeros(len(texts), np.int64), [None] * len(texts)
+            for i, _, _, known, p in scored:
+                count[i] += 1
+                if known:
+                    least[i] = p if least[i] is None else min(p, least[i])
             base = [[x for x in f if x[1] < 3] for f in found]
             columns = [pa.array([sum(x[1] == k for x in b) for b in base], pa.int64()) for k in range(3)]
             digests = [hashlib.sha256(join_spans(b).encode()).hexdigest() for b in base]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array([join_spans(f) for f in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array([join_spans(f) for f in found], pa.string()), pa.array(count), pa.array(least, pa.float64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_scored", "known_score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_scored long, known_score double")
 
 
 def redacted(docs: DataFrame, net: Network) -> DataFrame:
@@ -317,7 +336,7 @@ def redacted(docs: DataFrame, net: Network) -> DataFrame:
     place = columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             texts = batch.column(place).to_pylist()
             found = spans_of([t or "" for t in texts], net)
             new = [redact(t, f) if f else t for t, f in zip(texts, found, strict=True)]
@@ -330,5 +349,8 @@ def redacted(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in every document, by a network fitted on a bounded sample of them. Null and empty texts have none;
+    repeated rows are scanned alike; no rows, no result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     return scan(docs, train(docs))
