@@ -7,7 +7,9 @@ import zipfile
 from pyspark.sql import functions as F
 
 from capstrata.functions.vocabulary import SEC_EDGAR
-from capstrata.sources import filings, graph, roster
+from capstrata.operators import ingest
+from capstrata.plans import ingestion
+from capstrata.sources import filings, graph, landed, roster
 
 INDEX = """Description: daily index
 
@@ -193,3 +195,28 @@ def test_graph_questions(spark):
     assert {(r.company, r.kind, r.acquirer, r.date) for r in graph.exits_of(seed, t, none.limit(0), none).collect()} == {("C2", "acq", "B1", "2014-01-01"), ("C1", "ipo", None, None)}
     assert {r.investor for r in graph.firm_universe(t).collect()} == {"I1"}
     assert graph.chunks(spark.range(450).select(F.col("id").cast("string").alias("qid"))).select("chunk").distinct().count() == 3
+
+
+def test_zipped_roster_rows(spark, tmp_path):
+    header = '"Organization CRD#"," Legal Name ","Main Office City","Any VC Funds"\r\n'
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+        z.writestr("ROSTER.CSV", (header + '"1","“ONE” € L.P."," TOWN\nHALL ","Y"\r\n"2","TWO"\r\n" ","","",""\r\n\r\n').encode("cp1252"))
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+    rows = roster.read_zipped(spark, str(tmp_path)).orderBy("row").collect()
+    assert [(r["Organization CRD#"], r["Legal Name"], r["Main Office City"], r["Any VC Funds"], r["CIK#"]) for r in rows] == [("1", "“ONE” € L.P.", "TOWN\nHALL", "Y", ""), ("2", "TWO", "", "", "")]
+
+
+def test_run_of_landed_sources(spark, tmp_path):
+    """The chosen sources alone, the latest so many records, counted; again: nothing new."""
+    sf, folder, day = "/root/testdata/sf0.001", f"file://{tmp_path}", F.lit("2026-08-01").cast("date")
+    ingestion._land_documents(spark, sf, ingestion._land_index(spark, ingestion._supplier_index(spark, sf), f"{folder}/SEC_EDGAR"))
+    ingestion._land_roster(spark, sf, f"{folder}/SEC_ADV")
+    sources = [landed.Filings(day), landed.Roster(("Venture",)), landed.Graph(day)]
+    at = F.lit("2026-08-01").cast("timestamp_ntz")
+    store, told = ingest.run_sources(spark, ingest.Store.empty(spark), sources, folder, at, ["SEC_EDGAR", "SEC_ADV"], limit=4)
+    assert [(t["source"], t["processed"], t["upserted"], t["skipped"], t["investors"], t["new_companies"]) for t in told] == [("SEC_EDGAR", 4, 4, 0, 0, 4), ("SEC_ADV", 0, 0, 0, 4, 0)]
+    assert {r.external_id for r in store.companies.collect()} == {str(7_000_000 + k) for k in (6, 7, 8, 9)} and store.rounds.count() == 4
+    again, told = ingest.run_sources(spark, store, sources, folder, at, ["SEC_EDGAR"], limit=4)
+    assert told[0]["new_companies"] == told[0]["new_investors"] == 0 and again.companies.count() == 4
