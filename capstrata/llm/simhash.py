@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capstrata.llm import similar
-from capstrata.llm.common import connected_components, cut, read_table
+from capstrata.llm.common import DROP_LIMIT, connected_components, cut, in_parts, joined_by_key, read_table, text_key
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Bits of each segment on the ring, from the lowest.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long. Null texts count as empty."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in in_parts(it):
             fps = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -114,13 +114,29 @@ def near_duplicates(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) ->
 
 
 def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
-    """docs with one row for each component of near_duplicates: that of the smallest doc_id. Rows without doc_id stay as they are."""
-    found = near_duplicates(docs.select("doc_id", "text"), block_limit)
-    kept = cut(found.where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs with one row for each component of near_duplicates: that of the smallest doc_id, then of the smallest hash of its text.
+
+    A row without doc_id stays only where its component has none with one. Of repeated rows one stays, any of them.
+    Null and empty texts are one component. Rows to drop are named by doc_id and the text's hash; texts are not
+    shuffled, but for those of repeated rows, and where there are more than DROP_LIMIT to drop.
+    """
+    prints, pairs = similar.similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text")), block_limit)
+    keys = cut(prints.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("rows")))
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    classes = cut(keys.groupBy("fp").agg(F.min(name).alias("first")))
+    roots = connected_components(pairs).withColumnRenamed("node", "fp")
+    rooted = cut(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    kept = rooted.join(firsts, "root").where(F.col("first") == F.col("kept")).select("fp", "kept")
+    judged = keys.join(kept, "fp", "left").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.coalesce(name == F.col("kept"), F.lit(False)).alias("stays"), "rows")
+    odd = cut(judged.where("rows > 1 or not stays"))
+    once = joined_by_key(docs, odd.where("stays").select("__doc_id", "__digest"), "inner", DROP_LIMIT).dropDuplicates(["__doc_id", "__digest"]).select(*(docs[c] for c in docs.columns))
+    return joined_by_key(docs, odd.select("__doc_id", "__digest"), "left_anti", DROP_LIMIT).unionByName(once)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero and are one component;
+    repeated rows keep their rows; no rows, no result.
+    """
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -95,3 +95,14 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3]
     empty = docs.limit(0)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+
+
+def test_clashing_ids_keep_a_row_of_each_component(spark):
+    same, near = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven"
+    rows = [(1, same), (5, same), (5, near), (5, near), (None, near), (None, "quite another text than those"), (None, "quite another text than those"), (7, "of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(0))
+    for few in (simhash.DROP_LIMIT, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "DROP_LIMIT", few)
+            kept = sorted(((r.doc_id or -1, r.text) for r in simhash.deduplicate(docs).collect()))
+        assert kept == [(-1, "quite another text than those"), (1, same), (5, near), (7, "of its own")]
