@@ -6,13 +6,15 @@ estimates them by Krichevsky and Trofimov. The weighted probability of a node is
 the product of its children's, so a prediction mixes the estimates of all depths, each by what it has earned. The
 score of a text is the sum of log10 of its bytes' probabilities; its code length per byte follows from that.
 
-Work is split by blocks of documents and by parts of the tree. A block sends, for each part, the distinct byte runs
-that its texts need, with their training counts (zero for those that only held-out texts have). A part is all runs
-whose last three context bytes hash to it; the requests of blocks are merged by part in a tree of bounded fan-in. The
-nodes deeper than three bytes are then weighted inside one task, over the distinct runs of a part (at most
-256**(DEPTH - 2) for each such context); shallower nodes are rows of DataFrames. Probabilities return to the blocks,
-a bounded number of blocks to a task. Tokens for the base score travel the same way. Nothing passes through the
-driver but two sums.
+Work is split by blocks of documents and by parts of the tree. A block asks for the distinct byte runs that its texts
+need, with their training counts (zero for those that only held-out texts have). The requests go up a tree of fan-in
+FAN: at each level the lists of FAN groups meet, equal runs are merged and their counts added, and what comes out is
+dealt to FAN times as many shelves by the next digit of a hash of the run's last three context bytes. So every group
+sends FAN lists at most whatever the size of the corpus, lists stay as long as those of a block, and a shelf of the
+last level is a part: all runs of its contexts, once. The nodes deeper than three bytes are weighted inside one task,
+over the distinct runs of a part (at most 256**(DEPTH - 2) for each such context); shallower nodes are rows of
+DataFrames. Answers go down the same tree, each list to those that it was merged from. Tokens for the base score travel
+the same way. Nothing passes through the driver but three sums.
 """
 
 from __future__ import annotations
@@ -32,19 +34,19 @@ from capstrata.llm.common import cut, read_table
 
 #: Bytes of context, and of those the depth down to which nodes are rows of DataFrames.
 DEPTH, ROOTED = 5, 3
-#: Documents of a block.
-BLOCK_ROWS = 5000
-#: Blocks that are merged or answered in one task, and the most parts that a block's requests are dealt to.
-FAN_IN, MOST_PARTS = 64, 4096
+#: Bytes of text of a block.
+BLOCK_BYTES = 12 << 20
+#: Lists that meet in one group, and shelves that a group deals to.
+FAN = 64
 FOLDS, HELD_OUT = 7, 2
 _END = b"\n"
 _MASK = (1 << 8 * DEPTH) - 1
 _LN2, _LOG10 = math.log(2), math.log(10)
 _GRAMS, _TOKENS = 0, 1
-_REQUEST = "part int, block int, kind int, keys binary, counts binary"
-_MERGED = "part int, team int, keys binary, counts binary"
-_MODEL = "part int, keys binary, answers binary"
-_ANSWER = "block int, kind int, keys binary, answers binary"
+_REQUEST = "shelf long, member long, kind int, keys binary, counts binary"
+_MERGED = "shelf long, member long, keys binary, counts binary"
+_MODEL = "shelf long, keys binary, answers binary"
+_ANSWER = "shelf long, member long, keys binary, answers binary"
 _NODES = "ctx long, node int, zeros long, ones long, weighted double"
 
 
@@ -102,67 +104,171 @@ def _unpack_tokens(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b" ")
 
 
-def _part_of(run: np.ndarray, parts: int) -> np.ndarray:
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several sorted lists and their summed counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+
+
+def _mixed(run: np.ndarray) -> np.ndarray:
+    """A hash of a run's last ROOTED context bytes, whose digits to the base FAN are its shelves."""
     context = ((run >> 8) & ((1 << 8 * ROOTED) - 1)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+        return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)).astype(np.int64)
+
+
+class Runs:
+    """Lists of runs: sorted integers."""
+
+    pack, unpack, merge = staticmethod(_pack_sorted), staticmethod(_unpack_sorted), staticmethod(_merge)
+
+    @staticmethod
+    def digits(keys: np.ndarray, level: int) -> np.ndarray:
+        return _mixed(keys) // FAN**level % FAN
+
+    @staticmethod
+    def take(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return keys[at]
+
+    @staticmethod
+    def answer(keys: list[np.ndarray], answers: list[np.ndarray], asked: list[np.ndarray]) -> list[np.ndarray]:
+        known, values = np.concatenate(keys), np.concatenate(answers)
+        order = np.argsort(known)
+        known, values = known[order], values[order]
+        return [values[np.searchsorted(known, k)] for k in asked]
+
+
+class Tokens:
+    """Lists of tokens: sorted bytes."""
+
+    pack, unpack = staticmethod(_pack_tokens), staticmethod(_unpack_tokens)
+
+    @staticmethod
+    def merge(parts: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+        total: Counter = Counter()
+        for keys, counts in parts:
+            total.update(dict(zip(keys, counts.tolist(), strict=True)))
+        own = sorted(total)
+        return own, np.array([total[t] for t in own], np.int64)
+
+    @staticmethod
+    def digits(keys: list[bytes], level: int) -> np.ndarray:
+        return np.array([zlib.crc32(k) for k in keys], np.int64) // FAN**level % FAN
+
+    @staticmethod
+    def take(keys: list[bytes], at: np.ndarray) -> list[bytes]:
+        return [keys[i] for i in at]
+
+    @staticmethod
+    def answer(keys: list[list[bytes]], answers: list[np.ndarray], asked: list[list[bytes]]) -> list[np.ndarray]:
+        known = {k: v for own, values in zip(keys, answers, strict=True) for k, v in zip(own, values.tolist(), strict=True)}
+        return [np.fromiter(map(known.__getitem__, k), np.float64, len(k)) for k in asked]
+
+
+def _dealt(kind, keys, counts: np.ndarray, level: int, shelf: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(shelf, keys, counts) for each shelf of the level that has keys; the list is sorted by shelf once."""
+    if not len(keys):
+        return
+    digits = kind.digits(keys, level)
+    order = np.argsort(digits, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(digits[order])) + 1):
+        yield shelf * FAN + int(digits[at[0]]), kind.pack(kind.take(keys, at)), _pack(counts[at])
+
+
+def _requests(docs: pd.DataFrame) -> pd.DataFrame:
+    """What a block asks for, dealt to the shelves of the first level."""
+    block = int(docs["block"].iloc[0])
+    counted: dict[bool, list] = {True: [], False: []}
+    known: Counter = Counter()
+    all_tokens: set[bytes] = {b""}
+    batch: dict[bool, list] = {True: [], False: []}
+    size = 0
+
+    def flush() -> None:
+        for out, words in batch.items():
+            if words:
+                counted[out].append(np.unique(runs(words)[0], return_counts=True))
+                words.clear()
+
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        words, out = tokens(text), held_out(None if pd.isna(doc_id) else int(doc_id))
+        if out:
+            all_tokens.update(words)
+        else:
+            known.update(words)
+            known[b""] += 1
+        batch[out].append(words)
+        size += len(text or "")
+        if size > 1 << 21:
+            flush()
+            size = 0
+    flush()
+    trained, n = _merge(counted[False])
+    needed = np.union1d(trained, _merge(counted[True])[0])
+    counts = np.zeros(len(needed), np.int64)
+    counts[np.searchsorted(needed, trained)] = n
+    own = sorted(all_tokens.union(known))
+    rows = [(shelf, block, _GRAMS, keys, c) for shelf, keys, c in _dealt(Runs, needed, counts, 0, 0)]
+    rows += [(shelf, block, _TOKENS, keys, c) for shelf, keys, c in _dealt(Tokens, own, np.array([known[t] for t in own], np.int64), 0, 0)]
+    return pd.DataFrame(rows, columns=["shelf", "member", "kind", "keys", "counts"])
+
+
+def levels_for(blocks: int) -> int:
+    """Levels of the tree: as many as bring the lists of so many blocks into groups of FAN."""
+    levels = 1
+    while FAN**levels < blocks:
+        levels += 1
+    return levels
 
 
-def _requests(parts: int):
-    def of_block(docs: pd.DataFrame) -> pd.DataFrame:
-        block = int(docs["block"].iloc[0])
-        counted: dict[bool, list] = {True: [], False: []}
-        known: Counter = Counter()
-        all_tokens: set[bytes] = {b""}
-        batch: dict[bool, list] = {True: [], False: []}
-        size = 0
+def _teams(lists: DataFrame):
+    return lists.withColumn("team", F.floor(F.col("member") / FAN)).groupBy("shelf", "team")
 
-        def flush() -> None:
-            for out, words in batch.items():
-                if words:
-                    counted[out].append(np.unique(runs(words)[0], return_counts=True))
-                    words.clear()
 
-        for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
-            words, out = tokens(text), held_out(None if pd.isna(doc_id) else int(doc_id))
-            if out:
-                all_tokens.update(words)
-            else:
-                known.update(words)
-                known[b""] += 1
-            batch[out].append(words)
-            size += len(text or "")
-            if size > 1 << 21:
-                flush()
-                size = 0
-        flush()
-        trained, n = _merge(counted[False])
-        needed = np.union1d(trained, _merge(counted[True])[0])
-        counts = np.zeros(len(needed), np.int64)
-        counts[np.searchsorted(needed, trained)] = n
-        part = _part_of(needed, parts)
-        rows = []
-        for p in np.unique(part):
-            here = part == p
-            rows.append((int(p), block, _GRAMS, _pack_sorted(needed[here]), _pack(counts[here].astype(np.int64))))
-        dealt: list[list[bytes]] = [[] for _ in range(parts)]
-        for t in sorted(all_tokens.union(known)):
-            dealt[zlib.crc32(t) % parts].append(t)
-        for p, own in enumerate(dealt):
-            if own:
-                rows.append((p, block, _TOKENS, _pack_tokens(own), _pack(np.array([known[t] for t in own], np.int64))))
-        return pd.DataFrame(rows, columns=["part", "block", "kind", "keys", "counts"])
+def go_up(asked: DataFrame, levels: int, kind) -> tuple[list[DataFrame], DataFrame]:
+    """The lists (shelf, member, keys, counts) of each level, and one row (shelf, member, keys, counts) for each part."""
 
-    return of_block
+    def merged(rows: pd.DataFrame):
+        return kind.merge([(kind.unpack(k), _unpack(c, np.int64)) for k, c in zip(rows["keys"], rows["counts"], strict=True)])
 
+    def onward(level: int):
+        def deal(rows: pd.DataFrame) -> pd.DataFrame:
+            team = int(rows["team"].iloc[0])
+            out = [(shelf, team, keys, counts) for shelf, keys, counts in _dealt(kind, *merged(rows), level, int(rows["shelf"].iloc[0]))]
+            return pd.DataFrame(out, columns=["shelf", "member", "keys", "counts"])
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several sorted lists and their summed counts."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+        return deal
+
+    lists = [asked]
+    for level in range(1, levels):
+        lists.append(cut(_teams(lists[-1]).applyInPandas(onward(level), _MERGED)))
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = merged(rows)
+        return pd.DataFrame([(rows["shelf"].iloc[0], rows["team"].iloc[0], kind.pack(keys), _pack(counts))], columns=["shelf", "member", "keys", "counts"])
+
+    return lists, cut(_teams(lists[-1]).applyInPandas(whole, _MERGED))
+
+
+def go_down(lists: list[DataFrame], model: DataFrame, kind, dtype: type) -> DataFrame:
+    """(shelf, member, keys, answers) for the lists of the first level: what the parts' model (shelf, keys, answers) says of them."""
+
+    def answered(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"shelf": [], "member": [], "keys": [], "answers": []})
+        found = kind.answer([kind.unpack(k) for k in told["keys"]], [_unpack(a, dtype) for a in told["answers"]], [kind.unpack(k) for k in asked["keys"]])
+        return pd.DataFrame({"shelf": asked["shelf"], "member": asked["member"], "keys": asked["keys"], "answers": [_pack(a.astype(dtype)) for a in found]})
+
+    told = model.withColumn("team", F.lit(0).cast("long"))
+    for asked in lists[::-1]:
+        answers = _teams(asked).cogroup(told.groupBy("shelf", "team")).applyInPandas(answered, _ANSWER)
+        if asked is not lists[0]:
+            answers = cut(answers)
+        told = answers.select(F.floor(F.col("shelf") / FAN).alias("shelf"), F.col("member").alias("team"), "keys", "answers")
+    return answers
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -225,29 +331,6 @@ def deep_levels(run: np.ndarray, counts: np.ndarray) -> list[Level]:
     return levels
 
 
-def _merged_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = _merge([(_unpack_sorted(k), _unpack(c, np.int64)) for k, c in zip(rows["keys"], rows["counts"], strict=True)])
-    return pd.DataFrame([(rows["part"].iloc[0], rows["team"].iloc[0], _pack_sorted(keys), _pack(counts))], columns=["part", "team", "keys", "counts"])
-
-
-def _merged_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-    total: Counter = Counter()
-    for keys, counts in zip(rows["keys"], rows["counts"], strict=True):
-        total.update(dict(zip(_unpack_tokens(keys), _unpack(counts, np.int64).tolist(), strict=True)))
-    own = sorted(total)
-    return pd.DataFrame([(rows["part"].iloc[0], rows["team"].iloc[0], _pack_tokens(own), _pack(np.array([total[t] for t in own], np.int64)))], columns=["part", "team", "keys", "counts"])
-
-
-def _merge_blocks(asked: DataFrame, blocks: int, merge) -> DataFrame:
-    """One row for each part: its distinct keys and their counts over all blocks, merged FAN_IN at a time."""
-    level = asked.select("part", F.col("block").alias("team"), "keys", "counts")
-    while True:
-        blocks = -(-blocks // FAN_IN)
-        level = level.withColumn("team", F.floor(F.col("team") / FAN_IN).cast("int")).groupBy("part", "team").applyInPandas(merge, _MERGED)
-        if blocks <= 1:
-            return cut(level.drop("team"))
-
-
 def _rooted_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for keys, counts in zip(rows["keys"], rows["counts"], strict=True):
@@ -255,8 +338,8 @@ def _rooted_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"ctx": top.keys >> 8, "node": (top.keys & 255).astype(np.int32), "zeros": top.zeros.astype(np.int64), "ones": top.ones.astype(np.int64), "weighted": top.weighted})
 
 
-def _shallow(nodes: DataFrame, parts: int) -> DataFrame:
-    """(part, ctx, node, rest, mean) of the nodes of depth ROOTED: what depths up to theirs give, mixed from the root down."""
+def _shallow(nodes: DataFrame, digits: int) -> DataFrame:
+    """(shelf, ctx, node, rest, mean) of the nodes of depth ROOTED: what depths up to theirs give, mixed from the root down."""
 
     @F.pandas_udf("double")
     def own(zeros: pd.Series, ones: pd.Series) -> pd.Series:
@@ -283,20 +366,24 @@ def _shallow(nodes: DataFrame, parts: int) -> DataFrame:
         above = cut(level.select(F.col("ctx").alias("up"), "node", (F.col("up_rest") * (1 - share)).alias("up_rest"), (F.col("up_mean") + F.col("up_rest") * share * one).alias("up_mean")))
     last = levels[ROOTED].select("ctx", "node", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (ROOTED - 1)) - 1)).alias("up")).join(above, ["up", "node"])
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("long")
     def part(ctx: pd.Series) -> pd.Series:
-        return pd.Series(_part_of(ctx.to_numpy(np.int64) << 8, parts).astype(np.int32))
+        run = ctx.to_numpy(np.int64) << 8
+        shelf = np.zeros(len(run), np.int64)
+        for level in range(digits):
+            shelf = shelf * FAN + Runs.digits(run, level)
+        return pd.Series(shelf)
 
-    return last.select(part("ctx").alias("part"), "ctx", "node", F.col("up_rest").alias("rest"), F.col("up_mean").alias("mean"))
+    return last.select(part("ctx").alias("shelf"), "ctx", "node", F.col("up_rest").alias("rest"), F.col("up_mean").alias("mean"))
 
 
 def _run_model(merged: pd.DataFrame, shallow: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a part, and log10 of the probability of each run's byte."""
+    """The runs of a part, and log10 of the probability of each run's byte; positive for those that training has once at most."""
     if not len(merged):
-        return pd.DataFrame({"part": [], "keys": [], "answers": []})
+        return pd.DataFrame({"shelf": [], "keys": [], "answers": []})
     packed = merged["keys"].iloc[0]
-    run = _unpack_sorted(packed)
-    levels = deep_levels(run, _unpack(merged["counts"].iloc[0], np.int64))[::-1]
+    run, counts = _unpack_sorted(packed), _unpack(merged["counts"].iloc[0], np.int64)
+    levels = deep_levels(run, counts)[::-1]
     keys = (shallow["ctx"].to_numpy(np.int64) << 8) | shallow["node"].to_numpy(np.int64)
     order = np.argsort(keys)
     keys, rest, mean = keys[order], shallow["rest"].to_numpy()[order], shallow["mean"].to_numpy()[order]
@@ -308,26 +395,7 @@ def _run_model(merged: pd.DataFrame, shallow: pd.DataFrame) -> pd.DataFrame:
     for node, bit in bit_nodes(run):
         one = mean[np.searchsorted(keys, node)]
         score += np.log10(np.where(bit == 1, one, 1 - one))
-    return pd.DataFrame([(merged["part"].iloc[0], packed, _pack(score))], columns=["part", "keys", "answers"])
-
-
-def _answer_runs(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    run, score = _unpack_sorted(model["keys"].iloc[0]), _unpack(model["answers"].iloc[0], np.float64)
-    out = [(block, _GRAMS, keys, _pack(score[np.searchsorted(run, _unpack_sorted(keys))])) for block, keys in zip(asked["block"], asked["keys"], strict=True)]
-    return pd.DataFrame(out, columns=["block", "kind", "keys", "answers"])
-
-
-def _answer_tokens(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    total = dict(zip(_unpack_tokens(model["keys"].iloc[0]), _unpack(model["answers"].iloc[0], np.int64).tolist(), strict=True))
-    out = [(block, _TOKENS, keys, _pack(np.array([total[t] for t in _unpack_tokens(keys)], np.int64))) for block, keys in zip(asked["block"], asked["keys"], strict=True)]
-    return pd.DataFrame(out, columns=["block", "kind", "keys", "answers"])
-
-
-def _answers(asked: DataFrame, model: DataFrame, blocks: int, answer) -> DataFrame:
-    """What the model says of each block's keys. A part's model goes to each team of FAN_IN blocks once."""
-    teams = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // FAN_IN)))
-    left = asked.withColumn("team", F.floor(F.col("block") / FAN_IN).cast("int")).groupBy("part", "team")
-    return left.cogroup(model.withColumn("team", teams).groupBy("part", "team")).applyInPandas(lambda a, m: answer(a, m) if len(a) else pd.DataFrame({"block": [], "kind": [], "keys": [], "answers": []}), _ANSWER)
+    return pd.DataFrame([(merged["shelf"].iloc[0], packed, _pack(np.where(counts > 1, score, -score)))], columns=["shelf", "keys", "answers"])
 
 
 class Lookup:
@@ -359,12 +427,15 @@ class Lookup:
         return out
 
 
+_COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "rare_share"]
+
+
 def _score(train_tokens: int, vocabulary: int):
     spread = train_tokens + vocabulary + 1
 
     def of_block(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")})
+            return pd.DataFrame({c: [] for c in _COLUMNS})
         grams, counts = answers[answers["kind"] == _GRAMS], answers[answers["kind"] == _TOKENS]
         lookup = Lookup(np.concatenate([_unpack_sorted(k) for k in grams["keys"]]), np.concatenate([_unpack(a, np.float64) for a in grams["answers"]]))
         value: dict[bytes, float] = {}
@@ -379,12 +450,14 @@ def _score(train_tokens: int, vocabulary: int):
             if not words:
                 return
             run, ends = runs(words)
-            total = np.concatenate([[0.0], np.cumsum(lookup(run))])[np.concatenate([[0], ends])]
+            found = lookup(run)
+            at = np.concatenate([[0], ends])
+            total, rare = np.concatenate([[0.0], np.cumsum(-np.abs(found))])[at], np.concatenate([[0], np.cumsum(found > 0)])[at]
             for i, (w, doc_id) in enumerate(zip(words, ids, strict=True)):
                 logs = np.fromiter(map(value.__getitem__, [*w, b""]), np.float64, len(w) + 1)
                 score = total[i + 1] - total[i]
                 length = ends[i] - (ends[i - 1] if i else 0)
-                rows.append((doc_id, held_out(doc_id), len(w) + 1, int((logs > unknown * (1 - 1e-12)).sum()), train_tokens, float(logs.sum()), float(score), float(-score * _LOG10 / _LN2 / length)))
+                rows.append((doc_id, held_out(doc_id), len(w) + 1, int((logs > unknown * (1 - 1e-12)).sum()), train_tokens, float(logs.sum()), float(score), float(-score * _LOG10 / _LN2 / length), float((rare[i + 1] - rare[i]) / length)))
             words.clear()
             ids.clear()
 
@@ -396,28 +469,35 @@ def _score(train_tokens: int, vocabulary: int):
                 flush()
                 size = 0
         flush()
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        out = pd.DataFrame(rows, columns=_COLUMNS)
         return out.astype({"doc_id": "Int64"})
 
     return of_block
 
 
-def score(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row of docs (doc_id, text).
+def blocks_of(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, doc_id, text) of each row, and the number of blocks: so many that each has about block_bytes of text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    # the text is hashed too, so that rows without doc_id are not one block
+    return own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long").alias("block"), "doc_id", "text"), blocks
 
-    Learns from the documents that are not held out, whole texts and all of them. A null text is empty: its end is
-    its one token. Repeated rows are learned and scored each. A row without doc_id is learned from. Without training
-    documents all estimates are even.
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, rare_share) of each row of docs (doc_id, text).
+
+    Learns from the documents that are not held out, whole texts and all of them. rare_share is the share of a text's
+    bytes that training has once at most after the DEPTH bytes before them: low where the text, or nearly the same,
+    was learned from another document too. A null text is empty: its end is its one token. Repeated rows are learned
+    and scored each. A row without doc_id is learned from. Without training documents all estimates are even.
     """
-    blocks = max(1, -(-docs.count() // block_rows))
-    parts = min(blocks, MOST_PARTS)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = cut(dealt.groupBy("block").applyInPandas(_requests(parts), _REQUEST))
-    runs_asked, tokens_asked = asked.where(F.col("kind") == _GRAMS), asked.where(F.col("kind") == _TOKENS)
-    merged = _merge_blocks(runs_asked, blocks, _merged_runs)
-    shallow = _shallow(cut(merged.mapInPandas(_rooted_nodes, _NODES)), parts)
-    model = cut(merged.groupBy("part").cogroup(shallow.groupBy("part")).applyInPandas(_run_model, _MODEL))
-    counts = _merge_blocks(tokens_asked, blocks, _merged_tokens)
+    dealt, blocks = blocks_of(docs, block_bytes)
+    levels = levels_for(blocks)
+    asked = cut(dealt.groupBy("block").applyInPandas(_requests, _REQUEST))
+    run_lists, merged = go_up(asked.where(F.col("kind") == _GRAMS).drop("kind"), levels, Runs)
+    token_lists, counts = go_up(asked.where(F.col("kind") == _TOKENS).drop("kind"), levels, Tokens)
+    shallow = _shallow(cut(merged.mapInPandas(_rooted_nodes, _NODES)), levels)
+    model = cut(merged.groupBy("shelf").cogroup(shallow.groupBy("shelf")).applyInPandas(_run_model, _MODEL))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -425,10 +505,15 @@ def score(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             yield pd.DataFrame({"n": [int(c.sum()) for c in found], "v": [int((c > 0).sum()) for c in found]})
 
     n, v = (int(x or 0) for x in counts.mapInPandas(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    replies = _answers(runs_asked, model, blocks, _answer_runs).unionByName(_answers(tokens_asked, counts.withColumnRenamed("counts", "answers"), blocks, _answer_tokens))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    of_runs = go_down(run_lists, model, Runs, np.float64).withColumn("kind", F.lit(_GRAMS))
+    of_tokens = go_down(token_lists, counts.select("shelf", "keys", F.col("counts").alias("answers")), Tokens, np.int64).withColumn("kind", F.lit(_TOKENS))
+    replies = of_runs.unionByName(of_tokens).withColumnRenamed("member", "block")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double, rare_share double"
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(n, v), schema)
 
 
 def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts are their end alone; repeated rows are learned and scored each; no
+    rows, no result.
+    """
     return score(read_table(spark, sf_dir, "documents"))

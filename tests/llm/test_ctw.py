@@ -77,19 +77,26 @@ class Plain:
                 total += math.log10(p if bit else 1 - p)
         return total
 
+    def rare(self, text):
+        s = self.bytes_of(ctw.tokens(text))
+        runs = [(s[j - self.depth : j], s[j]) for j in range(self.depth, len(s))]
+        counts = Counter()
+        for (before, _), (node, bit) in ((r, list(bits(r[1]))[-1]) for r in runs):
+            counts[before, node, bit] = self.counts.get((before, node), (0, 0))[bit]
+        return sum(counts[b, *list(bits(c))[-1]] <= 1 for b, c in runs) / len(runs)
+
     def base(self, text):
         n, v = sum(self.tokens.values()), len(self.tokens)
         return sum(math.log10((self.tokens[t] + 1) / (n + v + 1)) for t in [*ctw.tokens(text), b""])
 
 
-@pytest.mark.parametrize("block_rows", [3, 1000])
-def test_scores_match_the_plain_version(spark, block_rows, monkeypatch):
-    monkeypatch.setattr(ctw, "FAN_IN", 2)
+@pytest.mark.parametrize("block_bytes", [400, 1 << 20])
+def test_scores_match_the_plain_version(spark, block_bytes):
     rows = [(r.doc_id, r.text[:1500]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(22).collect()]
     rows += [(1001, None), (1002, ""), (1003, "Ab  aB\n\x00 z"), (None, "ab ab"), (rows[0][0], rows[0][1]), (1004, "é ünïcode " * 30), (1005, "never-seen-0123456789 words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("block", F.lit("clash"))
     plain = Plain(rows)
-    got = ctw.score(docs, block_rows).collect()
+    got = ctw.score(docs, block_bytes).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     for i, text in rows:
@@ -98,6 +105,7 @@ def test_scores_match_the_plain_version(spark, block_rows, monkeypatch):
         assert r.n_known == sum(t in plain.tokens for t in [*ctw.tokens(text), b""]) and r.train_tokens == sum(plain.tokens.values())
         assert r.base_score == pytest.approx(plain.base(text), rel=1e-12)
         assert r.score == pytest.approx(plain.score(text), rel=1e-8)
+        assert r.rare_share == pytest.approx(plain.rare(text))
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(b" ".join(ctw.tokens(text))) + 1))
 
 
@@ -125,3 +133,31 @@ def test_lookup_with_collisions():
     look = ctw.Lookup(keys, values)
     pick = np.random.default_rng(1).integers(0, len(keys), 20_000)
     assert (look(keys[pick]) == values[pick]).all()
+
+
+def test_lists_grow_in_proportion(spark):
+    """Every level has FAN lists a block at most, and each part's model is made and sent once."""
+    rng = np.random.default_rng(2)
+    block = 2000
+    seen = []
+    for docs in (100, 400, 1600):
+        rows = [(i, " ".join(str(x) for x in rng.integers(0, 5000, 40))) for i in range(docs)]
+        dealt, blocks = ctw.blocks_of(spark.createDataFrame(rows, "doc_id long, text string"), block)
+        levels = ctw.levels_for(blocks)
+        asked = ctw.cut(dealt.groupBy("block").applyInPandas(ctw._requests, ctw._REQUEST)).where("kind = 0").drop("kind")
+        lists, parts = ctw.go_up(asked, levels, ctw.Runs)
+        counts = [x.count() for x in lists]
+        assert len(counts) == levels and all(n <= ctw.FAN * blocks for n in counts)
+        members = max(r[0] for x in lists for r in ctw._teams(x).count().select("count").collect())
+        assert members <= ctw.FAN and parts.count() == parts.select("shelf").distinct().count() == parts.where("member = 0").count()
+        seen.append((blocks, sum(counts) / blocks))
+    assert seen[-1][1] <= 2.2 * ctw.FAN and seen[-1][0] > 12 * seen[0][0]
+
+
+def test_a_copied_text_has_no_rare_bytes(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 60)) for _ in range(20)]
+    trained = [i for i in range(200) if not out_of_training(i)][:21]
+    rows = [(i, t) for i, t in zip(trained, [*texts, texts[0]], strict=True)]
+    got = {r.doc_id: r.rare_share for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[trained[0]] == got[trained[-1]] == 0 and min(got[i] for i in trained[1:-1]) > 0.3
