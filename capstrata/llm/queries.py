@@ -5,6 +5,7 @@ from __future__ import annotations
 from capstrata.llm.chat import OP4_SQL, op4_chat
 from capstrata.llm.ctw import op5_ctw
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
+from capstrata.llm.fim import OP11_SQL, op11_fim
 from capstrata.llm.langid import op9_langid
 from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
+    "op11_fim": op11_fim,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_decontaminate": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op8_warc": OP8_SQL,
+    "op11_fim": OP11_SQL,
 }
