@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from capstrata.llm.bestfit import op12_bestfit
 from capstrata.llm.chat import OP4_SQL, op4_chat
 from capstrata.llm.ctw import op5_ctw
 from capstrata.llm.decontaminate import OP3_SQL, op3_decontaminate
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
     "op11_fim": op11_fim,
+    "op12_bestfit": op12_bestfit,
     "op13_spelling": op13_spelling,
 }
 
