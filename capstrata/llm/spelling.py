@@ -128,7 +128,8 @@ def _light(words: DataFrame) -> DataFrame:
     """(word, n, depth, heavy) of every light edge; heavy: the character of the heavy child, null where words end there."""
     edges = _edges(words)
     children = edges.groupBy("node", "c").agg(F.count("*").alias("k"))
-    heavy = children.groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("h"), F.count("*").alias("children")).where("children > 1").select("node", "h")
+    # behind a checkpoint, so that both sides of the join are plain exchanges and the rows of a hot node can be split
+    heavy = cut(children.groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("h"), F.count("*").alias("children")).where("children > 1").select("node", "h"))
     light = edges.join(heavy, "node").where("c <> h").select("id", "depth", "h")
     return light.join(words, "id").select("word", "n", "depth", F.when(F.col("h") > 0, F.char("h")).alias("heavy"))
 
