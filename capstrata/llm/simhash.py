@@ -116,7 +116,8 @@ def near_duplicates(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) ->
 def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
     """docs with one row for each component of near_duplicates: that of the smallest doc_id, then of the smallest hash of its text.
 
-    A row without doc_id stays only where its component has none with one. Of repeated rows one stays, any of them.
+    A row without doc_id stays only where its component has none with one. Of rows of one doc_id and text that stays
+    whose other columns, as JSON, are the first.
     Null and empty texts are one component. Rows to drop are named by doc_id and the text's hash; texts are not
     shuffled, but for those of repeated rows, and where there are more than DROP_LIMIT to drop.
     """
@@ -130,7 +131,9 @@ def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> Data
     kept = rooted.join(firsts, "root").where(F.col("first") == F.col("kept")).select("fp", "kept")
     judged = keys.join(kept, "fp", "left").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.coalesce(name == F.col("kept"), F.lit(False)).alias("stays"), "rows")
     odd = cut(judged.where("rows > 1 or not stays"))
-    once = joined_by_key(docs, odd.where("stays").select("__doc_id", "__digest"), "inner", DROP_LIMIT).dropDuplicates(["__doc_id", "__digest"]).select(*(docs[c] for c in docs.columns))
+    several = joined_by_key(docs, odd.where("stays").select("__doc_id", "__digest"), "inner", DROP_LIMIT)
+    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*(c for c in docs.columns if c != "text")))).alias("__row")
+    once = several.groupBy("__doc_id", "__digest").agg(first).select("__row.*")
     return joined_by_key(docs, odd.select("__doc_id", "__digest"), "left_anti", DROP_LIMIT).unionByName(once)
 
 
