@@ -27,7 +27,7 @@ END_ID, TOKENS = 0, 2048
 VOCABULARY = "word_bpe_49k"
 #: Pieces that are packed together, and the most times that pieces are exchanged.
 BLOCK, ROUNDS = 1 << 16, 8
-#: Texts whose ids a worker remembers, and the longest of them.
+#: Words whose ids a worker remembers until it begins anew, keeping those that it meets again, and the longest of them.
 _KNOWN, _LONGEST = 1 << 18, 40
 #: Rows that one task may number, and sequences of one task and round.
 _ROWS, _SEQUENCES = 1 << 40, 1 << 34
@@ -39,7 +39,25 @@ _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-
 _BLANK = re.compile("[\x20\x09-\x0d]+")
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+class Memory(dict):
+    """What was made of the words that a worker has met of late, as many as `most` twice; what is new comes from `make`."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = _KNOWN):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.older.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= _LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = made
+        return made
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
     """Ids of a text as the tokenizer file of a lower-casing word vocabulary gives them, without added ids.
 
     No token reaches over white space, so words are looked up among those that a worker has seen; a new one of usual
@@ -48,50 +66,40 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
     """
     import public_tokenizers
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
     model, added = tokenizer.model, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    words: dict[str, list[int]] = {}
-    parts: dict[str, list[int]] = {}
-
-    def whole(word: str) -> list[int]:
-        return tokenizer.encode(word, add_special_tokens=False).ids
-
-    def of_part(part: str) -> list[int]:
-        ids = parts.get(part)
-        if ids is None:
-            ids = [t.id for t in model.tokenize(part)] if part.isascii() else whole(part)
-            if len(part) <= _LONGEST and len(parts) < _KNOWN:
-                parts[part] = ids
-        return ids
-
-    def of_word(word: str) -> list[int]:
-        if not _USUAL.fullmatch(word) or any(a in word for a in added):
-            ids = whole(word)
-        else:
-            ids = []
-            for part in _PARTS.findall(word.lower()):
-                ids += of_part(part)
-        if len(word) <= _LONGEST and len(words) < _KNOWN:
-            words[word] = ids
-        return ids
-
-    def encode(text: str) -> list[int]:
-        ids: list[int] = []
+    as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def whole(word: str) -> bytes:
+        return packed(tokenizer.encode(word, add_special_tokens=False).ids)
+
+    parts = Memory(lambda part: packed([t.id for t in model.tokenize(part if part.isascii() else as_bytes(part)[0][0])]))
+
+    def of_word(word: str) -> bytes:
+        if not _USUAL.fullmatch(word) or "<" in word and any(a in word for a in added):
+            return whole(word)
+        return b"".join([parts[part] for part in _PARTS.findall(word.lower())])
+
+    words = Memory(of_word)
+
+    def encode(text: str) -> np.ndarray:
         # characters at which Python parts words, but the tokenizer does not
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        for word in filter(None, _BLANK.split(text)) if odd else text.split():
-            known = words.get(word)
-            ids += of_word(word) if known is None else known
-        return ids
+        each = filter(None, _BLANK.split(text)) if odd else text.split()
+        return np.frombuffer(b"".join([words[word] for word in each]), "<u4")
 
     return encode
 
 
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+_encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
-def _kept_encoder(vocabulary: str) -> Callable[[str], list[int]]:
+def _kept_encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     """One encoder for all tasks of a worker, with what it remembers."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = encoder(vocabulary)
@@ -229,7 +237,7 @@ def cut_pieces(docs: DataFrame, capacity: int = TOKENS, vocabulary: str = VOCABU
         for batch in in_parts(it, 256):
             rows, made = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.append(encode(text or ""), np.uint32(end_id))
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((key, doc, piece, start, len(part), zlib.crc32(part.tobytes())))
