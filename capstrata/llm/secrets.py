@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: A candidate for the network: so long a run of such characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_PLAIN = re.compile(r"[A-Z]?[a-z]{1,12}|[A-Z]{1,6}|[0-9]{1,8}")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
 #: Documents whose candidates are fitted on, the most candidates of each, and how much of the true findings a threshold must keep.
 SAMPLE_DOCS, SAMPLE_PER_DOC, RECALL = 4000, 100, 0.95
 BEFORE, INSIDE, AFTER = 20, 36, 8
@@ -88,7 +88,11 @@ def candidates(text: str, known: list[Span]) -> list[tuple[int, int, bool]]:
 
 
 def harmless(value: str) -> bool:
-    """Whether a candidate of no known kind is shown harmless: it consists of short words and numbers between its marks."""
+    """Whether a candidate of no known kind is shown harmless: it consists of plain words and short numbers between its marks.
+
+    A plain word is of letters of one case, or has one capital before them, however long it is: a run of letters alone is
+    a word of some language before it is a key.
+    """
     return all(_PLAIN.fullmatch(part) for part in re.split(r"[+/_=-]+", value) if part)
 
 
@@ -121,6 +125,8 @@ class Network:
     threshold: float = 0.5
     #: Share of true ones among the held-out findings of no known kind that reach the threshold.
     precision: float = float("nan")
+    #: Share of the held-out harmless candidates of documents, none of them made by rule, that reach it.
+    false_alarms: float = float("nan")
 
     @classmethod
     def new(cls, seed: int) -> Network:
@@ -147,10 +153,11 @@ class Network:
         return sigmoid(self.slope * z + self.offset)
 
 
-def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 10, seed: int = 7, known: np.ndarray | None = None) -> Network:
+def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 10, seed: int = 7, known: np.ndarray | None = None, real: np.ndarray | None = None) -> Network:
     """Adam on four fifths of the findings; calibration and threshold on the rest.
 
-    known: findings that a known kind covers (none by default), of which the threshold takes no account.
+    known: findings that a known kind covers (none by default), of which the threshold takes no account. real: those
+    that documents hold (none by default).
     """
     net, rng = Network.new(seed), np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
@@ -185,6 +192,8 @@ def fit(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int =
     if len(true):
         net.threshold = float(true[int((1 - recall) * len(true))])
         net.precision = float(y[held][alone & (p >= net.threshold)].mean())
+    if real is not None and (harm := real[held] & (y[held] == 0)).any():
+        net.false_alarms = float((p[harm] >= net.threshold).mean())
     return net
 
 
@@ -218,6 +227,10 @@ def made_findings(count: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
         lambda: "/".join("".join(syllable() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 14))),
         lambda: rng.choice("=-_") * rng.randint(16, 60),
         lambda: "=" * rng.randint(12, 20) + some(digits, 1, 3) + word(),
+        lambda: some(lower, 16, 36),
+        lambda: "".join(syllable() for _ in range(rng.randint(3, 5))) + some(lower, 3, 8) + "".join(syllable() for _ in range(rng.randint(2, 5))),
+        lambda: some(lower, 16, 30).capitalize(),
+        lambda: rng.choice((some(upper, 16, 30), "".join(syllable() for _ in range(rng.randint(8, 12))).upper())),
         lambda: "/" + word() + "/" + some(digits, 4, 4) + "/" + some(digits, 2, 2) + "/" + word() + "-" + word(),
     )
     leads = (lambda: word() + " " + word() + " ", lambda: word() + ". ", lambda: word() + ": ", lambda: word() + ' = "', lambda: word() + "=", lambda: "", lambda: "\n")
@@ -238,7 +251,12 @@ def made_findings(count: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Fits the network on the candidates of a bounded sample of documents, the first by a hash of their id, and on made findings."""
+    """Fits the network on the candidates of a bounded sample of documents, the first by a hash of their id, and on made findings.
+
+    docs: doc_id, text; rows without doc_id are not in the sample, null and empty texts have no candidates, repeated rows
+    count each. At most `sample_docs` documents, SAMPLE_PER_DOC candidates of each and `sample_docs` candidates in all
+    are used. Without any, or without rows, the made findings alone are.
+    """
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -255,10 +273,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
     if found:
         codes = np.concatenate([codes, np.array([np.frombuffer(r.codes, np.uint8) for r in found])])
         y = np.concatenate([y, np.array([r.secret for r in found], np.float64)])
-    known = np.arange(len(y)) >= len(y) - len(found)
-    known &= y == 1
+    real = np.arange(len(y)) >= len(y) - len(found)
     mixed = np.random.default_rng(3).permutation(len(y))
-    return fit(codes[mixed], y[mixed], known=known[mixed])
+    return fit(codes[mixed], y[mixed], known=(real & (y == 1))[mixed], real=real[mixed])
 
 
 _LABELLED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("codes", pa.binary()), ("secret", pa.int32())])
@@ -276,13 +293,14 @@ def scored_candidates(texts: list[str], net: Network, base: list[list[Span]]) ->
 
 
 def spans_of(texts: list[str], net: Network, scored: list | None = None) -> list[list[Span]]:
-    """All spans of each text: the known kinds, whatever the network says of them, and the other candidates that it accepts.
+    """All spans of each text: the known kinds, whatever the network says of them, and the other candidates that it accepts
+    and that are not shown harmless.
 
     `scored` takes what scored_candidates() gives, if it was asked for before.
     """
     found = [base_spans(t) for t in texts]
     for i, s, e, known, p in scored_candidates(texts, net, found) if scored is None else scored:
-        if not known and p >= net.threshold:
+        if not known and p >= net.threshold and not harmless(texts[i][s:e]):
             found[i].append((s, 3, e))
     return [sorted(f) for f in found]
 
@@ -331,7 +349,10 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def redacted(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with every finding in `text` replaced by a mark; n_chars, where there is one, follows the new text."""
+    """docs with every finding in `text` replaced by a mark; n_chars, where there is one, follows the new text.
+
+    Null texts stay null and empty ones empty, repeated rows are redacted alike, further columns stay as they are; no rows: none.
+    """
     columns = docs.columns
     place = columns.index("text")
 

@@ -98,7 +98,7 @@ def test_threshold_keeps_the_recall_of_findings_that_no_known_kind_covers():
     held = (np.arange(len(y)) % 5 == 4) & (y == 1) & ~known
     assert (net.probabilities(codes[held]) >= net.threshold).mean() >= 0.95
     assert 0 < net.precision <= 1
-    assert s.harmless("alpha/beta-2024_Gamma") and not s.harmless("kX7pQ2vLm9ZtRw4sYb8N") and not s.harmless("abcdefghijklmnopqrst")
+    assert s.harmless("alpha/beta-2024_Gamma") and not s.harmless("kX7pQ2vLm9ZtRw4sYb8N") and s.harmless("Donaudampfschiffahrt") and not s.harmless("donauDampfschiffahrt")
 
 
 def test_query_finds_planted_secrets_of_other_shapes(spark, tmp_path):
@@ -139,3 +139,34 @@ def test_every_candidate_is_scored(spark):
     got = {r.doc_id: r for r in s.scan(docs, net).collect()}
     assert got[1].n_scored == 2 and 0 <= got[1].known_score <= 1 and got[1].spans.startswith("assign:0:26")
     assert got[2].n_scored == 0 and got[2].known_score is None
+
+
+def test_forward_pass_and_windows_against_plain_ones():
+    net = s.fit(*s.made_findings(300), epochs=2)
+    texts = ["see kX7pQ2vLm9ZtRw4sYb8NcG3hkX7pQ2vLm9ZtRw4sYb8NcG3h.", "é" * 30 + " plainwordsofletters", "/a/b/2024/01/some-path-of-words"]
+
+    def plain_score(window):
+        best = np.full(s._FILTERS, -np.inf)
+        for at in range(len(window) - s._WIDTH + 1):
+            for f in range(s._FILTERS):
+                total = net.filter_bias[f]
+                for k in range(s._WIDTH):
+                    inside = 1.0 if s.BEFORE <= at + k < s.BEFORE + s.INSIDE else 0.0
+                    weights = net.filters[k * (s._EMBED + 1) : (k + 1) * (s._EMBED + 1), f]
+                    total += net.embed[window[at + k]] @ weights[:-1] + inside * weights[-1]
+                best[f] = max(best[f], total)
+        return 1 / (1 + np.exp(-(net.slope * (np.maximum(best, 0) @ net.dense + net.bias) + net.offset)))
+
+    base = [s.base_spans(t) for t in texts]
+    scored = s.scored_candidates(texts, net, base)
+    assert len(scored) == 3
+    for i, a, b, _, p in scored:
+        assert np.isclose(p, max(plain_score(s.window(texts[i], *w)) for w in s.windows_of(a, b)))
+
+
+def test_texts_without_planted_secrets_of_other_kinds_yield_none(spark):
+    """What the corpus holds beside the known kinds are long words; none of them is a finding, and none is lost to redaction."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 1")
+    net = s.train(docs)
+    assert net.false_alarms <= 0.01 and net.precision > 0.9
+    assert s.scan(docs, net).where(F.col("spans").contains("network")).count() == 0
