@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k"
 #: Pieces that are packed together, and the most times that pieces are exchanged.
 BLOCK, ROUNDS = 1 << 16, 8
 #: Words whose ids a worker remembers until it begins anew, keeping those that it meets again, and the longest of them.
-_KNOWN, _LONGEST = 1 << 18, 40
+_KNOWN, _LONGEST = 1 << 19, 40
 #: Rows that one task may number, and sequences of one task and round.
 _ROWS, _SEQUENCES = 1 << 40, 1 << 34
 
