@@ -11,6 +11,7 @@ from capstrata.functions.text import company_name_key, investor_name_key
 from capstrata.functions.values import round_half_up
 from capstrata.functions.vocabulary import APPROVED
 from capstrata.operators import merge, resolve, slugs
+from capstrata.operators.versions import Versions
 from capstrata.session import materialised
 from capstrata.sources.normalized import Source, chosen
 
@@ -22,8 +23,6 @@ PEOPLE = "company_id string, name string, role string, title string, since int,
 HOLDINGS = "company_id string, investor_id string, name string, type string, first_round string, rounds int, external_source string, external_id string, moderation_status string"
 ACQUISITIONS = "company_id string, target string, date date, amount_usd long, rationale string, external_source string, external_id string, moderation_status string"
 EXITS = "company_id string, type string, date date, value_usd long, detail string, external_source string, external_id string, moderation_status string"
-#: Numbers of the children of one record; their order is that of the records, then of their list.
-MOST_CHILDREN = 1 << 20
 REVISIONS = "entity_type string, entity_id string, field string, before string, after string, action string, actor string, actor_source string, created_at timestamp_ntz"
 
 
@@ -42,8 +41,26 @@ class Store:
 
     @classmethod
     def empty(cls, spark) -> Store:
-        made = (COMPANIES, INVESTORS, ROUNDS, PEOPLE, HOLDINGS, ACQUISITIONS, EXITS, REVISIONS)
-        return cls(*[spark.createDataFrame([], schema) for schema in made])
+        return cls(**{name: spark.createDataFrame([], schema) for name, schema in _SCHEMAS.items()})
+
+
+#: What the partitions of each stored table follow from; children lie with their company.
+TABLE_KEYS = {"companies": ["company_id"], "investors": ["investor_id"], "revisions": ["entity_id"]} | dict.fromkeys(("rounds", "people", "holdings", "acquisitions", "exits"), ["company_id"])
+_SCHEMAS = {"companies": COMPANIES, "investors": INVESTORS, "rounds": ROUNDS, "people": PEOPLE, "holdings": HOLDINGS, "acquisitions": ACQUISITIONS, "exits": EXITS, "revisions": REVISIONS}
+
+
+def _tables(spark: SparkSession, folder: str) -> dict[str, Versions]:
+    return {name: Versions(spark, f"{folder}/{name}", TABLE_KEYS[name], schema) for name, schema in _SCHEMAS.items()}
+
+
+def load(spark: SparkSession, folder: str) -> Store:
+    """The store as it was saved last under a folder; an empty one where nothing was."""
+    return Store(**{name: table.read() for name, table in _tables(spark, folder).items()})
+
+
+def save(store: Store, folder: str) -> dict[str, set[int]]:
+    """Writes those partitions of each table that a run has changed, and tells which: none after a run that changed nothing."""
+    return {name: table.write(getattr(store, name)) for name, table in _tables(store.companies.sparkSession, folder).items()}
 
 
 def _new_id(kind: str, source: Column, key: Column) -> Column:
@@ -83,7 +100,7 @@ def _children(records: DataFrame, name: str, source: str) -> DataFrame:
 
 def merge_holdings(store: Store, records: DataFrame, source: str, at: Column) -> Store:
     """Holdings with their investors resolved or minted."""
-    rows = materialised(_children(records, "investors", source).withColumn("__record", F.col("seq")).withColumn("seq", F.col("seq") * MOST_CHILDREN + F.col("pos")))
+    rows = materialised(_children(records, "investors", source).withColumn("__record", F.col("seq")).withColumn("seq", F.struct("seq", "pos")))
     index = resolve.match_index(store.investors, "investor_id", investor_name_key(F.col("name")))
     linked, minted = resolve.holding_investors(rows, index, source)
     minted = minted.withColumn("investor_id", _new_id("investor", F.lit(source), F.col("slug_suffix")))

@@ -1,7 +1,7 @@
 """Idempotent merges of incoming rows into stored ones, with a log of what moved.
 
 Stored tables are never updated in place: a merge joins the stored and the incoming rows by key and returns the new
-table, which `write_version` puts beside the old one before the pointer to it moves.
+table. versions.py keeps tables as versions of partitions, of which a merge reads and writes only those it touches.
 """
 
 from __future__ import annotations

@@ -20,17 +20,32 @@ def contributed(rows: DataFrame, user: Column, at: Column) -> DataFrame:
     return rows.withColumns({"moderation_status": F.lit(PENDING), "submitted_by": user, "created_at": at})
 
 
-def queue_part(kind: str, rows: DataFrame, status: str = PENDING) -> DataFrame:
-    """The queue's columns of one kind of contribution in a state. rows: entity_id, company_id, submitted_by, created_at, moderation_status, and what its label needs."""
-    chosen = rows.where(F.col("moderation_status") == status)
-    return chosen.select(F.lit(kind).alias("type"), F.col("entity_id").cast("string"), F.col("company_id").cast("string"), row_label(kind).alias("label"), "submitted_by", "created_at", F.lit(None).cast("string").alias("source_url"))
+def _in_state(rows: DataFrame, status: str | None) -> DataFrame:
+    return rows if status is None else rows.where(F.col("moderation_status") == status)
 
 
-def proposal_part(proposals: DataFrame, status: str = PENDING, mark: str = "Edit ") -> DataFrame:
+def queue_part(kind: str, rows: DataFrame, status: str | None = PENDING) -> DataFrame:
+    """The queue's columns of one kind of contribution in a state (None: in any), and that state. rows: entity_id, company_id, submitted_by, created_at, moderation_status, and what its label needs."""
+    return _in_state(rows, status).select(F.lit(kind).alias("type"), F.col("entity_id").cast("string"), F.col("company_id").cast("string"), row_label(kind).alias("label"), "submitted_by", "created_at", F.lit(None).cast("string").alias("source_url"), "moderation_status")
+
+
+def proposal_part(proposals: DataFrame, status: str | None = PENDING, mark: str = "Edit ") -> DataFrame:
     """Edit proposals for the queue, named by the fields they change (changes: map of field to JSON value)."""
-    chosen = proposals.where(F.col("moderation_status") == status)
     label = F.concat(F.lit(mark), F.array_join(F.map_keys("changes"), ", "))
-    return chosen.select(F.lit("proposal").alias("type"), F.col("proposal_id").cast("string").alias("entity_id"), F.col("company_id").cast("string"), label.alias("label"), "submitted_by", "created_at", "source_url")
+    return _in_state(proposals, status).select(F.lit("proposal").alias("type"), F.col("proposal_id").cast("string").alias("entity_id"), F.col("company_id").cast("string"), label.alias("label"), "submitted_by", "created_at", "source_url", "moderation_status")
+
+
+def contributions(parts: dict[str, DataFrame], proposals: DataFrame, companies: DataFrame, user: Column) -> DataFrame:
+    """A user's own submissions of every kind, in any state, newest first, with their state and company."""
+    rows = [queue_part(kind, df.where(F.col("submitted_by") == user), None) for kind, df in parts.items()]
+    rows.append(proposal_part(proposals.where(F.col("submitted_by") == user), None, "Edit: "))
+    of = companies.select(F.col("company_id").cast("string").alias("company_id"), F.struct("slug", "name").alias("company"))
+    return _newest_first(reduce(DataFrame.unionByName, rows).join(of, "company_id", "left").drop("source_url"))
+
+
+def _newest_first(rows: DataFrame) -> DataFrame:
+    rank = F.array_position(F.array(*[F.lit(t) for t in REVIEWABLE_TYPES]), F.col("type"))
+    return rows.orderBy(F.desc("created_at"), rank, "entity_id")
 
 
 def queue(parts: list[DataFrame], citations: DataFrame | None = None) -> DataFrame:
@@ -45,8 +60,7 @@ def queue(parts: list[DataFrame], citations: DataFrame | None = None) -> DataFra
         key = [c for c in ("type", "entity_id") if c in named.columns]
         whole = named.where("field = ''").groupBy(*key).agg(F.max_by("url", F.struct("created_at", "url")).alias("cited"))
         rows = rows.join(whole, key, "left").withColumn("source_url", F.when(F.col("type") == "proposal", F.col("source_url")).otherwise(F.coalesce("source_url", "cited"))).drop("cited")
-    rank = F.array_position(F.array(*[F.lit(t) for t in REVIEWABLE_TYPES]), F.col("type"))
-    return rows.select(*QUEUE).orderBy(F.desc("created_at"), rank, "entity_id")
+    return _newest_first(rows.select(*QUEUE))
 
 
 def with_context(rows: DataFrame, users: DataFrame, companies: DataFrame) -> DataFrame:

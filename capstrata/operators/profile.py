@@ -122,20 +122,40 @@ def history(revisions: DataFrame, users: DataFrame, named: DataFrame, page: int,
     return timeline(revisions, users, named).withColumn("total", F.count("*").over(Window.partitionBy("company_id"))).orderBy(F.desc("created_at"), F.desc("revision_id")).offset((page - 1) * size).limit(size)
 
 
-def read(companies: DataFrame, sections: list[DataFrame], citations: DataFrame, sources: DataFrame, unlocked: DataFrame) -> DataFrame:
-    """Approved companies as one read: sections, gated by unlocked (company_id, unlocked), and the citations of what is shown.
+def shown_rows(children: DataFrame, order: list[str], viewer: DataFrame) -> DataFrame:
+    """Approved children that a viewer sees: all of companies that are unlocked, of others the first PREVIEW in order.
 
-    citations: source_id, entity_id, company_id. A company without a row of `unlocked` is a preview, of which only
-    citations of the company itself (entity_id equal to company_id) are shown.
+    viewer: company_id, unlocked; companies without a row are locked. Rows are cut before any list is gathered.
     """
-    names = [next(c for c in s.columns if c != "company_id" and not c.endswith("_total")) for s in sections]
-    whole = profiles(companies, sections).join(unlocked, "company_id", "left").withColumn("unlocked", F.coalesce("unlocked", F.lit(False)))
-    cited = citations.join(sources.select("source_id", "url"), "source_id").groupBy("company_id").agg(
-        F.array_sort(F.collect_set("url")).alias("__all"), F.array_sort(F.collect_set(F.when(F.col("entity_id") == F.col("company_id").cast("string"), F.col("url")))).alias("__own")
-    )
-    none = F.array().cast("array<string>")
-    shown = gated(whole, names, F.col("unlocked")).join(cited, "company_id", "left")
-    return shown.withColumn("citations", F.when(F.col("unlocked"), F.coalesce("__all", none)).otherwise(F.coalesce("__own", none))).drop("__all", "__own")
+    rank = F.row_number().over(Window.partitionBy("company_id").orderBy(*order))
+    ranked = visible(children).withColumn("__rank", rank)
+    open_ = viewer.where("unlocked").select("company_id", F.lit(True).alias("__open"))
+    return ranked.join(open_, "company_id", "left").where((F.col("__rank") <= PREVIEW) | F.col("__open")).drop("__rank", "__open")
+
+
+def read(companies: DataFrame, children: dict[str, tuple[str, DataFrame, list[str], list[str]]], citations: DataFrame, sources: DataFrame, viewer: DataFrame) -> DataFrame:
+    """Approved companies as one viewer reads them: company_id and its columns, a list and a total for each section, access, citations.
+
+    children: for each section its kind, rows (company_id, entity_id, moderation_status and what follows), the fields
+    of an entry, and its order. citations: citation_id, entity_type, entity_id, source_id, created_at. viewer:
+    company_id, unlocked, unlocked_until. Locked companies show a preview of each section; totals are those of all
+    approved rows. The citations, oldest first, are those of the company and of the rows shown, and of no others.
+    """
+    out = visible(companies).join(viewer.select("company_id", "unlocked", "unlocked_until"), "company_id", "left")
+    out = out.withColumns({"unlocked": F.coalesce("unlocked", F.lit(False)), "preview_limit": F.lit(PREVIEW)})
+    shown = out.select("company_id", F.lit("company").alias("entity_type"), F.col("company_id").cast("string").alias("entity_id"))
+    for name, (kind, rows, fields, order) in children.items():
+        seen = shown_rows(rows, order, viewer)
+        entry = F.struct(*order, *[c for c in fields if c not in order])
+        listed = seen.groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+        totals = visible(rows).groupBy("company_id").agg(F.count("*").alias(f"{name}_total"))
+        out = out.join(listed, "company_id", "left").join(totals, "company_id", "left")
+        out = out.withColumns({name: F.coalesce(name, F.array().cast(listed.schema[name].dataType)), f"{name}_total": F.coalesce(f"{name}_total", F.lit(0))})
+        shown = shown.unionByName(seen.join(visible(companies).select("company_id"), "company_id", "left_semi").select("company_id", F.lit(kind).alias("entity_type"), F.col("entity_id").cast("string")))
+    inline = sources.select("source_id", "url")
+    own = citations.withColumn("entity_id", F.col("entity_id").cast("string")).join(shown, ["entity_type", "entity_id"]).join(inline, "source_id")
+    cited = own.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "citation_id", "entity_type", "entity_id", "url"))).alias("citations"))
+    return out.join(cited, "company_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast(cited.schema["citations"].dataType)))
 
 
 def contributions_with_access(rows: DataFrame, granted: DataFrame) -> DataFrame:

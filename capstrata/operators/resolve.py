@@ -59,8 +59,8 @@ def _decided(open_: DataFrame, register_matches: bool) -> DataFrame:
 def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: bool) -> DataFrame:
     """records with entity_id and how (key, domain, name, new): the outcome of taking them one by one in order of seq.
 
-    records: seq (unique), key, domain, name_key, and further columns. A record that matches nothing is a new entity,
-    named `new:<seq>`, under which its key, domain and name are registered for those after it. A matched record
+    records: seq (unique; anything that has an order, as a struct of record and place), key, domain, name_key, and
+    further columns. A record that matches nothing is a new entity, named `new:<seq>`, under which its key, domain and name are registered for those after it. A matched record
     registers its key only if `register_matches` (so for investors, not for companies).
 
     Records are settled in rounds: in each, those of which no earlier open record can change the outcome, all at once;

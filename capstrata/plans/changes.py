@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from capstrata.functions import text, values
 from capstrata.functions import vocabulary as v
 from capstrata.operators import citations, merge, moderation, profile, resolve
+from capstrata.operators.versions import Versions
 from capstrata.plans import entities as e
 from capstrata.plans.entities import MODEL_SQL
-from capstrata.session import read_table
+from capstrata.session import new_folder, read_table
 
 
 def _events(s: SparkSession, sf: str) -> DataFrame:
@@ -117,6 +118,16 @@ def upsert_merge_twice(s: SparkSession, sf: str) -> DataFrame:
     return merge.upsert_children("round", once, _new_rounds(s, sf), ["filed"])
 
 
+def upsert_merge_versions(s: SparkSession, sf: str) -> DataFrame:
+    """The same by partitions of a table on disk, merged twice: the second time writes none."""
+    stored = _stored_rounds(s, sf)
+    table = Versions(s, new_folder(s, "rounds"), merge.KEY, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema), parts=16)
+    table.write(stored)
+    for _ in range(2):
+        table.merge(_new_rounds(s, sf), lambda old, new: merge.upsert_children("round", old, new, ["filed"]))
+    return table.read()
+
+
 def _enrich_target(s: SparkSession, sf: str) -> DataFrame:
     c = e.companies(s, sf)
     i = F.col("company_id")
@@ -291,7 +302,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_wins, latest_filing, earliest_event, exclusion_anti_join, modal_type_backfill, name_link, link_by_name, multi_key_match, resolve_in_order, contributed_investors, upsert_merge,
-        upsert_merge_twice, enrich_fill_blanks, revision_diff, update_own_rows, sector_backfill, proposal_diff, proposal_apply, proposal_revisions, moderation_flip, moderation_revisions,
+        upsert_merge_twice, upsert_merge_versions, enrich_fill_blanks, revision_diff, update_own_rows, sector_backfill, proposal_diff, proposal_apply, proposal_revisions, moderation_flip, moderation_revisions,
         publish_linked_firms, citation_attach, citation_sources, citation_targets, citation_resolve, citation_list, json_diff_explode,
     )
 }
@@ -364,6 +375,7 @@ SQL = {
       select seq, name, investor_id, case when investor_id is null then min(seq) over (partition by lower(trim(name))) end as minted_by from asked left join f on f.k = lower(trim(asked.name))""",
     "upsert_merge": _UPSERT,
     "upsert_merge_twice": _UPSERT,
+    "upsert_merge_versions": _UPSERT,
     "enrich_fill_blanks": _ENRICH + "select * from enriched",
     "revision_diff": _ENRICH
     + " union all ".join(

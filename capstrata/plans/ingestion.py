@@ -212,7 +212,11 @@ select cast(k as varchar) as external_id, name, legal_name, type, hq, case k % 4
 
 
 def _triples(s: SparkSession, sf: str) -> DataFrame:
-    """Customers that suppliers served are companies that they invested in; nations are classes, below regions."""
+    """Customers that suppliers served are companies that they invested in; nations are classes, below regions.
+
+    A third of the suppliers have classes of their own, in chains of up to 16 that end in a nation. Some classes are below
+    themselves, by way of others.
+    """
     held = e.holdings(s, sf)
     c, n = read_table(s, sf, "customer"), read_table(s, sf, "nation")
     key, q = F.col("c_custkey"), lambda letter, x: F.concat(F.lit(f"{letter}"), x.cast("string"))
@@ -223,7 +227,9 @@ def _triples(s: SparkSession, sf: str) -> DataFrame:
     suppliers = read_table(s, sf, "supplier")
     lists = [
         part(held.where("investor_id % 4 = 0"), q("Q1000", F.col("company_id")), graph.INVESTED, F.when(F.col("investor_id") == 8, v.EXCLUDED_INVESTORS[0]).otherwise(q("Q2000", F.col("investor_id")))),
-        part(suppliers, q("Q2000", F.col("s_suppkey")), graph.INSTANCE, F.when(F.col("s_suppkey") % 3 == 0, v.FIRM_CLASSES[0]).otherwise(q("N", F.col("s_nationkey")))),
+        part(suppliers, q("Q2000", F.col("s_suppkey")), graph.INSTANCE, F.when(F.col("s_suppkey") % 3 == 0, v.FIRM_CLASSES[0]).when(F.col("s_suppkey") % 3 == 1, q("C", F.col("s_suppkey"))).otherwise(q("N", F.col("s_nationkey")))),
+        part(suppliers, q("C", F.col("s_suppkey")), graph.SUBCLASS, F.when((F.col("s_suppkey") % 16 == 0) | (F.col("s_suppkey") == 1), q("N", F.col("s_nationkey"))).otherwise(q("C", F.col("s_suppkey") - 1))),
+        part(n.where("n_nationkey = 10 * n_regionkey or n_regionkey = 3"), q("R", F.col("n_regionkey")), graph.SUBCLASS, q("N", F.col("n_nationkey"))),
         part(n, q("N", F.col("n_nationkey")), graph.SUBCLASS, q("R", F.col("n_regionkey"))),
         part(read_table(s, sf, "region").where("r_regionkey = 3"), q("R", F.col("r_regionkey")), graph.SUBCLASS, F.lit(v.EXCLUDED_CLASSES[0])),
         part(c.where("c_custkey % 2 = 0"), q("Q1000", key), graph.DETAILS["website"], F.concat(F.lit("https://www.c"), key.cast("string"), F.lit(".example.com"))),
@@ -342,11 +348,15 @@ def graph_firms(s: SparkSession, sf: str) -> DataFrame:
 
 
 _TRIPLE_SQL = (
-    MODEL_SQL
+    MODEL_SQL.replace("with ", "with recursive ", 1)
     + f""", edges as (select 'Q1000' || company_id as company, case when investor_id = 8 then '{v.EXCLUDED_INVESTORS[0]}' else 'Q2000' || investor_id end as investor from holdings where investor_id % 4 = 0
 ), seed as (select distinct company, cast(substr(company, 6) as bigint) as k from edges
-), class as (select 'Q2000' || s_suppkey as investor, case when s_suppkey % 3 = 0 then '{v.FIRM_CLASSES[0]}' else 'N' || s_nationkey end as class, s_suppkey % 3 <> 0 and n_regionkey = 3 as barred from supplier join nation on n_nationkey = s_nationkey
-), backed as (select company, e.investor, class from edges e left join class using (investor) where e.investor <> '{v.EXCLUDED_INVESTORS[0]}' and not coalesce(barred, false))
+), is_a as (select 'Q2000' || s_suppkey as investor, case s_suppkey % 3 when 0 then '{v.FIRM_CLASSES[0]}' when 1 then 'C' || s_suppkey else 'N' || s_nationkey end as class from supplier
+), sub as (select 'N' || n_nationkey as class, 'R' || n_regionkey as above from nation union all select 'R3', '{v.EXCLUDED_CLASSES[0]}'
+  union all select 'R' || n_regionkey, 'N' || n_nationkey from nation where n_nationkey = 10 * n_regionkey or n_regionkey = 3
+  union all select 'C' || s_suppkey, case when s_suppkey % 16 = 0 or s_suppkey = 1 then 'N' || s_nationkey else 'C' || (s_suppkey - 1) end from supplier
+), below as (select class from (values {", ".join(f"('{c}')" for c in v.EXCLUDED_CLASSES)}) r(class) union select sub.class from sub join below on sub.above = below.class
+), backed as (select company, e.investor, class from edges e left join is_a using (investor) where e.investor <> '{v.EXCLUDED_INVESTORS[0]}' and e.investor not in (select investor from is_a join below using (class)))
 """
 )
 _GRAPH_RECORD_SQL = (

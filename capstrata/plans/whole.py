@@ -71,11 +71,10 @@ def queue_whole_counts(s: SparkSession, sf: str) -> DataFrame:
 
 
 def contributions_whole(s: SparkSession, sf: str) -> DataFrame:
-    """What a user contributed, in any state, beside the window that it opens."""
-    parts = [moderation.queue_part(kind, df.withColumn("moderation_status", F.lit(v.PENDING))) for kind, df in _parts(s, sf).items()]
-    rows = moderation.queue([*parts, moderation.proposal_part(_asked(s, sf).withColumn("moderation_status", F.lit(v.PENDING)))]).where("submitted_by = 8")
+    """What a user contributed, in any state, with its state and company, beside the window that it opens."""
+    rows = moderation.contributions(_parts(s, sf), _asked(s, sf), e.companies(s, sf), F.lit(8))
     granted = profile.access(_last(s, sf), e.users(s, sf), e.as_of(s, sf))
-    return profile.contributions_with_access(rows, granted).select("type", "entity_id", "label", "created_at", "unlocked", values.date_only(F.col("unlocked_until")).alias("unlocked_until"))
+    return profile.contributions_with_access(rows, granted).select("type", "entity_id", "label", F.col("moderation_status").alias("status"), F.col("company.slug").alias("company_slug"), F.col("company.name").alias("company_name"), "created_at", "unlocked", values.date_only(F.col("unlocked_until")).alias("unlocked_until"))
 
 
 def _last(s: SparkSession, sf: str) -> DataFrame:
@@ -94,20 +93,24 @@ def _lines(s: SparkSession, sf: str) -> DataFrame:
 
 
 def profile_whole(s: SparkSession, sf: str) -> DataFrame:
-    """Approved companies with their six sections, gated, and the citations of what is shown."""
-    rounds = profile.round_investors(e.rounds(s, sf), _lines(s, sf))
+    """Approved companies with the rows of their six sections that are shown, totals, access, and the citations of what is shown.
+
+    Clicks cite companies, persons and rounds.
+    """
     parts = _parts(s, sf)
-    order = {"people": "person", "acquisitions": "acquisition", "exits": "exit", "diversity": "diversity"}
-    firms = profile.linked_holdings(e.holdings(s, sf), e.investors(s, sf))
-    sections = [profile.section(rounds, "rounds", ["date", "round_id", "investors"], ["date", "round_id"]), profile.section(firms, "investors", ["holding_id", "investor_slug"], ["holding_id"])]
-    sections += [profile.section(parts[kind], name, ["entity_id"], ["entity_id"]) for name, kind in order.items()]
+    rounds = profile.round_investors(e.rounds(s, sf), _lines(s, sf)).select(F.col("round_id").alias("entity_id"), "company_id", "moderation_status", F.col("date").alias("created_at"), F.concat("name", F.lit(" round")).alias("label"), "investors")
+    firms = profile.linked_holdings(e.holdings(s, sf), e.investors(s, sf)).select(F.col("holding_id").alias("entity_id"), "company_id", "moderation_status", F.col("investor_slug").alias("label"))
+    rows = {"rounds": ("round", rounds, ["label", "investors"], ["created_at", "entity_id"]), "investors": ("investor", firms, ["label"], ["entity_id"])}
+    for name, kind in {"people": "person", "acquisitions": "acquisition", "exits": "exit", "diversity": "diversity"}.items():
+        rows[name] = (kind, parts[kind].withColumn("label", profile.row_label(kind)), ["label"], ["entity_id"])
     k = F.col("event_id")
-    cited = read_table(s, sf, "events").where("event_type = 'click'").select((k % 250).alias("source_id"), F.when(k % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("entity_id"), F.col("user_id").alias("company_id"))
+    cited = read_table(s, sf, "events").where("event_type = 'click'").select(k.alias("citation_id"), (k % 250).alias("source_id"), F.when(k % 3 == 0, "company").when(k % 3 == 1, "person").otherwise("round").alias("entity_type"), F.when(k % 3 == 2, k).otherwise(F.col("user_id")).alias("entity_id"), F.col("ts").alias("created_at"))
     sources = read_table(s, sf, "pages").select(F.col("page_id").alias("source_id"), "url")
-    unlocked = profile.access(_last(s, sf), e.users(s, sf), e.as_of(s, sf)).select(F.col("user_id").alias("company_id"), "unlocked")
-    p = profile.read(e.companies(s, sf), sections, cited, sources, unlocked)
+    viewer = profile.access(_last(s, sf), e.users(s, sf), e.as_of(s, sf)).withColumnRenamed("user_id", "company_id")
+    p = profile.read(e.companies(s, sf), rows, cited, sources, viewer)
+    listed = [F.array_join(F.transform(n, lambda x: F.concat_ws(":", x["entity_id"].cast("string"), x["label"])), ";").alias(n) for n in _SECTIONS]
     investors = F.array_join(F.flatten(F.transform("rounds", lambda r: F.transform(r["investors"], lambda i: F.concat(i["name"], F.when(i["lead"], "*").otherwise(""))))), ",")
-    return p.select("slug", "unlocked", *[F.col(f"{n}_total").cast("long").alias(f"{n}_total") for n in _SECTIONS], *[F.size(n).cast("long").alias(f"{n}_shown") for n in _SECTIONS], investors.alias("round_investors"), F.array_join("citations", ",").alias("citations"))
+    return p.select("slug", "unlocked", values.date_only(F.col("unlocked_until")).alias("unlocked_until"), "preview_limit", *[F.col(f"{n}_total").cast("long").alias(f"{n}_total") for n in _SECTIONS], *listed, investors.alias("round_investors"), F.array_join(F.transform("citations", lambda c: F.concat_ws(" ", c["entity_type"], c["url"])), ",").alias("citations"))
 
 
 def history_page(s: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +122,7 @@ def history_page(s: SparkSession, sf: str) -> DataFrame:
 def slugs_newest(s: SparkSession, sf: str) -> DataFrame:
     """Slugs by the day of a company's last order, newest first."""
     last = e.rounds(s, sf).groupBy("company_id").agg(F.max("date").alias("updated_at"))
-    return directory.slugs(e.companies(s, sf).join(last, "company_id"), newest_first=True).limit(50).select("slug", values.date_only(F.col("updated_at")).alias("updated"))
+    return directory.slugs(e.companies(s, sf).join(last, "company_id"), newest_first=True).select("slug", values.date_only(F.col("updated_at")).alias("updated"))
 
 
 QUERIES = {f.__name__: f for f in (queue_whole, queue_whole_counts, contributions_whole, last_contribution_whole, profile_whole, history_page, slugs_newest)}
@@ -144,27 +147,34 @@ _PARTS_SQL = (
 ), gate as (select user_id, role = 'ADMIN' or coalesce(a.d < last_at + interval 30 day, false) as unlocked, last_at + interval 30 day as unlocked_until from users left join last using (user_id), (select max(o_orderdate) as d from orders) a)
 """
 )
-_SHOWN_SQL = ", ".join(f"coalesce({n}.n, 0) as {n}_total, case when coalesce(unlocked, false) then coalesce({n}.n, 0) else least(2, coalesce({n}.n, 0)) end as {n}_shown" for n in _SECTIONS)
-_KID_SECTIONS = ", ".join(f"{name} as (select company_id, count(*) as n from parts where type = '{kind}' and moderation_status = 'APPROVED' group by 1)" for name, kind in (("people", "person"), ("acquisitions", "acquisition"), ("exits", "exit"), ("diversity", "diversity"), ("investors_", "investor"), ("rounds_", "round")))
+_KINDS = {"rounds": "round", "people": "person", "investors": "investor", "acquisitions": "acquisition", "exits": "exit", "diversity": "diversity"}
+_TOTALS_SQL = ", ".join(f"coalesce((select max(n) from kids x where x.company_id = p.company_id and x.type = '{kind}'), 0) as {name}_total" for name, kind in _KINDS.items())
+_LISTS_SQL = ", ".join(f"coalesce((select string_agg(concat_ws(':', cast(entity_id as varchar), label), ';' order by k) from seen x where x.company_id = p.company_id and x.type = '{kind}'), '') as {name}" for name, kind in _KINDS.items())
 SQL = {
     "queue_whole": _PARTS_SQL
     + """, cited as (select entity_id, arg_max(url, (created_at, url)) as url from (select cast(event_id % 700 as varchar) as entity_id, 'https://cited.example/' || event_id as url, ts as created_at from events where event_type = 'click' and event_id % 4 <> 0) group by 1)
       select q.type, q.entity_id, q.label, u.name as submitter, c.slug as company_slug, c.name as company_name, coalesce(q.source_url, case when q.type = 'round' then x.url end) as source_url, q.created_at
       from all8 q left join users u on u.user_id = q.submitted_by left join companies c on c.company_id = q.company_id left join cited x on x.entity_id = q.entity_id where q.moderation_status = 'PENDING'""",
     "queue_whole_counts": _PARTS_SQL + "select type, count(*) filter (moderation_status = 'PENDING') as n from all8 group by type",
-    "contributions_whole": _PARTS_SQL + "select type, entity_id, label, created_at, unlocked, strftime(unlocked_until, '%Y-%m-%d') as unlocked_until from all8 left join gate on user_id = submitted_by where submitted_by = 8",
+    "contributions_whole": _PARTS_SQL
+    + """select type, entity_id, case when type = 'proposal' then 'Edit: name' else label end as label, moderation_status as status, c.slug as company_slug, c.name as company_name, created_at, unlocked, strftime(unlocked_until, '%Y-%m-%d') as unlocked_until
+      from all8 q left join gate on user_id = submitted_by left join companies c on c.company_id = q.company_id where submitted_by = 8""".replace("moderation_status", "q.moderation_status"),
     "last_contribution_whole": _PARTS_SQL + "select user_id, last_at from last",
     "profile_whole": _PARTS_SQL
-    + f""", {_KID_SECTIONS}, ri as (select l_orderkey as round_id, string_agg(s_name || ' ' || l_linenumber || case when l_linenumber = 1 then '*' else '' end, ',' order by s_name || ' ' || l_linenumber) as names from lineitem join supplier on s_suppkey = l_suppkey group by 1),
-      listed as (select *, row_number() over (partition by company_id order by date, round_id) as k from rounds left join ri using (round_id) where moderation_status = 'APPROVED'),
-      clicks as (select user_id, url, event_id % 2 = 0 as own from events join pages on page_id = event_id % 250 where event_type = 'click'),
-      cites as (select user_id, coalesce(string_agg(distinct url, ',' order by url), '') as every, coalesce(string_agg(distinct url, ',' order by url) filter (own), '') as own from clicks group by 1)
-      select slug, coalesce(unlocked, false) as unlocked, {_SHOWN_SQL.replace("investors.n", "investors_.n").replace("rounds.n", "rounds_.n")},
-        coalesce((select string_agg(names, ',' order by k) from listed l where l.company_id = shown.company_id and (k <= 2 or coalesce(unlocked, false)) and names is not null), '') as round_investors,
-        coalesce(case when coalesce(unlocked, false) then every else own end, '') as citations
-      from shown left join gate on gate.user_id = shown.company_id left join cites on cites.user_id = shown.company_id {" ".join(f"left join {n} on {n}.company_id = shown.company_id" for n in ("rounds_", "people", "investors_", "acquisitions", "exits", "diversity"))}""",
+    + f""", labelled as (select type, entity_id, company_id, created_at, moderation_status, label from parts where type not in ('company', 'investor')
+        union all select 'investor', holding_id, company_id, null, h.moderation_status, case when i.moderation_status = 'APPROVED' then slug end from holdings h left join investors i using (investor_id)),
+      kids as (select *, row_number() over (partition by type, company_id order by created_at, entity_id) as k, count(*) over (partition by type, company_id) as n from labelled where moderation_status = 'APPROVED'),
+      p as (select shown.company_id, slug, coalesce(unlocked, false) as unlocked, unlocked_until from shown left join gate on gate.user_id = shown.company_id),
+      seen as (select kids.* from kids join p using (company_id) where unlocked or k <= 2),
+      ri as (select l_orderkey as round_id, string_agg(s_name || ' ' || l_linenumber || case when l_linenumber = 1 then '*' else '' end, ',' order by s_name || ' ' || l_linenumber) as names from lineitem join supplier on s_suppkey = l_suppkey group by 1),
+      cites as (select event_id, ts, url, case event_id % 3 when 0 then 'company' when 1 then 'person' else 'round' end as type, case when event_id % 3 = 2 then event_id else user_id end as entity_id from events join pages on page_id = event_id % 250 where event_type = 'click'),
+      visible as (select company_id, 'company' as type, company_id as entity_id from p union all select company_id, type, entity_id from seen),
+      cited as (select company_id, string_agg(type || ' ' || url, ',' order by ts, event_id) as citations from visible join cites using (type, entity_id) group by 1)
+      select slug, unlocked, strftime(unlocked_until, '%Y-%m-%d') as unlocked_until, cast(2 as integer) as preview_limit, {_TOTALS_SQL}, {_LISTS_SQL},
+        coalesce((select string_agg(names, ',' order by k) from seen x join ri on round_id = entity_id where x.company_id = p.company_id and x.type = 'round'), '') as round_investors, coalesce(citations, '') as citations
+      from p left join cited using (company_id)""",
     "history_page": _PARTS_SQL
     + """select revision_id, entity_type, coalesce(p.label, entity_type) as entity_label, field, case when actor = 'INGEST' then actor_source else u.name end as actor_name, v.created_at, count(*) over () as total
       from revisions v left join users u on u.user_id = v.actor_user_id left join parts p on p.type = v.entity_type and cast(p.entity_id as varchar) = v.entity_id where v.company_id = 7 order by v.created_at desc, revision_id desc limit 10 offset 10""",
-    "slugs_newest": MODEL_SQL + "select slug, strftime(d, '%Y-%m-%d') as updated from shown join (select company_id, max(date) as d from rounds group by 1) using (company_id) order by d desc, slug limit 50",
+    "slugs_newest": MODEL_SQL + "select slug, strftime(d, '%Y-%m-%d') as updated from shown join (select company_id, max(date) as d from rounds group by 1) using (company_id) order by d desc, slug",
 }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from capstrata.functions import text, values
 from capstrata.functions import vocabulary as v
+from capstrata.session import materialised
 
-# Properties of the graph.
+# Properties of the graph, and below the sentences of records made of it.
 _BINDING = "array<map<string, struct<type: string, value: string>>>"
 INVESTED, INSTANCE, SUBCLASS, FOUNDER, HEAD, OWNER, START = "P1951", "P31", "P279", "P112", "P169", "P127", "P580"
 DETAILS = {"website": "P856", "inception": "P571", "hq": "P159", "country": "P17", "industry": "P452", "employees": "P1128", "linkedinId": "P4264"}
@@ -24,7 +25,7 @@ def read_bindings(spark: SparkSession, path: str, variables: list[str]) -> DataF
 
 
 def chunks(ids: DataFrame, size: int = 200) -> DataFrame:
-    """ids (qid) with the chunk that each falls in; chunks by hash hold about `size` ids each."""
+    """ids (qid) with the chunk that each falls in; chunks are by hash, without order, and hold about `size` ids each."""
     n = max(1, -(-ids.count() // size))
     return ids.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(n)))
 
@@ -42,25 +43,40 @@ def seed_companies(triples: DataFrame) -> DataFrame:
 
 
 def company_details(companies: DataFrame, triples: DataFrame) -> DataFrame:
-    """Companies with what is known of them; each fact may be absent, and several of one repeat the row."""
-    out = companies
-    for name, prop in DETAILS.items():
-        out = out.join(_with(triples, prop, "company", name), "company", "left")
+    """Companies (their first column) with what is known of them; each fact may be absent, and several of one repeat the row.
+
+    The facts of a company are gathered in one pass over the triples, a list for each property; a fact without a value is
+    none. Lists are as long as one company's values of one property.
+    """
+    key = companies.columns[0]
+    facts = triples.where(F.col("property").isin(*DETAILS.values()))
+    listed = facts.groupBy(F.col("subject").alias(key)).agg(*[F.collect_list(F.when(F.col("property") == prop, F.col("object"))).alias(name) for name, prop in DETAILS.items()])
+    out = companies.join(listed, key, "left")
+    for name in DETAILS:
+        out = out.withColumn(name, F.explode_outer(name))
     return out
 
 
+#: Parts that a fixpoint gathers before they are written as one.
+_PARTS = 16
+
+
 def subclasses(triples: DataFrame, roots: list[str]) -> DataFrame:
-    """(class) of all classes below the roots, the roots included, by recursion over the subclass property."""
-    spark = triples.sparkSession
-    triples.where(F.col("property") == SUBCLASS).select("subject", "object").createOrReplaceTempView("capstrata_subclass")
-    spark.createDataFrame([(r,) for r in roots], "class string").createOrReplaceTempView("capstrata_roots")
-    return spark.sql(
-        """with recursive below(class, depth) as (
-             select class, 0 from capstrata_roots
-             union all
-             select s.subject, depth + 1 from capstrata_subclass s join below b on s.object = b.class where depth < 12)
-           select distinct class from below"""
-    )
+    """(class) of all classes below the roots, the roots included, however far below; cycles end.
+
+    A semi-naive fixpoint: in each round the classes right below those of the last round, without those seen before,
+    until there are none.
+    """
+    edges = materialised(triples.where(F.col("property") == SUBCLASS).select(F.col("object").alias("above"), F.col("subject").alias("class")).where("above is not null and class is not null").distinct())
+    latest = triples.sparkSession.createDataFrame([(r,) for r in roots], "class string").distinct()
+    seen, parts = latest, 1
+    while True:
+        latest = materialised(edges.join(latest.withColumnRenamed("class", "above"), "above").select("class").distinct().join(seen, "class", "left_anti"))
+        if latest.isEmpty():
+            return seen
+        seen, parts = seen.unionByName(latest), parts + 1
+        if parts > _PARTS:
+            seen, parts = materialised(seen), 1
 
 
 def investor_edges(companies: DataFrame, triples: DataFrame) -> DataFrame:
@@ -104,11 +120,14 @@ def bindings(triples: DataFrame, labels: DataFrame, listed: DataFrame, offered:
     """The five lists of bindings of all companies that someone has invested in: details, investors, people, acquisitions, exits.
 
     labels: id, label. With a limit, the first so many companies by length and then text of their id. Rows are numbered
-    by their values, so that the first of a key is always the same.
+    by their values, so that the first of a key is always the same. The triples and the companies are materialised, as
+    each list asks for them.
     """
+    triples = materialised(triples)
     seed = seed_companies(triples)
     if limit is not None:
         seed = seed.orderBy(F.length("company"), "company").limit(limit)
+    seed = materialised(seed)
 
     def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
         for column, label in names.items():

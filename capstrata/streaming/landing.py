@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from capstrata.operators.merge import KEY
+from capstrata.operators.versions import Versions
+
 
 def new_files(spark: SparkSession, path: str, kind: str = "text", schema: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """A stream of the rows of files that land under a path."""
@@ -24,25 +27,21 @@ def catch_up(stream: DataFrame, merge_batch: Callable[[DataFrame, int], None], c
     return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versioned_merge(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
-    """A merge_batch that keeps a table as numbered versions under a folder: version n holds the batches up to n.
+def versioned_merge(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str, key: list[str] = KEY) -> Callable[[DataFrame, int], None]:
+    """A merge_batch that keeps a table as numbered versions of its partitions: version n holds the batches up to n.
 
-    A batch reads the version before its own and writes its own anew, so repeating it gives the same version.
+    A batch reads the versions before its own, and writes the partitions that it changes, so repeating it gives the same.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        before = spark.read.schema(schema).parquet(f"{table}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        merge(before, rows).write.mode("overwrite").parquet(f"{table}/v={number}")
+        Versions(rows.sparkSession, table, key, schema).merge(rows, merge, number)
 
     return batch
 
 
-def latest_version(spark: SparkSession, table: str) -> DataFrame:
+def latest_version(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
     """The newest version of a versioned table."""
-    rows = spark.read.parquet(table)
-    newest = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == newest).drop("v")
+    return Versions(spark, table, KEY, schema).read()
 
 
 def deals_by_day(rounds: DataFrame, late: str = "10 days") -> DataFrame:

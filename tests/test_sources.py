@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from capstrata.functions.vocabulary import SEC_EDGAR
 from capstrata.operators import ingest
 from capstrata.plans import ingestion
+from capstrata.functions import vocabulary as v
 from capstrata.sources import filings, graph, landed, roster
 
 INDEX = """Description: daily index
@@ -220,3 +221,25 @@ def test_run_of_landed_sources(spark, tmp_path):
     assert {r.external_id for r in store.companies.collect()} == {str(7_000_000 + k) for k in (6, 7, 8, 9)} and store.rounds.count() == 4
     again, told = ingest.run_sources(spark, store, sources, folder, at, ["SEC_EDGAR"], limit=4)
     assert told[0]["new_companies"] == told[0]["new_investors"] == 0 and again.companies.count() == 4
+
+
+def test_classes_far_below_an_excluded_one_and_cycles(spark):
+    excluded = v.EXCLUDED_CLASSES[0]
+    chain = [(f"K{i}", graph.SUBCLASS, f"K{i - 1}" if i else excluded) for i in range(40)]
+    cycle = [("K3", graph.SUBCLASS, "K7"), (excluded, graph.SUBCLASS, "K2"), ("A", graph.SUBCLASS, "B"), ("B", graph.SUBCLASS, "A"), ("K5", graph.SUBCLASS, None), (None, graph.SUBCLASS, "K5")]
+    backed = [("C1", graph.INVESTED, i) for i in ("near", "far", "free", "unknown")]
+    of = [("near", graph.INSTANCE, "K2"), ("far", graph.INSTANCE, "K39"), ("far", graph.INSTANCE, "B"), ("free", graph.INSTANCE, "A")]
+    t = spark.createDataFrame([(*x, None) for x in chain + cycle + backed + of], "subject string, property string, object string, statement string")
+    assert {r["class"] for r in graph.subclasses(t, [excluded]).collect()} == {excluded, *(f"K{i}" for i in range(40))}
+    assert {(r.investor, r["class"]) for r in graph.investor_edges(graph.seed_companies(t), t).collect()} == {("free", "A"), ("unknown", None)}
+
+
+def test_details_in_one_scan_with_repeated_values(spark):
+    d = graph.DETAILS
+    rows = [("C1", d["website"], "a"), ("C1", d["website"], "b"), ("C1", d["country"], "N1"), ("C1", d["country"], "N2"), ("C1", d["hq"], None), ("C3", d["website"], "c"), (None, d["website"], "d")]
+    t = spark.createDataFrame([(*x, None) for x in rows], "subject string, property string, object string, statement string")
+    found = graph.company_details(spark.createDataFrame([("C1",), ("C2",)], "company string"), t)
+    assert found.columns == ["company", *d]
+    assert sorted((r.company, r.website or "", r.country or "", r.hq) for r in found.collect()) == [("C1", "a", "N1", None), ("C1", "a", "N2", None), ("C1", "b", "N1", None), ("C1", "b", "N2", None), ("C2", "", "", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and plan.count("Join") == 1
