@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capstrata.functions import values
 from capstrata.functions.vocabulary import APPROVED, UNICORN_USD
+from capstrata.operators import ranking
 
 
 def visible(df: DataFrame) -> DataFrame:
@@ -23,25 +24,26 @@ def approved_rounds(companies: DataFrame, rounds: DataFrame) -> DataFrame:
 def sector_stats(companies: DataFrame, rounds: DataFrame, as_of: Column) -> DataFrame:
     """For each sector: companies, deals, total raised, median valuation, and the trend of deals over 90 days.
 
-    Sums are pre-aggregated on both sides before the join by sector. The recent window has no upper bound.
+    Sums are pre-aggregated on both sides before the join by sector. Medians are exact, and no task holds the values of a
+    sector. The recent window has no upper bound.
     """
     quarter = F.expr("interval 90 days")
     known = visible(companies).where("sector is not null")
     by_company = known.groupBy("sector").agg(
         F.count("*").alias("company_count"),
         F.coalesce(F.sum("total_raised_usd"), F.lit(0)).cast("double").alias("total_raised_usd"),
-        F.coalesce(F.percentile("last_valuation_usd", F.lit(0.5)), F.lit(0.0)).alias("median_valuation_usd"),
     )
+    median = ranking.medians(known, "sector", "last_valuation_usd", "median_valuation_usd")
     recent = F.col("date") >= as_of - quarter
     prior = (F.col("date") >= as_of - F.expr("interval 180 days")) & (F.col("date") < as_of - quarter)
     by_round = approved_rounds(known, rounds).groupBy("sector").agg(F.count("*").alias("deals"), F.count_if(recent).alias("recent"), F.count_if(prior).alias("prior"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return by_company.join(by_round, "sector", "left").select(
+    return by_company.join(by_round, "sector", "left").join(median, "sector", "left").select(
         "sector",
         "company_count",
         zero(F.col("deals")).alias("deal_count"),
         "total_raised_usd",
-        "median_valuation_usd",
+        F.coalesce("median_valuation_usd", F.lit(0.0)).alias("median_valuation_usd"),
         values.trend_percent(zero(F.col("recent")), zero(F.col("prior"))).alias("trend_pct"),
     )
 
