@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from capstrata.functions.text import company_name_key, investor_name_key
@@ -12,7 +12,7 @@ from capstrata.functions.values import round_half_up
 from capstrata.functions.vocabulary import APPROVED
 from capstrata.operators import merge, resolve, slugs
 from capstrata.operators.versions import Versions
-from capstrata.session import materialised
+from capstrata.session import materialised, new_folder
 from capstrata.sources.normalized import Source, chosen
 
 #: The columns of stored tables that an ingest run works on.
@@ -146,14 +146,58 @@ def run(store: Store, records: DataFrame | None, firms: DataFrame | None, source
     return store
 
 
-def run_sources(spark: SparkSession, store: Store, sources: list[Source], folder: str, at: Column, names: list[str] | None = None, limit: int | None = None, log: bool = True) -> tuple[Store, list[dict]]:
-    """(store, counters of each source): the chosen sources (all without names) one after the other, each from its own folder in `folder`."""
-    told = []
+#: Amounts beyond this have no place in a column of whole dollars.
+MOST_USD = 9_000_000_000_000_000_000
+
+
+def judged(rows: DataFrame, key: str = "company_external_id", name: str = "company.name") -> DataFrame:
+    """rows with `reject`: why a run can not take a row (no name, no key, an amount that is no amount), null where it can.
+
+    A row that fails would fail the whole run, so what can fail is told before; each row costs itself only.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    wild = lambda c: F.coalesce(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) > MOST_USD), F.lit(False))
+    amounts = [F.col(c) for c in ("company.total_raised_usd", "round.amount_usd") if c.partition(".")[0] in rows.columns]
+    bad = [wild(a) for a in amounts]
+    any_wild = lambda c, field: F.exists(c, lambda x: wild(x[field]))
+    bad += [any_wild(c, field) for c, field in (("acquisitions", "amount_usd"), ("exits", "value_usd")) if c in rows.columns]
+    reason = F.when(blank(name), "no name").when(blank(key), "no key")
+    for condition in bad:
+        reason = reason.when(F.coalesce(condition, F.lit(False)), "no amount")
+    return rows.withColumn("reject", reason)
+
+
+def taken(rows: DataFrame | None, **columns: str) -> tuple[DataFrame | None, DataFrame | None, dict[str, int]]:
+    """(rows that a run can take, the others as (key, reject), how many came and were taken). None gives none and zeros.
+
+    The rows are written once, and counted as they pass.
+    """
+    if rows is None:
+        return None, None, {"processed": 0, "taken": 0}
+    spark, seen, path = rows.sparkSession, Observation(), new_folder(rows.sparkSession, "taken")
+    said = judged(rows, **columns).observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("reject").isNull()).alias("taken"))
+    said.write.parquet(path)
+    held = spark.read.parquet(path)
+    refused = held.where("reject is not null").select(F.col(columns.get("key", "company_external_id")).alias("key"), "reject")
+    return held.where("reject is null").drop("reject"), refused, seen.get
+
+
+def run_sources(spark: SparkSession, store: Store, sources: list[Source], folder: str, at: Column, names: list[str] | None = None, limit: int | None = None, log: bool = True, rejects: list[DataFrame] | None = None) -> tuple[Store, list[dict]]:
+    """(store, counters of each source): the chosen sources (all without names) one after the other, each from its own folder in `folder`.
+
+    `rejects` takes, for each source, the rows that were refused: source, key, reject.
+    """
+    told, before = [], (store.companies.count(), store.investors.count())
     for source in chosen(sources, names):
-        records, firms = source.records(spark, f"{folder}/{source.name}", limit), source.firms(spark, f"{folder}/{source.name}", limit)
-        before = store
-        store = run(store, placeable(records), placeable(firms, "name"), source.name, at, log)
-        told.append({"source": source.name} | counters(before, store, records, firms))
+        records, no_records, n = taken(source.records(spark, f"{folder}/{source.name}", limit))
+        firms, no_firms, m = taken(source.firms(spark, f"{folder}/{source.name}", limit), key="external_id", name="name")
+        store = run(store, records, firms, source.name, at, log)
+        if rejects is not None:
+            rejects += [df.withColumn("source", F.lit(source.name)) for df in (no_records, no_firms) if df is not None]
+        after = (store.companies.count(), store.investors.count())
+        counted = {"processed": n["processed"], "upserted": n["taken"], "skipped": n["processed"] - n["taken"], "investors": m["taken"]}
+        told.append({"source": source.name} | counted | {"new_companies": after[0] - before[0], "new_investors": after[1] - before[1]})
+        before = after
     return store, told
 
 

@@ -119,6 +119,16 @@ def filing_records(s: SparkSession, sf: str) -> DataFrame:
     return _flat_record(_filing_records(s, sf))
 
 
+def ingest_counters(s: SparkSession, sf: str) -> DataFrame:
+    """Filings of which some have no name, no key or no amount: what a run counts, and what it refuses and why."""
+    k = F.col("company_external_id").cast("long")
+    company = F.col("company").withField("name", F.when(k % 7 != 0, F.col("company.name"))).withField("total_raised_usd", F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(F.col("company.total_raised_usd").cast("double")))
+    rows = _filing_records(s, sf).withColumns({"company": company, "company_external_id": F.when(k % 11 != 0, F.col("company_external_id"))})
+    _, refused, n = ingest.taken(rows)
+    counted = refused.groupBy("reject").agg(F.count("*").alias("n")).select(F.col("reject").alias("what"), "n")
+    return counted.unionByName(s.createDataFrame([(what, n[what]) for what in ("processed", "taken")], "what string, n long"))
+
+
 def filing_records_latest(s: SparkSession, sf: str) -> DataFrame:
     """The latest thirty without pooled funds, numbered in order."""
     rows = _filing_records(s, sf, skip_pooled=True, limit=30)
@@ -456,7 +466,7 @@ def ingest_run(s: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        filing_index, filing_documents, filing_offerings, filing_records, filing_records_latest, roster_firms, graph_seed, graph_details, graph_investor_edges, graph_firm_universe, graph_people,
+        filing_index, filing_documents, filing_offerings, filing_records, ingest_counters, filing_records_latest, roster_firms, graph_seed, graph_details, graph_investor_edges, graph_firm_universe, graph_people,
         graph_acquisitions, graph_exits, graph_records, graph_records_landed, graph_firms, upsert_people, upsert_acquisitions, upsert_exits, enrich_investor_blanks, ingest_run,
     )
 }
@@ -471,6 +481,9 @@ SQL = {
     + f"""select cik as company_external_id, entity_name as name, city || ', ' || state as hq, year_of_inc as founded, {_STAGED} as stage, amount_sold_usd as total_raised_usd, case industry when 'Computers' then 'Technology' when 'Biotechnology' then 'Healthcare' when '{filings.POOLED}' then 'Financial services' end as primary_sector, industry,
       coalesce(previous_accession, accession) as round_id, case when k % 4 <> 0 then date '2026-07-01' else cast(strptime(date_filed, '%Y%m%d') as date) end as round_date, amount_sold_usd as amount_usd,
       cik || ':person:ann-' || k || '|Ann ' || k || '|Director|Chair|2026' || case when k % 3 = 0 then ';' || cik || ':person:cy-dee|Cy Dee|Executive Officer|2026' else '' end as people from r""",
+    "ingest_counters": _RECORD_SQL
+    + """, j as (select case when cast(cik as bigint) % 7 = 0 then 'no name' when cast(cik as bigint) % 11 = 0 then 'no key' when cast(cik as bigint) % 5 = 0 then 'no amount' end as reject from r)
+      select reject as what, count(*) as n from j where reject is not null group by 1 union all select 'processed', count(*) from j union all select 'taken', count(*) from j where reject is null""",
     "filing_records_latest": _RECORD_SQL + "select accession, date_filed, row_number() over (order by date_filed, accession) as n from (select * from r where not is_pooled order by date_filed desc, accession desc limit 30)",
     "roster_firms": _ROSTER_SQL,
     "graph_seed": _TRIPLE_SQL + "select company from seed",

@@ -82,3 +82,12 @@ def test_a_store_is_saved_by_changed_partitions(spark, tmp_path):
     moved = ingest.save(ingest.run(ingest.load(spark, folder), made(9.0), None, "S", at), folder)
     assert len(moved["companies"]) == len(moved["revisions"]) == 1 and not moved["holdings"] and not moved["investors"]
     assert [(r.field, r.after) for r in ingest.load(spark, folder).revisions.collect()] == [("total_raised_usd", "9")]
+
+
+def test_rows_that_fail_cost_themselves_only(spark):
+    company, deal = "struct<name:string,total_raised_usd:double>", "array<struct<amount_usd:double>>"
+    rows = [("a", ("A", 1.0), []), ("b", (None, 1.0), []), (None, ("C", 1.0), []), ("d", ("D", float("nan")), []), ("e", ("E", None), [(1e30,)]), ("f", ("F", 5.0), [(None,), (7.0,)]), ("g", None, None), (" ", ("H", 1.0), None)]
+    kept, refused, n = ingest.taken(spark.createDataFrame(rows, f"company_external_id string, company {company}, acquisitions {deal}").repartition(3))
+    assert {r.company_external_id for r in kept.collect()} == {"a", "f"} and n == {"processed": 8, "taken": 2}
+    assert sorted((r.key or "", r.reject) for r in refused.collect()) == [("", "no key"), (" ", "no key"), ("b", "no name"), ("d", "no amount"), ("e", "no amount"), ("g", "no name")]
+    assert ingest.taken(None)[2] == {"processed": 0, "taken": 0}
