@@ -105,9 +105,10 @@ def shown_value(value: Column, field: Column, money_fields: tuple[str, ...], mos
 
 
 def json_value(value: Column, kind: str) -> Column:
-    """A value as JSON text, by its type's name: texts in quotes, null as the JSON null."""
-    listed = F.to_json(F.array(value))  # a list of one, whose brackets are cut off
-    shown = F.to_json(value) if kind in ("array", "struct", "map") else F.substr(listed, F.lit(2), F.length(listed) - 2)
+    """A value as JSON text, by its type's name: texts in quotes, null as the JSON null, whether by itself or a field of a structure at any depth."""
+    nulls = {"ignoreNullFields": "false"}
+    listed = F.to_json(F.array(value), nulls)  # a list of one, whose brackets are cut off
+    shown = F.to_json(value, nulls) if kind in ("array", "struct", "map") else F.substr(listed, F.lit(2), F.length(listed) - 2)
     return F.when(value.isNull(), F.lit("null")).otherwise(shown)
 
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -447,7 +449,9 @@ def enrich_investor_blanks(s: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_run(s: SparkSession, sf: str) -> DataFrame:
-    """All three sources landed and run into an empty store: the rows of each stored table."""
+    """All three sources landed and run into an empty store: the number of rows of each stored table, and by their keys
+    the companies, the investors, and which of both each holding links.
+    """
     folder = new_folder(s, "landed")
     _land_documents(s, sf, _land_index(s, _supplier_index(s, sf), f"{folder}/{v.SEC_EDGAR}"))
     _land_roster(s, sf, f"{folder}/{v.SEC_ADV}")
@@ -456,11 +460,13 @@ def ingest_run(s: SparkSession, sf: str) -> DataFrame:
     day, at = F.lit(_AS_OF).cast("date"), F.lit(_AS_OF).cast("timestamp_ntz")
     sources = [landed.Filings(day), landed.Roster(), landed.Graph(day)]
     store, _ = ingest.run_sources(s, ingest.Store.empty(s), sources, folder, at)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in vars(store).items()]
-    out = counts[0]
-    for rows in counts[1:]:
-        out = out.unionByName(rows)
-    return out
+    parts = [df.agg(F.count("*").cast("string").alias("value")).select(F.lit(name).alias("name"), F.lit("").alias("key"), "value") for name, df in vars(store).items()]
+    key = F.concat_ws(":", "external_source", "external_id").alias("key")
+    parts.append(store.companies.select(F.lit("companies").alias("name"), key, F.concat_ws("|", "name", "slug", "status", "moderation_status").alias("value")))
+    parts.append(store.investors.select(F.lit("investors").alias("name"), key, F.concat_ws("|", "name", "type", "moderation_status").alias("value")))
+    linked = store.holdings.select("external_id", "company_id", "investor_id", "first_round").join(store.companies.select("company_id", F.col("name").alias("company")), "company_id").join(store.investors.select("investor_id", F.col("name").alias("investor")), "investor_id", "left")
+    parts.append(linked.select(F.lit("holdings").alias("name"), F.col("external_id").alias("key"), F.concat_ws("|", "company", "investor", "first_round").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES = {
@@ -502,7 +508,14 @@ SQL = {
     "enrich_investor_blanks": "select s_suppkey as investor_id, s_name as name, 'Venture' as type, case when s_suppkey % 2 = 0 then 'Own hq' else 'First hq' end as hq, case when s_suppkey % 5 = 0 then 'first.example' else 'second.example' end as domain, case when s_suppkey % 3 = 0 then s_suppkey else s_suppkey * 10 end as fund_count, null as assets_usd from supplier",
     "ingest_run": _TRIPLE_SQL
     + """, s as (select s_suppkey as k from supplier where s_suppkey % 11 <> 0), g as (select * from seed where k % 7 <> 0), h as (select distinct company, investor from backed join g using (company)), f as (select 'Q2000' || s_suppkey as investor from supplier where s_suppkey % 3 = 0)
+      , counted as (
       select 'companies' as name, (select count(*) from s) + (select count(*) from g) as n union all select 'investors', (select count(*) from supplier where s_suppkey % 7 <> 0) + (select count(*) from (select investor from h union select investor from f))
       union all select 'rounds', (select count(*) from s) union all select 'people', (select count(*) + count(*) filter (k % 3 = 0) from s) + (select count(*) filter (k % 5 = 0) + count(*) filter (k % 4 = 0) from g)
-      union all select 'holdings', (select count(*) from h) union all select 'acquisitions', (select count(*) from g where k % 12 = 0) union all select 'exits', (select count(*) filter (k % 20 = 0) + count(*) filter (k % 9 = 0) from g) union all select 'revisions', 0""",
+      union all select 'holdings', (select count(*) from h) union all select 'acquisitions', (select count(*) from g where k % 12 = 0) union all select 'exits', (select count(*) filter (k % 20 = 0) + count(*) filter (k % 9 = 0) from g) union all select 'revisions', 0)
+      select name, '' as key, cast(n as varchar) as value from counted
+      union all select 'companies', 'SEC_EDGAR:' || (k + 7000000), 'Issuer ' || k || '|issuer-' || k || '|Private|APPROVED' from s
+      union all select 'companies', 'WIKIDATA:' || company, 'Graph company ' || k || '|graph-company-' || k || '|' || case when k % 9 = 0 then 'Public' when k % 20 = 0 then 'Acquired' else 'Private' end || '|APPROVED' from g
+      union all select 'investors', 'SEC_ADV:' || s_suppkey, 'Elan “' || s_suppkey || '” Partners, LLC|' || case when s_suppkey % 3 >= s_suppkey % 4 and s_suppkey % 3 >= 1 then 'Venture' when s_suppkey % 4 >= 1 then 'Private equity' else 'Hedge fund' end || '|APPROVED' from supplier where s_suppkey % 7 <> 0
+      union all select 'investors', 'WIKIDATA:' || investor, 'Graph firm ' || substr(investor, 6) || '|Venture|APPROVED' from (select investor from h union select investor from f)
+      union all select 'holdings', company || ':investor:' || investor, 'Graph company ' || substr(company, 6) || '|Graph firm ' || substr(investor, 6) || '|Undisclosed' from h""",
 }
