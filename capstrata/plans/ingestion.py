@@ -10,7 +10,6 @@ import zipfile
 from functools import reduce
 
 import pandas as pd
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
