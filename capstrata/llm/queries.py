@@ -12,7 +12,7 @@ from capstrata.llm.packing import op7_packing
 from capstrata.llm.quality import op6_quality
 from capstrata.llm.secrets import op10_secrets
 from capstrata.llm.simhash import op2_simhash
-from capstrata.llm.spelling import op13_spelling
+from capstrata.llm.spelling import OP13_SQL, op13_spelling
 from capstrata.llm.urls import OP1_SQL, op1_urls
 from capstrata.llm.warc import OP8_SQL, op8_warc
 
@@ -38,4 +38,5 @@ ORACLE_SQL = {
     "op4_chat": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op11_fim": OP11_SQL,
+    "op13_spelling": OP13_SQL,
 }

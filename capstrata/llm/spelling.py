@@ -198,3 +198,39 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     without doc_id takes its slips as one without digits; no rows: none.
     """
     return variants(word_counts(read_table(spark, sf_dir, "documents")))
+
+
+#: CRC-32 by its table of 256 entries, byte by byte; near words by what they are without one character or with a gap in its place.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT [list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) FOR z IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t
+), runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    GROUP BY ALL HAVING length(word) >= 7
+), coded AS (
+    SELECT word, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word)) AS hexed FROM runs
+), hashed AS (
+    SELECT word, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(hexed, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length(hexed) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM coded, crc
+), slipped AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, k FROM hashed
+), words AS (
+    SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), gaps AS (
+    SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.head || g.tail
+    UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.head || g.tail
+), nearest AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words LEFT JOIN nearest USING (word)
+), chain AS (
+    SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, form FROM chain JOIN formed ON formed.word = chain.root WHERE form IS NOT NULL
+), roots AS (
+    SELECT chain.word, root FROM chain JOIN formed ON formed.word = root WHERE form IS NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN roots USING (word)
+"""
