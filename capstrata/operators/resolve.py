@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from capstrata.functions.text import investor_name_key
 from capstrata.session import materialised
@@ -36,8 +37,46 @@ def _first_open(open_: DataFrame, token: str) -> DataFrame:
     return open_.where(F.col(token).isNotNull()).groupBy(token).agg(F.min("seq").alias(f"first_{token}"))
 
 
+#: Rounds after which records that wait for one another in chains are settled along the chain.
+CHAINS_AFTER = 3
+
+
+def _single_waits(decided: DataFrame, maybe_new: DataFrame) -> DataFrame:
+    """(seq, pred, token): the records that are new exactly if one other, pred, is not: they wait for it alone, by one token."""
+    pairs = []
+    for token in ("domain", "name_key"):
+        few = Window.partitionBy(token).orderBy("seq")
+        firsts = maybe_new.where(F.col(token).isNotNull()).select(token, "seq").withColumn("at", F.row_number().over(few)).where("at <= 2")
+        two = firsts.groupBy(token).agg(F.min(F.when(F.col("at") == 1, F.col("seq"))).alias("first"), F.min(F.when(F.col("at") == 2, F.col("seq"))).alias("second"))
+        waiting = decided.where(F.col("how").isNull() & F.col("by_domain").isNull() & F.col("by_name_key").isNull() & ~F.col("waits_key")).join(two, token)
+        pairs.append(waiting.where(F.col("first") < F.col("seq")).select("seq", F.col("first").alias("pred"), F.lit(token).alias("token"), (F.col("second").isNull() | (F.col("second") >= F.col("seq"))).alias("alone")))
+    both = pairs[0].unionByName(pairs[1])
+    return both.groupBy("seq").agg(F.count("*").alias("n"), F.min("pred").alias("pred"), F.min("token").alias("token"), F.min("alone").alias("alone")).where("n = 1 and alone").select("seq", "pred", "token")
+
+
+def _along_chains(decided: DataFrame) -> DataFrame:
+    """decided with the outcome of the records of chains whose first record is new: every other one is, the rest are matched to the one before.
+
+    The distance to a chain's first record is found by pointer jumping: as many steps as its length has binary digits.
+    """
+    waits = materialised(_single_waits(decided, decided.where("by_key is null and how is null or how = 'new'").where("by_domain is null and by_name_key is null")))
+    links = waits.select("seq", F.col("pred").alias("to"), F.lit(1).cast("long").alias("steps"))
+    while True:
+        ahead = links.select(F.col("seq").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        links = materialised(links.join(ahead, "to", "left").select("seq", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        if links.where("moved").isEmpty():
+            break
+        links = links.drop("moved")
+    heads = decided.where("how = 'new'").select(F.col("seq").alias("to"))
+    settled = links.join(heads, "to").join(waits, "seq").select("seq", F.col("pred").alias("__pred"), F.when(F.col("steps") % 2 == 0, "new").when(F.col("token") == "domain", "domain").otherwise("name").alias("__how"))
+    named = lambda c: F.concat(F.lit("new:"), F.col(c).cast("string"))
+    out = decided.join(settled, "seq", "left")
+    entity = F.when(F.col("__how") == "new", named("seq")).when(F.col("__how").isNotNull(), named("__pred")).otherwise(F.col("entity_id"))
+    return out.withColumns({"entity_id": entity, "how": F.coalesce("__how", "how")}).drop("__pred", "__how")
+
+
 def _decided(open_: DataFrame, register_matches: bool) -> DataFrame:
-    """open_ with entity_id and how, where no open record before a row can change them; else null.
+    """open_ with entity_id and how, where no open record before a row can change them; else null. waits_key: whether one may change its key.
 
     open_: seq, key, domain, name_key, and for each of the three the entity that it stands for by now (by_…), which
     is final. A record that has one of the latter two by now will not be new, so it registers no domain or name, and
@@ -53,7 +92,7 @@ def _decided(open_: DataFrame, register_matches: bool) -> DataFrame:
     entity, how = F.when(F.lit(False), none), F.when(F.lit(False), none)
     for condition, name, value in cases:
         entity, how = entity.when(condition, value), how.when(condition, F.lit(name).cast("string"))
-    return out.withColumns({"entity_id": entity.otherwise(F.concat(F.lit("new:"), F.col("seq").cast("string"))), "how": how.otherwise("new")}).drop("first_key", "first_domain", "first_name_key")
+    return out.withColumns({"entity_id": entity.otherwise(F.concat(F.lit("new:"), F.col("seq").cast("string"))), "how": how.otherwise("new"), "waits_key": F.col("by_key").isNull() & waits["key"]}).drop("first_key", "first_domain", "first_name_key")
 
 
 def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: bool) -> DataFrame:
@@ -65,7 +104,8 @@ def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: b
 
     Records are settled in rounds: in each, those of which no earlier open record can change the outcome, all at once;
     what they register is final and settles others in the next. Groups of any size that share a key, domain or name
-    take two rounds or three; there are as many as records wait for each other in a chain.
+    take two rounds or three. After so many, records that wait for one other each are settled along their chains, in
+    steps by the logarithm of their length; only webs of records that wait for several others each take more rounds.
     """
     seen = match(records.select("seq", "key", "domain", "name_key"), index)
     first = seen.select("seq", "key", "domain", "name_key", F.when(F.col("matched_by") == "key", F.col("matched_id").cast("string")).alias("by_key"))
@@ -74,14 +114,16 @@ def resolve(records: DataFrame, index: dict[str, DataFrame], register_matches: b
     open_, done = materialised(first), []
     while not open_.isEmpty():
         decided = materialised(_decided(open_, register_matches))
+        if len(done) >= CHAINS_AFTER:
+            decided = materialised(_along_chains(decided))
         settled = decided.where("how is not null")
         done.append(settled.select("seq", "entity_id", "how"))
-        open_ = decided.where("how is null").drop("entity_id", "how")
+        open_ = decided.where("how is null").drop("entity_id", "how", "waits_key")
         fresh = settled.where("how = 'new'")
         for token, rows in (("key", settled.where("how <> 'key'") if register_matches else fresh), ("domain", fresh), ("name_key", fresh)):
-            # no two of a round register the same: the later one would have waited
-            made = rows.where(F.col(token).isNotNull()).select(token, F.col("entity_id").alias("made"))
-            open_ = open_.join(made, token, "left").withColumn(f"by_{token}", F.coalesce(f"by_{token}", "made")).drop("made")
+            # no two of a round register the same: the later one would have waited; what is registered counts for later records
+            made = rows.where(F.col(token).isNotNull()).select(token, F.col("entity_id").alias("made"), F.col("seq").alias("made_seq"))
+            open_ = open_.join(made, token, "left").withColumn(f"by_{token}", F.coalesce(f"by_{token}", F.when(F.col("seq") > F.col("made_seq"), F.col("made")))).drop("made", "made_seq")
         open_ = materialised(open_)
     if not done:
         return records.withColumns({"entity_id": F.lit(None).cast("string"), "how": F.lit(None).cast("string")})
