@@ -88,10 +88,10 @@ def links(fps: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def _components(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, fp, component_id) for prints (doc_id, fp) and the links of its distinct fp."""
+def _components(prints: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) for prints (doc_id, fp) and the components (node, root) of its distinct fp."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links_of(classes.select("fp")))
+    roots = roots_of(classes.select("fp"))
     rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     groups = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_print = cut(rooted.join(groups, "root").select("fp", "component_id"))
@@ -104,13 +104,13 @@ def simhash_components(docs: DataFrame, block_limit: int = BLOCK_LIMIT) -> DataF
     Repeated rows keep their rows. A null doc_id is never a component_id, unless its component has no other.
     Copies are collapsed to their fingerprint before candidates are searched.
     """
-    return _components(cut(fingerprints(docs)), lambda fps: links(fps, block_limit))
+    return _components(cut(fingerprints(docs)), lambda fps: connected_components(links(fps, block_limit)))
 
 
 def near_duplicates(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
     """The same for texts of which five-word shingles have a Jaccard similarity of 0.8 or more; fp is the set's hash."""
-    prints, pairs = similar.similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_limit)
-    return _components(prints, lambda _: pairs)
+    prints, roots = similar.grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_limit)
+    return _components(prints, lambda _: roots)
 
 
 def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> DataFrame:
@@ -121,12 +121,11 @@ def deduplicate(docs: DataFrame, block_limit: int = similar.BLOCK_LIMIT) -> Data
     Null and empty texts are one component. Rows to drop are named by doc_id and the text's hash; texts are not
     shuffled, but for those of repeated rows, and where there are more than DROP_LIMIT to drop.
     """
-    prints, pairs = similar.similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text")), block_limit)
+    prints, roots = similar.grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text")), block_limit)
     keys = cut(prints.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("rows")))
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     classes = cut(keys.groupBy("fp").agg(F.min(name).alias("first")))
-    roots = connected_components(pairs).withColumnRenamed("node", "fp")
-    rooted = cut(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     kept = rooted.join(firsts, "root").where(F.col("first") == F.col("kept")).select("fp", "kept")
     judged = keys.join(kept, "fp", "left").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"), F.coalesce(name == F.col("kept"), F.lit(False)).alias("stays"), "rows")
