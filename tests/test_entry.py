@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from capstrata.plans import changes, reads, texts
+from capstrata.plans import changes, reads, submissions, texts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = reads.SQL | texts.SQL | changes.SQL
+SQL = reads.SQL | texts.SQL | changes.SQL | submissions.SQL
 
 
 @pytest.fixture(scope="module")
