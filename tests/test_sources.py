@@ -223,6 +223,20 @@ def test_run_of_landed_sources(spark, tmp_path):
     assert told[0]["new_companies"] == told[0]["new_investors"] == 0 and again.companies.count() == 4
 
 
+def test_results_of_the_graph_do_not_grow_with_the_tables(spark, tmp_path):
+    """A result has some 200 companies however many there are, and no binding is lost on the way."""
+    customers = spark.range(4000).select(F.col("id").alias("c_custkey"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    rows = customers.select(F.concat(F.lit("Q"), F.col("c_custkey")).alias("company"), F.lit("Q1").alias("investor"), F.lit('a "name"').alias("investorLabel"), F.lit(None).cast("string").alias("class"))
+    rows = rows.unionByName(rows.withColumn("investor", F.lit("Q2"))).withColumn("seq", F.concat("company", "investor"))
+    folder = ingestion._land_bindings(spark, str(tmp_path), {"investors": rows}, f"file://{tmp_path}/graph")
+    results = [json.loads(r.value)["results"]["bindings"] for r in spark.read.text(f"{folder}/investors").collect()]
+    assert max(len({b["company"]["value"] for b in result}) for result in results) < 300
+    read = landed.Graph(F.lit("2026-08-01").cast("date"), lines=True)._read(spark, folder, "investors")
+    assert read.count() == read.select("company", "investor").distinct().count() == 8000
+    assert {(r.seq % 2, r.investor[-2:], r.investorLabel, r["class"]) for r in read.collect()} == {(0, "Q1", 'a "name"', None), (1, "Q2", 'a "name"', None)}
+
+
 def test_classes_far_below_an_excluded_one_and_cycles(spark):
     excluded = v.EXCLUDED_CLASSES[0]
     chain = [(f"K{i}", graph.SUBCLASS, f"K{i - 1}" if i else excluded) for i in range(40)]
