@@ -67,6 +67,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("accession", F.regexp_replace(digits, r"^([0-9]{10})([0-9]{2})([0-9]{6})/.*$", "$1-$2-$3"))
 
 
+def read_containers(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed documents of container files, which have a document a line as JSON: its accession, and its text as xml.
+
+    So the number of files follows from the bytes, not from the number of documents, and a file may be split.
+    """
+    return parse_text(spark.read.schema("accession string, xml string").json(path))
+
+
 def parse_text(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """Documents held as text, parsed into the same columns."""
     return documents.withColumn("d", F.from_xml(xml, DOCUMENT)).select(*[c for c in documents.columns if c != xml], "d.*")

@@ -72,6 +72,20 @@ def test_documents_from_files(spark, tmp_path):
     assert row.accession == "0001234567-26-000001" and row.entity_name == "Acme Robotics Inc"
 
 
+def test_documents_of_containers(spark, tmp_path):
+    """Files do not grow in number with the documents; texts of several lines and one that is no XML cost none of the others."""
+    spark.range(1, 901).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    folder = ingestion._land_documents(spark, str(tmp_path), f"file://{tmp_path}/landed")
+    files = [p for p in (tmp_path / "landed" / "documents").rglob("*") if p.is_file() and p.name[0] not in "._"]
+    assert 0 < len(files) <= 8
+    assert filings.offerings(filings.read_containers(spark, f"{folder}/documents")).count() == 900 - 900 // 11
+    texts = {"0001234567-26-000001": document(), "0001234567-26-000002": "<edgarSubmission><primaryIssuer>", "0001234567-26-000003": document().replace("><", ">\n<")}
+    (tmp_path / "some").mkdir()
+    (tmp_path / "some" / "a.json").write_text("".join(json.dumps({"accession": a, "xml": x}) + "\n" for a, x in texts.items()))
+    rows = filings.offerings(filings.read_containers(spark, f"file://{tmp_path}/some")).collect()
+    assert sorted((r.accession, r.entity_name) for r in rows) == [("0001234567-26-000001", "Acme Robotics Inc"), ("0001234567-26-000003", "Acme Robotics Inc")]
+
+
 HEADER = ["Organization CRD#", "CIK#", "Primary Business Name", "Legal Name", "Main Office City", "Main Office State", "Main Office Country", "SEC Current Status", "Total number of offices\n other than main", "Website Address", "Any VC Funds", "Total number of VC funds", "Any PE Funds", "Total number of PE funds", "Any Hedge Funds", "Total number of Hedge funds", "Total Gross Assets of Private Funds"]
 
 
