@@ -10,7 +10,9 @@ again; the new packing counts if it takes fewer sequences. Only lengths move: id
 
 from __future__ import annotations
 
+import operator
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -70,28 +72,40 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
     model, added = tokenizer.model, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    # the usual characters beyond ASCII, as the model's alphabet of bytes spells them
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    beyond = {i: spell(chr(i))[0][0] for i in range(128, 0x2030) if _USUAL.fullmatch(chr(i))}
+    tokenize, id_of = model.tokenize, operator.attrgetter("id")
 
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def of_part(part: str) -> bytes:
+        tokens = tokenize(part if part.isascii() else part.translate(beyond))
+        return struct.pack(f"<{len(tokens)}I", *map(id_of, tokens))
 
     def whole(word: str) -> bytes:
-        return packed(tokenizer.encode(word, add_special_tokens=False).ids)
+        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    parts = Memory(lambda part: packed([t.id for t in model.tokenize(part if part.isascii() else as_bytes(part)[0][0])]))
+    parts = Memory(of_part)
 
     def of_word(word: str) -> bytes:
-        if not _USUAL.fullmatch(word) or "<" in word and any(a in word for a in added):
+        if word.isascii():
+            if word.isalpha():
+                return parts[word.lower()]
+            usual = word.isprintable()
+        else:
+            usual = _USUAL.fullmatch(word)
+        if not usual or "<" in word and any(a in word for a in added):
             return whole(word)
         return b"".join([parts[part] for part in _PARTS.findall(word.lower())])
 
     words = Memory(of_word)
 
+    found = words.__getitem__
+
     def encode(text: str) -> np.ndarray:
         # characters at which Python parts words, but the tokenizer does not
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         each = filter(None, _BLANK.split(text)) if odd else text.split()
-        return np.frombuffer(b"".join([words[word] for word in each]), "<u4")
+        return np.frombuffer(b"".join(map(found, each)), "<u4")
 
     return encode
 

@@ -45,6 +45,30 @@ def test_ids_of_odd_texts(text):
     assert [*bestfit._kept_encoder(bestfit.VOCABULARY)(text), 0] == ids_of(text)
 
 
+def test_usual_words_beyond_ascii_need_no_further_calls(monkeypatch):
+    """All usual characters are spelled once for a worker, not for each new word, and as the tokenizer spells them."""
+    from tokenizers import pre_tokenizers
+
+    calls = []
+
+    class Counted:
+        def __init__(self, **how):
+            self.made = made_by(**how)
+
+        def pre_tokenize_str(self, part):
+            calls.append(part)
+            return self.made.pre_tokenize_str(part)
+
+    made_by = pre_tokenizers.ByteLevel
+    monkeypatch.setattr(pre_tokenizers, "ByteLevel", Counted)
+    encode = bestfit.encoder()
+    before = len(calls)
+    for c in (chr(i) for i in range(33, 0x3000) if bestfit._USUAL.fullmatch(chr(i))):
+        for text in (c, f"x{c}", f"{c}{c}Y {c}1"):
+            assert [*encode(text), 0] == ids_of(text)
+    assert len(calls) == before
+
+
 def fewest(sizes, capacity):
     """The fewest bins, by trying all."""
     best = len(sizes)
