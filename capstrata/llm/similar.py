@@ -5,8 +5,12 @@ in common among the first n - ceil(0.8 n) + 1 of each, whatever the order is, as
 shingles that are frequent in a sample of the texts come last, and hashes order the rest. So a passage that many texts
 share brings none of them together by itself.
 
-Classes with a shingle of their prefixes in common are a block. First each class is compared, by its whole set, with
-the one that stands for most of its blocks, then in large blocks those outside the largest group with some others of it;
+SimHash and pigeonring come first: each class has a fingerprint of its shingles, and those of one fingerprint, and of
+fingerprints that pigeonring finds within two bits, are compared by their whole sets. No number of bits of 64 tells
+the similarity of 0.8 from less, so what pigeonring leaves apart is searched by prefixes, exactly.
+
+Classes with a shingle of their prefixes in common are a block. With the first pairs, the first class of each
+fingerprint is compared with the one that stands for most of its blocks, then in large blocks those outside the largest group with some others of it;
 what is connected then needs no further pairs. Of the rest those pairs of a block are met that may link two groups (in large blocks each class outside the largest group with every class of
 another). A pair is met once for each run of shingles that follow each other in both prefixes, not for each shingle;
 where a shingle stands in the two sets bounds what they may have in common, and parity sketches bound by how much they
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capstrata.llm import pigeonring
 from capstrata.llm.common import connected_components, cut, in_parts, new_folder
 
 SEED, WORDS = 42, 5
@@ -195,7 +200,7 @@ def _frequent(docs: DataFrame, block_limit: int, sample: int) -> np.ndarray:
 
 def _prints(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """The columns of docs but for text, and of each row fp: its class, n: the size of its set; sketch and wide: its sketches,
-    prefix: the prefix in the order of all, early: how many of it are not frequent. These last are null where the task
+    simhash: its fingerprint, prefix: the prefix in the order of all, early: how many of it are not frequent. These last are null where the task
     has given them for the same class before. Written once, in the shared folder.
     """
     others = [c for c in docs.columns if c != "text"]
@@ -208,24 +213,25 @@ def _prints(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for found in shingle_sets(batch.column("text").to_pylist()):
                 fp = class_of(found)
                 if fp in known:
-                    rows.append((fp, len(found), None, None, None, None))
+                    rows.append((fp, len(found), None, None, None, None, None))
                     continue
                 if len(known) >= _KNOWN:
                     known.clear()
                 known.add(fp)
                 ordered, early = _ordered(found, shared.value)
                 first = _prefix_length(len(found))
-                rows.append((fp, len(found), parity_sketch(found), parity_sketch(found, wide_words(len(found))), ordered[:first].view(np.int64), min(first, early)))
+                simhash = np.uint64(pigeonring.majority(found)).astype(np.int64)
+                rows.append((fp, len(found), simhash, parity_sketch(found), parity_sketch(found, wide_words(len(found))), ordered[:first].view(np.int64), min(first, early)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_PRINT)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(list(c), kind) for c, kind in zip(columns, _PRINT.values(), strict=True))], names=[*others, *_PRINT])
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
     path = new_folder(docs.sparkSession, "prints")
-    docs.mapInArrow(batches, schema + ", fp long, n int, sketch array<long>, wide array<long>, prefix array<long>, early int").write.parquet(path)
+    docs.mapInArrow(batches, schema + ", fp long, n int, simhash long, sketch array<long>, wide array<long>, prefix array<long>, early int").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-_PRINT = {"fp": pa.int64(), "n": pa.int32(), "sketch": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "early": pa.int32()}
+_PRINT = {"fp": pa.int64(), "n": pa.int32(), "simhash": pa.int64(), "sketch": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "early": pa.int32()}
 
 
 def _members(prints: DataFrame) -> DataFrame:
@@ -350,14 +356,25 @@ def _first_of_run() -> Column:
     return F.col("prev").isNull() | F.col("other_prev").isNull() | (F.col("prev") != F.col("other_prev"))
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(fp, other): each class with the one that stands for most of its blocks, lengths allowing.
+def ring_pairs(prints: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(fp, other) of classes by their fingerprints: each with the first of the same one, and the first of each with that of one within two bits.
+
+    prints: fp, simhash; firsts: simhash, first: the first class of each. Fingerprints within two bits are found by pigeonring.
+    """
+    same = prints.join(firsts, "simhash").where("fp <> first").select("fp", F.col("first").alias("other"))
+    near = pigeonring.links(firsts.select(F.col("simhash").alias("fp"))).groupBy(F.col("dst").alias("simhash")).agg(F.min("src").alias("src"))
+    around = near.join(firsts.select(F.col("simhash").alias("src"), F.col("first").alias("other")), "src").join(firsts, "simhash")
+    return same.unionByName(around.select(F.col("first").alias("fp"), "other"))
+
+
+def _stars(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(fp, other): each of the asked classes (fp) with the one that stands for most of its blocks, lengths allowing.
 
     The one that stands for a block is the first by a hash, so that the blocks of one group mostly have the same.
     """
     first = F.min(F.struct(F.xxhash64("fp").alias("order"), F.col("fp").alias("other"), F.col("n").alias("other_n"))).alias("first")
     heads = cut(members.groupBy("token").agg(first).select("token", "first.other", "first.other_n"))
-    pairs = members.join(heads, "token").where(F.col("fp") != F.col("other")).where(_lengths())
+    pairs = members.join(asked, "fp", "left_semi").join(heads, "token").where(F.col("fp") != F.col("other")).where(_lengths())
     counted = pairs.groupBy("fp", "other", *_pair_sizes()).agg(F.count("*").alias("c")).where(_reachable())
     return counted.groupBy("fp").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
 
@@ -414,11 +431,14 @@ def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Dat
 
 
 def _linked(docs: DataFrame, block_limit: int, sample: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows with fp, links of the comparisons with heads, components (node, root) of those, links that join them further)."""
+    """(rows with fp, links of the comparisons by fingerprints and with heads, components (node, root) of those, links that join them further)."""
     prints = _prints(docs, _frequent(docs, block_limit, sample))
-    classes = cut(prints.where("sketch is not null").select("fp", "n", "sketch", "wide").dropDuplicates(["fp"]))
+    known = cut(prints.where("sketch is not null").select("fp", "n", "simhash", "sketch", "wide").dropDuplicates(["fp"]))
+    classes, fingerprints = known.drop("simhash"), known.select("fp", "simhash")
+    firsts = cut(fingerprints.groupBy("simhash").agg(F.min("fp").alias("first")))
     members = _members(prints)
-    first = _verified(_stars(members), docs, classes)
+    pairs = ring_pairs(fingerprints, firsts).unionByName(_stars(members, firsts.select(F.col("first").alias("fp"))))
+    first = _verified(pairs.distinct(), docs, classes)
     roots = cut(connected_components(first))
     second = _verified(_more_heads(members, classes, roots), docs, classes)
     roots = _joined(roots, second)

@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five words, similarity 0.8 or more): that of the smallest doc_id.
 
-    Links are exact (see similar.py): fingerprints of 64 bits cannot tell that similarity. Null and empty texts are one
+    Five-word SimHash fingerprints within two bits, found by pigeonring, are compared by whole sets first; as 64 bits
+    cannot tell that similarity, the links that this leaves are then found exactly (see similar.py). Null and empty texts are one
     component; of repeated rows one stays; a row without doc_id stays only where its component has none with one.
     """
     return simhash.deduplicate(docs)

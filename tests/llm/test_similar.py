@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from capstrata.llm import similar, simhash
 
@@ -64,3 +65,24 @@ def test_blocks_of_one_group_need_few_pairs(spark):
     docs = spark.createDataFrame([(i, " ".join([*group[:-1], f"x{i}"])) for i in range(400)], "doc_id long, text string")
     _, links = similar.similar(docs)
     assert links.count() < 2 * 400
+
+
+def test_pigeonring_comes_first_and_its_pairs_are_near(spark, monkeypatch):
+    """The stage searches fingerprints of five-word shingles by pigeonring; a class with one within two bits has a pair of such."""
+    from capstrata.llm import pigeonring
+
+    texts = made()
+    sets = {similar.class_of(s): s for s in similar.shingle_sets(list(texts.values()))}
+    prints = {fp: pigeonring.majority(s) for fp, s in sets.items()}
+    assert all(p == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for p, s in list(zip(prints.values(), sets.values(), strict=True))[:5])
+    rows = spark.createDataFrame([(fp, p - (1 << 64) if p >> 63 else p) for fp, p in prints.items()], "fp long, simhash long")
+    firsts = rows.groupBy("simhash").agg(F.min("fp").alias("first"))
+    pairs = [(r.fp, r.other) for r in similar.ring_pairs(rows, firsts).collect()]
+    assert pairs and all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
+    assert {x for pair in pairs for x in pair} == {a for a in prints if any(a != b and (prints[a] ^ prints[b]).bit_count() <= 2 for b in prints)}
+    assert len(pairs) <= len(prints)
+    searched, links = [], pigeonring.links
+    monkeypatch.setattr(pigeonring, "links", lambda fps: searched.append(fps.count()) or links(fps))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == set(plain_components(texts)[0].values())
+    assert searched == [len(set(prints.values()))]
