@@ -9,8 +9,8 @@ SimHash and pigeonring come first: each class has a fingerprint of its shingles,
 fingerprints that pigeonring finds within two bits, are compared by their whole sets. No number of bits of 64 tells
 the similarity of 0.8 from less, so what pigeonring leaves apart is searched by prefixes, exactly.
 
-Classes with a shingle of their prefixes in common are a block. With the first pairs, the first class of each
-fingerprint is compared with the one that stands for most of its blocks, then in large blocks those outside the largest group with some others of it;
+Classes with a shingle of their prefixes in common are a block. With the first pairs, each class is compared
+with the one that stands for most of its blocks, then in large blocks those outside the largest group with some others of it;
 what is connected then needs no further pairs. Of the rest those pairs of a block are met that may link two groups (in large blocks each class outside the largest group with every class of
 another). A pair is met once for each run of shingles that follow each other in both prefixes, not for each shingle;
 where a shingle stands in the two sets bounds what they may have in common, and parity sketches bound by how much they
@@ -364,17 +364,17 @@ def ring_pairs(prints: DataFrame, firsts: DataFrame) -> DataFrame:
     same = prints.join(firsts, "simhash").where("fp <> first").select("fp", F.col("first").alias("other"))
     near = pigeonring.links(firsts.select(F.col("simhash").alias("fp"))).groupBy(F.col("dst").alias("simhash")).agg(F.min("src").alias("src"))
     around = near.join(firsts.select(F.col("simhash").alias("src"), F.col("first").alias("other")), "src").join(firsts, "simhash")
-    return same.unionByName(around.select(F.col("first").alias("fp"), "other"))
+    return cut(same.unionByName(around.select(F.col("first").alias("fp"), "other")))
 
 
-def _stars(members: DataFrame, asked: DataFrame) -> DataFrame:
-    """(fp, other): each of the asked classes (fp) with the one that stands for most of its blocks, lengths allowing.
+def _stars(members: DataFrame) -> DataFrame:
+    """(fp, other): each class with the one that stands for most of its blocks, lengths allowing.
 
     The one that stands for a block is the first by a hash, so that the blocks of one group mostly have the same.
     """
     first = F.min(F.struct(F.xxhash64("fp").alias("order"), F.col("fp").alias("other"), F.col("n").alias("other_n"))).alias("first")
     heads = cut(members.groupBy("token").agg(first).select("token", "first.other", "first.other_n"))
-    pairs = members.join(asked, "fp", "left_semi").join(heads, "token").where(F.col("fp") != F.col("other")).where(_lengths())
+    pairs = members.join(heads, "token").where(F.col("fp") != F.col("other")).where(_lengths())
     counted = pairs.groupBy("fp", "other", *_pair_sizes()).agg(F.count("*").alias("c")).where(_reachable())
     return counted.groupBy("fp").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
 
@@ -437,7 +437,7 @@ def _linked(docs: DataFrame, block_limit: int, sample: int) -> tuple[DataFrame,
     classes, fingerprints = known.drop("simhash"), known.select("fp", "simhash")
     firsts = cut(fingerprints.groupBy("simhash").agg(F.min("fp").alias("first")))
     members = _members(prints)
-    pairs = ring_pairs(fingerprints, firsts).unionByName(_stars(members, firsts.select(F.col("first").alias("fp"))))
+    pairs = ring_pairs(fingerprints, firsts).unionByName(_stars(members))
     first = _verified(pairs.distinct(), docs, classes)
     roots = cut(connected_components(first))
     second = _verified(_more_heads(members, classes, roots), docs, classes)
