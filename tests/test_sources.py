@@ -251,6 +251,19 @@ def test_results_of_the_graph_do_not_grow_with_the_tables(spark, tmp_path):
     assert {(r.seq % 2, r.investor[-2:], r.investorLabel, r["class"]) for r in read.collect()} == {(0, "Q1", 'a "name"', None), (1, "Q2", 'a "name"', None)}
 
 
+def test_results_of_firms_do_not_grow_with_the_tables(spark, tmp_path):
+    """The firms that an ingest run lands lie in results of some 200 as well, and all are read back."""
+    suppliers = spark.range(4000).select(F.col("id").alias("s_suppkey"))
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    firms = suppliers.select(F.concat(F.lit("Q"), F.col("s_suppkey")).alias("investor"), F.concat(F.lit("Firm "), F.col("s_suppkey")).alias("investorLabel"), F.lit("C").alias("class")).withColumn("seq", F.col("investor"))
+    for name in landed.VARIABLES["firms"]:
+        firms = firms if name in firms.columns else firms.withColumn(name, F.lit(None).cast("string"))
+    folder = ingestion._land_bindings(spark, str(tmp_path), {"firms": firms}, f"file://{tmp_path}/graph")
+    assert max(len(json.loads(r.value)["results"]["bindings"]) for r in spark.read.text(f"{folder}/firms").collect()) < 300
+    read = landed.Graph(F.lit("2026-08-01").cast("date"), lines=True).firms(spark, folder)
+    assert read.select("external_id").distinct().count() == read.count() == 4000
+
+
 def test_classes_far_below_an_excluded_one_and_cycles(spark):
     excluded = v.EXCLUDED_CLASSES[0]
     chain = [(f"K{i}", graph.SUBCLASS, f"K{i - 1}" if i else excluded) for i in range(40)]
