@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from capstrata.functions.vocabulary import SEC_EDGAR
@@ -264,6 +265,34 @@ def test_results_of_firms_do_not_grow_with_the_tables(spark, tmp_path):
     assert read.select("external_id").distinct().count() == read.count() == 4000
 
 
+def test_a_result_is_landed_before_the_next_is_read():
+    """A task that lands results holds one of them, however many it has."""
+    read = []
+
+    def batches():
+        for part in range(3):
+            read.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array([part, part]), pa.array(['{"a": 1}', '{"a": 2}'])], names=["part", "b"])
+
+    lines = ingestion._result_lines(batches())
+    first = next(lines).column(0).to_pylist()
+    assert read == [0, 1] and [json.loads(x)["results"]["bindings"] for x in first] == [[{"a": 1}, {"a": 2}]]
+    assert sum(b.num_rows for b in lines) == 2
+
+
+def test_archives_of_rosters_do_not_grow_with_the_tables(spark, tmp_path):
+    """An archive has some 5000 advisers however many there are, and no adviser is lost on the way."""
+    spark.range(14_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    folder = ingestion._land_roster(spark, str(tmp_path), f"file://{tmp_path}/roster")
+    sizes = []
+    for path in (tmp_path / "roster").glob("*/*.zip"):
+        with zipfile.ZipFile(path) as archive:
+            sizes.append(archive.read("IA.CSV").count(b"\r\n") - 1)
+    assert max(sizes) < 6000
+    numbers = [r[0] for part in ("exempt", "registered") for r in roster.read_zipped(spark, f"{folder}/{part}", ("Organization CRD#",)).collect()]
+    assert len(numbers) == 7000 + 7000 + 1400 and set(numbers) == {str(k) for k in range(14_000)}
+
+
 def test_classes_far_below_an_excluded_one_and_cycles(spark):
     excluded = v.EXCLUDED_CLASSES[0]
     chain = [(f"K{i}", graph.SUBCLASS, f"K{i - 1}" if i else excluded) for i in range(40)]
