@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,24 +61,47 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def runs(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The run of DEPTH context bytes and a byte for each byte of texts, packed into integers, and where each text ends.
+#: Bytes between words, and A-Z lower-cased is what bytes.lower makes of it.
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def words_of(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts as tokens() has them: their bytes one after the other, where each begins (and the last ends), and the first word of each text."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    points = np.frombuffer(b"\n".join([*encoded, b""]).lower(), np.uint8)
+    inside = ~_BLANK[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    begin, end = edges[0::2], edges[1::2]
+    starts = np.cumsum([0, *(len(x) + 1 for x in encoded)])
+    return points[inside], np.concatenate([[0], np.cumsum(end - begin)]), np.searchsorted(begin, starts)
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run of DEPTH context bytes and a byte for each byte of texts (see words_of), packed into integers, and where each text ends.
 
     A text is its words with blanks between and a line break at its end; its first bytes have zeros for context.
     """
-    pad = b"\0" * DEPTH
-    joined = b"".join(pad + b" ".join(w) + _END for w in words)
-    points = np.frombuffer(joined, np.uint8).astype(np.int64)
-    n = len(points) - DEPTH
-    run = np.zeros(max(0, n), np.int64)
+    each = np.diff(first)
+    lengths = offsets[first[1:]] - offsets[first[:-1]] + np.maximum(each, 1)
+    ends = np.cumsum(lengths + DEPTH)  # the bytes of text i stand at ends[i] - lengths[i] to ends[i]
+    begin = ends - lengths
+    sizes = np.diff(offsets)
+    place = np.repeat(begin - offsets[first[:-1]] - first[:-1], each) + np.arange(len(sizes))  # of a word, less its offset
+    points = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    points[np.arange(len(data)) + np.repeat(place, sizes)] = data
+    points[place + offsets[1:]] = 32
+    points[ends - 1] = _END[0]
+    n = max(0, len(points) - DEPTH)
+    run = np.zeros(n, np.int64)
     for k in range(DEPTH + 1):
-        run = (run << 8) | points[k : k + n]
-    lengths = np.array([sum(map(len, w)) + max(0, len(w) - 1) + 1 for w in words], np.int64)
-    ends = np.cumsum(lengths + DEPTH) - DEPTH  # the bytes of text i stand at ends[i] - lengths[i] to ends[i]
-    keep = np.zeros(max(0, n) + 1, np.int64)
-    np.add.at(keep, ends - lengths, 1)
-    np.add.at(keep, ends, -1)
-    return run[np.cumsum(keep)[:-1] > 0], np.cumsum(lengths)
+        run <<= 8
+        run |= points[k : k + n]
+    keep = np.ones(len(points), bool)
+    keep[(begin[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+    return run[keep[DEPTH:]], np.cumsum(lengths)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -96,12 +120,30 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.int64))
 
 
-def _pack_tokens(own: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(own))
+def _token_list(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Tokens as an Arrow array, of their bytes and where each begins."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _token_bytes(own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of tokens and where each begins."""
+    offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _pack_tokens(own: pa.Array) -> bytes:
+    data, offsets = _token_bytes(own)
+    joined = np.full(len(data) + len(own) - 1, 32, np.uint8)
+    joined[np.arange(len(data)) + np.repeat(np.arange(len(own)), np.diff(offsets))] = data
+    return zstandard.ZstdCompressor(level=1).compress(joined.tobytes())
 
 
-def _unpack_tokens(data: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+def _unpack_tokens(data: bytes) -> pa.Array:
+    points = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    between = points == 32
+    at = np.flatnonzero(between)
+    return _token_list(points[~between], np.concatenate([[0], at - np.arange(len(at)), [len(points) - len(at)]]))
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +151,10 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
 def _mixed(run: np.ndarray) -> np.ndarray:
@@ -141,31 +185,45 @@ class Runs:
         return [values[np.searchsorted(known, k)] for k in asked]
 
 
+_HASH = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
 class Tokens:
-    """Lists of tokens: sorted bytes."""
+    """Lists of tokens: Arrow arrays of bytes."""
 
     pack, unpack = staticmethod(_pack_tokens), staticmethod(_unpack_tokens)
 
     @staticmethod
-    def merge(parts: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
-        total: Counter = Counter()
-        for keys, counts in parts:
-            total.update(dict(zip(keys, counts.tolist(), strict=True)))
-        own = sorted(total)
-        return own, np.array([total[t] for t in own], np.int64)
+    def merge(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        if not parts:
+            return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        found = pa.concat_arrays([k for k, _ in parts]).dictionary_encode()
+        own, counts = found.dictionary, np.bincount(found.indices.to_numpy(), np.concatenate([c for _, c in parts]), len(found.dictionary)).astype(np.int64)
+        # in the order of their first bytes, so that they pack well
+        data, offsets = _token_bytes(own)
+        sizes, padded, begin = np.diff(offsets), np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64), np.zeros(len(own), np.uint64)
+        for k in range(8):
+            begin = (begin << np.uint64(8)) | np.where(sizes > k, padded[offsets[:-1] + k], 0).astype(np.uint64)
+        order = np.argsort(begin)
+        return own.take(pa.array(order)), counts[order]
 
     @staticmethod
-    def digits(keys: list[bytes], level: int) -> np.ndarray:
-        return np.array([zlib.crc32(k) for k in keys], np.int64) // FAN**level % FAN
+    def digits(keys: pa.Array, level: int) -> np.ndarray:
+        data, offsets = _token_bytes(keys)
+        with np.errstate(over="ignore"):
+            place = (np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))) & 63
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * _HASH[place], dtype=np.uint64)])
+            h = (total[offsets[1:]] - total[offsets[:-1]]) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(24)).astype(np.int64) // FAN**level % FAN
 
     @staticmethod
-    def take(keys: list[bytes], at: np.ndarray) -> list[bytes]:
-        return [keys[i] for i in at]
+    def take(keys: pa.Array, at: np.ndarray) -> pa.Array:
+        return keys.take(pa.array(at))
 
     @staticmethod
-    def answer(keys: list[list[bytes]], answers: list[np.ndarray], asked: list[list[bytes]]) -> list[np.ndarray]:
-        known = {k: v for own, values in zip(keys, answers, strict=True) for k, v in zip(own, values.tolist(), strict=True)}
-        return [np.fromiter(map(known.__getitem__, k), np.float64, len(k)) for k in asked]
+    def answer(keys: list[pa.Array], answers: list[np.ndarray], asked: list[pa.Array]) -> list[np.ndarray]:
+        at = pc.index_in(pa.concat_arrays(asked), value_set=pa.concat_arrays(keys)).to_numpy(zero_copy_only=False)
+        return np.split(np.concatenate(answers)[at], np.cumsum([len(k) for k in asked])[:-1])
 
 
 def _dealt(kind, keys, counts: np.ndarray, level: int, shelf: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -181,38 +239,33 @@ def _dealt(kind, keys, counts: np.ndarray, level: int, shelf: int) -> Iterator[t
 def _requests(docs: pd.DataFrame) -> pd.DataFrame:
     """What a block asks for, dealt to the shelves of the first level."""
     block = int(docs["block"].iloc[0])
-    counted: dict[bool, list] = {True: [], False: []}
-    known: Counter = Counter()
-    all_tokens: set[bytes] = {b""}
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    own: list[tuple[pa.Array, np.ndarray]] = []
     batch: dict[bool, list] = {True: [], False: []}
     size = 0
 
     def flush() -> None:
-        for out, words in batch.items():
-            if words:
-                counted[out].append(np.unique(runs(words)[0], return_counts=True))
-                words.clear()
+        for out, texts in batch.items():
+            if texts:
+                data, offsets, first = words_of(texts)
+                found, n = np.unique(runs(data, offsets, first)[0], return_counts=True)
+                grams.append((found, n * (not out)))
+                words = _token_list(data, offsets).dictionary_encode()
+                own.append((words.dictionary, np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)) * (not out)))
+                own.append((pa.array([b""], pa.large_binary()), np.array([len(texts) * (not out)])))
+                texts.clear()
 
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
-        words, out = tokens(text), held_out(None if pd.isna(doc_id) else int(doc_id))
-        if out:
-            all_tokens.update(words)
-        else:
-            known.update(words)
-            known[b""] += 1
-        batch[out].append(words)
+        batch[held_out(None if pd.isna(doc_id) else int(doc_id))].append(text)
         size += len(text or "")
         if size > 1 << 21:
             flush()
             size = 0
     flush()
-    trained, n = _merge(counted[False])
-    needed = np.union1d(trained, _merge(counted[True])[0])
-    counts = np.zeros(len(needed), np.int64)
-    counts[np.searchsorted(needed, trained)] = n
-    own = sorted(all_tokens.union(known))
+    needed, counts = _merge(grams)
+    words, known = Tokens.merge(own)
     rows = [(shelf, block, _GRAMS, keys, c) for shelf, keys, c in _dealt(Runs, needed, counts, 0, 0)]
-    rows += [(shelf, block, _TOKENS, keys, c) for shelf, keys, c in _dealt(Tokens, own, np.array([known[t] for t in own], np.int64), 0, 0)]
+    rows += [(shelf, block, _TOKENS, keys, c) for shelf, keys, c in _dealt(Tokens, words, known, 0, 0)]
     return pd.DataFrame(rows, columns=["shelf", "member", "kind", "keys", "counts"])
 
 
@@ -322,10 +375,14 @@ def bit_nodes(run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def deep_levels(run: np.ndarray, counts: np.ndarray) -> list[Level]:
     """Levels of depth DEPTH up to ROOTED (in this order) of the runs of a part."""
-    each = bit_nodes(run)
-    keys, place = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-    bits, n = np.concatenate([b for _, b in each]), np.tile(counts, 8)
-    levels = [Level(keys, np.bincount(place, n * (1 - bits), len(keys)), np.bincount(place, n * bits, len(keys)), None)]
+    nodes = []
+    for node, bit in bit_nodes(run):  # sorted, as the runs are; those of two bits are never the same
+        at = np.flatnonzero(np.diff(node, prepend=-1))
+        ones, total = (np.add.reduceat(x, at) if len(at) else x for x in (counts * bit, counts))
+        nodes.append((node[at], total - ones, ones))
+    keys, zeros, ones = (np.concatenate(x) for x in zip(*nodes, strict=True))
+    order = np.argsort(keys)
+    levels = [Level(keys[order], zeros[order].astype(np.float64), ones[order].astype(np.float64), None)]
     for depth in range(DEPTH, ROOTED, -1):
         levels.append(levels[-1].above(depth))
     return levels
@@ -399,31 +456,31 @@ def _run_model(merged: pd.DataFrame, shallow: pd.DataFrame) -> pd.DataFrame:
 
 
 class Lookup:
-    """Values by integer key: one probe of a table, then a search among the keys that another key kept out of it."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = np.uint64(64 - max(8, int(2 * len(keys)).bit_length()))
-        self.slots = np.full(1 << (64 - int(self.bits)), -1, np.int64)
-        self.values = np.zeros(len(self.slots))
+    """Values by integer key: one probe of a table, then of a smaller one of the keys that another key kept out of it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, mix: int = 0x9E3779B97F4A7C15):
+        self.bits, self.mix = np.uint64(64 - max(8, int(2 * len(keys)).bit_length())), np.uint64(mix)
+        # key and value lie side by side, as the two halves of one number, so that a probe fetches both
+        self.table = np.zeros(1 << (64 - int(self.bits)), np.complex128)
+        slots, held = self.table.view(np.int64)[0::2], self.table.view(np.float64)[1::2]
+        slots[:] = -1
         at = self._slot(keys)
-        self.slots[at], self.values[at] = keys, values
-        out = self.slots[at] != keys
-        order = np.argsort(keys[out])
-        self.rest, self.rest_values = keys[out][order], values[out][order]
+        slots[at] = keys
         # the last writer of a slot wins; its value must be its own
-        won = ~out
-        self.values[at[won]] = values[won]
+        won = slots[at] == keys
+        held[at[won]] = values[won]
+        self.rest = None if won.all() else Lookup(keys[~won], values[~won], mix * 0xD6E8FEB86659FD93 % (1 << 64))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+            return ((keys.astype(np.uint64) * self.mix) >> self.bits).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        out = self.values[at]
-        miss = np.flatnonzero(self.slots[at] != keys)
+        found = self.table[self._slot(keys)]
+        out = found.view(np.float64)[1::2].copy()
+        miss = np.flatnonzero(found.view(np.int64)[0::2] != keys)
         if len(miss):
-            out[miss] = self.rest_values[np.searchsorted(self.rest, keys[miss])]
+            out[miss] = self.rest(keys[miss])
         return out
 
 
@@ -438,39 +495,49 @@ def _score(train_tokens: int, vocabulary: int):
             return pd.DataFrame({c: [] for c in _COLUMNS})
         grams, counts = answers[answers["kind"] == _GRAMS], answers[answers["kind"] == _TOKENS]
         lookup = Lookup(np.concatenate([_unpack_sorted(k) for k in grams["keys"]]), np.concatenate([_unpack(a, np.float64) for a in grams["answers"]]))
-        value: dict[bytes, float] = {}
-        for keys, found in zip(counts["keys"], counts["answers"], strict=True):
-            logs = np.log10((_unpack(found, np.int64) + 1) / spread)
-            value.update(zip(_unpack_tokens(keys), logs.tolist(), strict=True))
-        unknown = math.log10(1 / spread)
-        rows: list[tuple] = []
-        words, ids, size = [], [], 0
+        own, times = pa.concat_arrays([_unpack_tokens(k) for k in counts["keys"]]), np.concatenate([_unpack(a, np.int64) for a in counts["answers"]])
+        logs = np.log10((times + 1) / spread)
+        end = pc.index_in(pa.array([b""], pa.large_binary()), value_set=own)[0].as_py()
+        texts, ids, size, words, firsts, scored = [], [], 0, [], [], []
 
         def flush() -> None:
-            if not words:
+            if not texts:
                 return
-            run, ends = runs(words)
+            data, offsets, first = words_of(texts)
+            run, ends = runs(data, offsets, first)
             found = lookup(run)
             at = np.concatenate([[0], ends])
-            total, rare = np.concatenate([[0.0], np.cumsum(-np.abs(found))])[at], np.concatenate([[0], np.cumsum(found > 0)])[at]
-            for i, (w, doc_id) in enumerate(zip(words, ids, strict=True)):
-                logs = np.fromiter(map(value.__getitem__, [*w, b""]), np.float64, len(w) + 1)
-                score = total[i + 1] - total[i]
-                length = ends[i] - (ends[i - 1] if i else 0)
-                rows.append((doc_id, held_out(doc_id), len(w) + 1, int((logs > unknown * (1 - 1e-12)).sum()), train_tokens, float(logs.sum()), float(score), float(-score * _LOG10 / _LN2 / length), float((rare[i + 1] - rare[i]) / length)))
-            words.clear()
-            ids.clear()
+            score, rare = np.diff(np.concatenate([[0.0], np.cumsum(-np.abs(found))])[at]), np.diff(np.concatenate([[0], np.cumsum(found > 0)])[at])
+            length = np.diff(at)
+            words.append(_token_list(data, offsets).dictionary_encode())
+            firsts.append(first)
+            scored.append((score, -score * _LOG10 / _LN2 / length, rare / length))
+            texts.clear()
 
         for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
-            words.append(tokens(text))
+            texts.append(text)
             ids.append(None if pd.isna(doc_id) else int(doc_id))
             size += len(text or "")
-            if size > 1 << 20:
+            if size > 1 << 21:
                 flush()
                 size = 0
         flush()
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        return out.astype({"doc_id": "Int64"})
+        # the tokens of all texts are looked up at once, each that a batch has
+        places = pc.index_in(pa.concat_arrays([w.dictionary for w in words]), value_set=own).to_numpy(zero_copy_only=False)
+        bases, knowns, tokens_of = [], [], []
+        for w, first, place in zip(words, firsts, np.split(places, np.cumsum([len(w.dictionary) for w in words])[:-1]), strict=True):
+            n, at = np.diff(first), w.indices.to_numpy()
+            base, known = np.full(len(n), logs[end]), np.full(len(n), int(times[end] > 0))
+            if len(at):
+                some = n > 0
+                base[some] += np.add.reduceat(logs[place][at], first[:-1][some])
+                known[some] += np.add.reduceat((times[place] > 0).astype(np.int64)[at], first[:-1][some])
+            bases.append(base)
+            knowns.append(known)
+            tokens_of.append(n + 1)
+        score, bits, rare = (np.concatenate(x) for x in zip(*scored, strict=True))
+        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": list(map(held_out, ids)), "n_tokens": np.concatenate(tokens_of), "n_known": np.concatenate(knowns), "train_tokens": train_tokens, "base_score": np.concatenate(bases), "score": score, "bits_per_byte": bits, "rare_share": rare})
+        return out[_COLUMNS]
 
     return of_block
 

@@ -161,3 +161,25 @@ def test_a_copied_text_has_no_rare_bytes(spark):
     rows = [(i, t) for i, t in zip(trained, [*texts, texts[0]], strict=True)]
     got = {r.doc_id: r.rare_share for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[trained[0]] == got[trained[-1]] == 0 and min(got[i] for i in trained[1:-1]) > 0.3
+
+
+ODD = ["a B\x0bc\x00 d", None, "", " \t\n", "É x" * 3, "\x1fa\x1c b", "\ud800 z", "end\n", "long" * 500]
+
+
+def test_words_of_many_texts_are_those_of_each():
+    data, offsets, first = ctw.words_of(ODD)
+    words = ctw._token_list(data, offsets).to_pylist()
+    assert [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == [ctw.tokens(t) for t in ODD]
+    run, ends = ctw.runs(data, offsets, first)
+    whole = [b"\0" * ctw.DEPTH + b" ".join(ctw.tokens(t)) + b"\n" for t in ODD]
+    assert run.tolist() == [int.from_bytes(w[i : i + ctw.DEPTH + 1]) for w in whole for i in range(len(w) - ctw.DEPTH)]
+    assert np.diff(ends, prepend=0).tolist() == [len(w) - ctw.DEPTH for w in whole]
+
+
+def test_lists_of_tokens_are_packed_dealt_and_answered():
+    own, counts = ctw.Tokens.merge([(ctw.pa.array(x, ctw.pa.large_binary()), np.array(n)) for x, n in (([b"b", b"", b"abcdefghij"], [1, 2, 3]), ([b"", b"zz"], [5, 7]))])
+    assert dict(zip(own.to_pylist(), counts.tolist(), strict=True)) == {b"b": 1, b"": 7, b"abcdefghij": 3, b"zz": 7}
+    assert ctw.Tokens.unpack(ctw.Tokens.pack(own)).equals(own) and ctw.Tokens.unpack(ctw.Tokens.pack(own[:1])).equals(own[:1])
+    dealt = [ctw.Tokens.unpack(keys) for _, keys, _ in ctw._dealt(ctw.Tokens, own, counts, 0, 0)]
+    assert sorted(t for part in dealt for t in part.to_pylist()) == sorted(own.to_pylist())
+    assert [x.tolist() for x in ctw.Tokens.answer([own[:2], own[2:]], [counts[:2], counts[2:]], [own[::-1], own[:0], own[1:2]])] == [counts[::-1].tolist(), [], counts[1:2].tolist()]
