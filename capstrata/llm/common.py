@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to drop what ended plans hold: their rows and generated classes, and the shuffles and checkpoints that Spark clears after that.
+
+    A search of many small plans fills the heap with them long before they are collected.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that Python objects of few texts exist at once; what Arrow has freed goes back."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capstrata.llm import ngrams
-from capstrata.llm.common import in_parts, read_table
+from capstrata.llm.common import in_parts, read_table, release
 from capstrata.llm.ngrams import Grams, Layout
 
 #: At most so many labelled rows are fitted on; the first by a hash of their id.
@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Qualit
 
     A null text is empty, repeated rows of a document count once. Without rows of both classes see fit().
     """
-    return fit(labelled_features(docs, labels, rows))
+    found = labelled_features(docs, labels, rows)
+    release(docs.sparkSession)  # the fit has the driver's memory to itself
+    return fit(found)
 
 
 def score(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM, carry: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capstrata.llm import pigeonring
-from capstrata.llm.common import connected_components, cut, in_parts, new_folder
+from capstrata.llm.common import connected_components, cut, in_parts, new_folder, release
 
 SEED, WORDS = 42, 5
 #: A shingle of more classes is frequent, and a block of more classes is large.
@@ -437,12 +437,19 @@ def _linked(docs: DataFrame, block_limit: int, sample: int) -> tuple[DataFrame,
     classes, fingerprints = known.drop("simhash"), known.select("fp", "simhash")
     firsts = cut(fingerprints.groupBy("simhash").agg(F.min("fp").alias("first")))
     members = _members(prints)
-    pairs = ring_pairs(fingerprints, firsts).unionByName(_stars(members))
-    first = _verified(pairs.distinct(), docs, classes)
+    release(docs.sparkSession)
+    pairs = cut(ring_pairs(fingerprints, firsts).unionByName(_stars(members)).distinct())
+    release(docs.sparkSession)
+    first = _verified(pairs, docs, classes)
+    release(docs.sparkSession)
     roots = cut(connected_components(first))
+    release(docs.sparkSession)
     second = _verified(_more_heads(members, classes, roots), docs, classes)
+    release(docs.sparkSession)
     roots = _joined(roots, second)
+    release(docs.sparkSession)
     further = _verified(_open_pairs(members, classes, roots), docs, classes)
+    release(docs.sparkSession)
     return prints.drop(*(c for c in _PRINT if c != "fp")), first.unionByName(second), roots, further
 
 

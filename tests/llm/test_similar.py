@@ -86,3 +86,13 @@ def test_pigeonring_comes_first_and_its_pairs_are_near(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == set(plain_components(texts)[0].values())
     assert searched == [len(set(prints.values()))]
+
+
+def test_the_driver_is_asked_to_release_memory_between_the_searches(spark, monkeypatch):
+    """Ended plans do not pile up in the driver: memory is released after each of the searches, and the result is whole."""
+    asked = []
+    monkeypatch.setattr(similar, "release", asked.append)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(text,), (text + " x",), ("other words than these are here now",)], "text string")
+    prints, roots = similar.grouped(docs)
+    assert len(asked) >= 6 and prints.count() == 3 and roots.count() == 2
