@@ -93,6 +93,6 @@ def test_the_driver_is_asked_to_release_memory_between_the_searches(spark, monke
     asked = []
     monkeypatch.setattr(similar, "release", asked.append)
     text = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(text,), (text + " x",), ("other words than these are here now",)], "text string")
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words than these are here now")], "doc_id long, text string")
     prints, roots = similar.grouped(docs)
     assert len(asked) >= 6 and prints.count() == 3 and roots.count() == 2
