@@ -39,17 +39,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, materialised in the shared checkpoint folder: lineage ends here and lost executors cost nothing."""
+    """The same rows, materialised in the shared checkpoint folder: lineage ends here and lost executors cost nothing.
+
+    What the plan has left in the driver goes when it has ended, where that is much (see release).
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    release(df.sparkSession, USED)
+    return found
+
+
+#: The share of the driver's heap that ended plans may fill before cut() asks to drop them.
+USED = 0.25
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, used: float = 0) -> None:
     """Asks the driver's JVM to drop what ended plans hold: their rows and generated classes, and the shuffles and checkpoints that Spark clears after that.
 
-    A search of many small plans fills the heap with them long before they are collected.
+    A search of many small plans fills the heap with them long before they are collected, and the heap stays as large as it
+    was once; used: the share of the largest heap that must be in use, else nothing is asked.
     """
-    spark.sparkContext._jvm.java.lang.System.gc()
+    java = spark.sparkContext._jvm.java.lang
+    heap = java.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() >= used * heap.maxMemory():
+        java.System.gc()
 
 
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

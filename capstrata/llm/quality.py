@@ -27,6 +27,8 @@ KEEP_FROM = 0.3
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 0.2, 5
 SYMBOLS = "#*$%&|<>"
 GRAMS = Grams(chars=(1, 2, 3), words=(1, 2), bits=15)
+#: Entries of rows that the fit works on at once.
+_PART = 1 << 16
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -126,6 +128,20 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int) -> list:
     return list({r.doc_id: (r.good, np.frombuffer(r.columns, np.int32), np.frombuffer(r.shares, np.float32)) for r in sorted(made, key=lambda r: (r.doc_id, r.columns, r.shares))}.values())
 
 
+def _parts(ptr: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """The rows in parts of bounded size, each with its entries: temporary arrays are as long as a part, not as all rows. A longer row is a part."""
+    first = 0
+    while first < len(ptr) - 1:
+        last = max(first + 1, int(np.searchsorted(ptr, ptr[first] + _PART, "right")) - 1)
+        yield slice(first, last), slice(int(ptr[first]), int(ptr[last]))
+        first = last
+
+
+def _owners(ptr: np.ndarray, some: slice) -> np.ndarray:
+    """For each entry of these rows the row it belongs to, from 0."""
+    return np.repeat(np.arange(some.stop - some.start), np.diff(ptr[some.start : some.stop + 1]))
+
+
 def fit(rows: list, epochs: int = 60, l2: float = 1e-4) -> QualityModel:
     """Logistic regression by full-batch AdaGrad on four fifths of the rows, calibrated on the rest.
 
@@ -139,27 +155,35 @@ def fit(rows: list, epochs: int = 60, l2: float = 1e-4) -> QualityModel:
         held[:] = False
     y = np.array([r[0] for r in rows], np.float64)
     ptr = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
-    index, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), np.diff(ptr))
-    square = np.bincount(index, share * share, GRAMS.size)
+    index, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows], dtype=np.float64)
+    parts = list(_parts(ptr))
+    square = np.zeros(GRAMS.size)
+    for _, at in parts:
+        np.add.at(square, index[at], value[at] * value[at])
     scale = 1 / (np.sqrt(square / len(rows)) + 1e-4)
-    value = share * scale[index] / np.sqrt(5 * 400)
-    fitted = ~held[owner]
-    fi, fv, fo = index[fitted], value[fitted], owner[fitted]
+    for _, at in parts:
+        value[at] *= scale[index[at]]
+    value /= np.sqrt(5 * 400)
     w, b = np.zeros(GRAMS.size), 0.0
     gw, gb = np.full(GRAMS.size, 1e-8), 1e-8
     balance = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
     balance[held] = 0
+
+    def scores() -> np.ndarray:
+        return np.concatenate([np.bincount(_owners(ptr, some), value[at] * w[index[at]], some.stop - some.start) for some, at in parts]) + b
+
     for _ in range(epochs):
-        z = np.bincount(fo, fv * w[fi], len(rows)) + b
-        error = (ngrams.sigmoid(z) - y) * balance
-        g = np.bincount(fi, fv * error[fo], GRAMS.size) + l2 * w
+        error = (ngrams.sigmoid(scores()) - y) * balance  # zero for held rows
+        g = np.zeros(GRAMS.size)
+        for some, at in parts:
+            np.add.at(g, index[at], value[at] * error[some][_owners(ptr, some)])
+        g += l2 * w
         gw += g * g
         gb += error.sum() ** 2
         w -= 0.3 * g / np.sqrt(gw)
         b -= 0.3 * error.sum() / np.sqrt(gb)
     model = QualityModel((w * scale / np.sqrt(5 * 400)).astype(np.float32)[:, None], b)
-    z = np.bincount(owner, value * w[index], len(rows)) + b
+    z = scores()
     use = held if len({*y[held]}) == 2 else ~held
     slope, offset = platt(z[use], y[use])
     model.slope, model.offset = slope, offset

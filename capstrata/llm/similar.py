@@ -384,7 +384,7 @@ def _open_blocks(members: DataFrame, classes: DataFrame, roots: DataFrame, large
     tagged = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "sketch")
     grouped = cut(members.where("late" if large else "not late").select("token", *_MEMBER).join(tagged, "fp"))
     shares = grouped.groupBy("token", "root").agg(F.count("*").alias("m"))
-    most = shares.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    most = cut(shares.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1"))
     return grouped.join(most, "token")
 
 
@@ -402,8 +402,8 @@ def _more_heads(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Dat
     heads = open_.where("root = most").withColumn("at", F.row_number().over(few)).where(F.col("at") <= HEADS)
     pairs = open_.where("root <> most").join(_other(heads), "token").where(_may_be_alike()).select("fp", "other").distinct()
     chosen = Window.partitionBy("fp").orderBy(F.xxhash64("fp", "other"), "other")
-    some = pairs.withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= 2 * HEADS)
-    return some.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
+    some = cut(pairs).withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= 2 * HEADS)
+    return cut(some.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct())
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -416,7 +416,10 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, other), distinct, of classes of two groups that may be alike by their places and short sketches."""
+    """(fp, other), distinct, of classes of two groups that may be alike by their places and short sketches.
+
+    The pairs of small and of large blocks are written one after the other: the driver holds one short plan at a time.
+    """
     found = []
     for large in (False, True):
         open_ = _open_blocks(members, classes, roots, large)
@@ -426,8 +429,8 @@ def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Dat
         else:
             pairs = open_.join(_other(open_), "token")
             apart = (F.col("root") != F.col("other_root")) & (F.col("fp") < F.col("other"))
-        found.append(pairs.where(apart & _first_of_run() & _may_be_alike()).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")))
-    return found[0].unionByName(found[1]).distinct()
+        found.append(cut(pairs.where(apart & _first_of_run() & _may_be_alike()).select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()))
+    return cut(found[0].unionByName(found[1]).distinct())
 
 
 def _linked(docs: DataFrame, block_limit: int, sample: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -1,8 +1,10 @@
 """Quality rules: counts against a plain version, the classifier on rows it has not seen."""
 
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from capstrata.llm import ngrams, quality
@@ -69,3 +71,22 @@ def test_very_long_text():
     text = "lorem ipsum dolor " * 200_000
     layout = ngrams.Layout.of([text])
     assert quality.counts([text], layout, ngrams.words(layout))["n_repeat_words"][0] == 600_000
+
+
+def test_the_fit_needs_little_more_memory_than_its_entries():
+    """Temporary arrays are as long as a part of the entries; parts of any size give the same model."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(600):
+        n = int(rng.integers(1, 4000))
+        rows.append((i % 3 == 0, np.sort(rng.choice(quality.GRAMS.size, n, replace=False)).astype(np.int32), rng.random(n).astype(np.float32)))
+    tracemalloc.start()
+    model = quality.fit(rows, epochs=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(len(r[1]) for r in rows)  # 61 before
+    whole, quality._PART = quality._PART, 1
+    try:
+        assert np.array_equal(quality.fit(rows, epochs=3).weights, model.weights)
+    finally:
+        quality._PART = whole

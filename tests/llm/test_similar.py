@@ -96,3 +96,35 @@ def test_the_driver_is_asked_to_release_memory_between_the_searches(spark, monke
     docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words than these are here now")], "doc_id long, text string")
     prints, roots = similar.grouped(docs)
     assert len(asked) >= 6 and prints.count() == 3 and roots.count() == 2
+
+
+def test_each_plan_is_followed_by_a_look_at_the_drivers_heap_and_no_plan_is_long(spark, monkeypatch):
+    """cut() asks to drop ended plans where they fill much of the heap, and pairs are written by several plans of a few joins."""
+    from capstrata.llm import common
+
+    asked, joins = [], []
+    plain = common.release
+    monkeypatch.setattr(common, "release", lambda *a: asked.append(a) or plain(*a))
+
+    def seen(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return common.cut(df)
+
+    monkeypatch.setattr(similar, "cut", seen)
+    texts = made()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 3).collect()} == plain_components(texts)[0]
+    assert len(asked) >= len(joins) and all(a[1:] == (common.USED,) for a in asked)
+    assert max(joins) <= 4, joins
+
+
+def test_release_asks_only_where_much_of_the_heap_is_in_use(spark):
+    from capstrata.llm import common
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.release(spark, 1.5)
+    assert full() == before
+    common.release(spark)
+    assert full() == before + 1
