@@ -49,7 +49,21 @@ def cut(df: DataFrame) -> DataFrame:
     return found
 
 
-#: The share of the driver's heap that ended plans may fill before cut() asks to drop them.
+def landed(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read again, so that their size is that of the files.
+
+    A checkpoint keeps the size that its plan was estimated to have, and a join's estimate is the product of those of its
+    sides: in rounds of joins behind checkpoints that number gets several times as many digits in each, until numbers
+    of megabytes are multiplied for each plan and kept with each checkpoint, all in the driver. What goes from round to
+    round is landed. The files stay as long as the folder, so this is for rows of a few numbers.
+    """
+    path = new_folder(df.sparkSession, "landed")
+    df.write.parquet(path)
+    release(df.sparkSession, USED)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: The share of the driver's heap that ended plans may fill before cut() and landed() ask to drop them.
 USED = 0.25
 
 
@@ -102,9 +116,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     node of its component. Minima are pre-aggregated before each shuffle, and both sides of each join are plain
     exchanges, so that adaptive execution splits the rows of a hub. A round starts only while some node is neither a
     root nor hung on one alone, which one aggregation tells; so edges that are stars already need none. Rounds grow
-    with the logarithm of the number of nodes; what has not settled after max_rounds fails the job.
+    with the logarithm of the number of nodes; what has not settled after max_rounds fails the job. Edges are
+    landed in each round, so that estimated sizes do not grow with the rounds (see landed).
     """
-    edges = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    edges = landed(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
         if ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").isEmpty():
@@ -116,7 +131,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         down = cut(large.groupBy("u").agg(F.min("v").alias("w")))
         moved = large.join(down, "u").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        edges = cut(moved.unionByName(down.select("u", F.col("w").alias("v"))).distinct())
+        edges = landed(moved.unionByName(down.select("u", F.col("w").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capstrata.llm import pigeonring
-from capstrata.llm.common import connected_components, cut, in_parts, new_folder, release
+from capstrata.llm.common import connected_components, cut, in_parts, landed, new_folder, release
 
 SEED, WORDS = 42, 5
 #: A shingle of more classes is frequent, and a block of more classes is large.
@@ -315,7 +315,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     left = pairs.join(sets.select("fp", F.col("hashes").alias("mine")), "fp")
     both = left.join(sets.select(F.col("fp").alias("other"), F.col("hashes").alias("theirs")), "other")
     sized = both.withColumns({"n": F.size("mine"), "other_n": F.size("theirs")})
-    return cut(sized.where(_alike(F.size(F.array_intersect("mine", "theirs")))).select(F.col("fp").alias("src"), F.col("other").alias("dst")))
+    return landed(sized.where(_alike(F.size(F.array_intersect("mine", "theirs")))).select(F.col("fp").alias("src"), F.col("other").alias("dst")))
 
 
 _MEMBER = ("fp", "n", "pos", "before", "prev")
@@ -412,7 +412,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
         links = links.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     above = cut(connected_components(links))
     lifted = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return cut(lifted.unionByName(above.join(roots.select("node"), "node", "left_anti")))
+    return landed(lifted.unionByName(above.join(roots.select("node"), "node", "left_anti")))
 
 
 def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def _linked(docs: DataFrame, block_limit: int, sample: int) -> tuple[DataFrame,
     release(docs.sparkSession)
     first = _verified(pairs, docs, classes)
     release(docs.sparkSession)
-    roots = cut(connected_components(first))
+    roots = landed(connected_components(first))
     release(docs.sparkSession)
     second = _verified(_more_heads(members, classes, roots), docs, classes)
     release(docs.sparkSession)

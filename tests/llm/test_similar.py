@@ -128,3 +128,22 @@ def test_release_asks_only_where_much_of_the_heap_is_in_use(spark):
     assert full() == before
     common.release(spark)
     assert full() == before + 1
+
+
+def estimate(df):
+    """Bits of the size that a plan is estimated to have."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    """The driver multiplies and keeps such numbers for each plan; a checkpoint hands them on, and each join adds their digits."""
+    from capstrata.llm import common
+
+    ids = random.Random(1).sample(range(10_000), 300)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
+    found = common.connected_components(edges)
+    assert {tuple(r) for r in found.collect()} == {(i, min(ids)) for i in ids}
+    assert estimate(found) < 100
+    docs = spark.createDataFrame(list(made().items()), "doc_id long, text string")
+    prints, roots = similar.grouped(docs, 3)
+    assert estimate(roots) < 100
